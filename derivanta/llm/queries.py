@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_files
+from . import bpe, line_dedup, minhash, packing, token_files
 from .common import Scratch
 
 END_OF_TEXT, CAPACITY = 0, 2048
@@ -38,5 +38,21 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_token_files": op5_token_files, "op8_packing": op8_packing}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
+}
 ORACLES: dict[str, str] = {}
