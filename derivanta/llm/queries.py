@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash, packing, token_files
+from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, minhash, nearest, packing, token_files
 from .common import Scratch
 
 END_OF_TEXT, CAPACITY = 0, 2048
@@ -48,7 +48,40 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.embedding_links(_read(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    forged = spark.sql("select -1L conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role)").withColumn("text", F.lit(chat_format.FORGED))
+    chats = chat_format.format_chats(rows.unionByName(forged))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op7_nearest": op7_nearest,
+    "op10_chat_format": op10_chat_format,
     "op2_bpe": op2_bpe,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
