@@ -69,8 +69,8 @@ RULES = [
     ("spdx-gpl3", "GPL-3.0", ["spdx.gpl3"]),
 ]
 
-#: A sentence ends at a line break, or at . ; ! ? before white space. Every known sentence holds
-#: one of the trigger words, so that a text without them needs no cutting.
+#: A sentence ends at a line break, or at . ; ! ? before white space. Where every known sentence
+#: holds one of the trigger words, a text without them needs no cutting.
 BREAK = r"\n|[.;!?](?=[\x20\x09\x0B-\x0D])"
 TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved"
 
@@ -104,9 +104,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longest = max(len(x) for x in by_text)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     cut = F.filter(sentences(text), lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
+    likely = text.rlike(TRIGGER) if all(re.search(TRIGGER, x) for x in by_text) else F.lit(True)
     found = F.filter(F.transform(cut, lambda s: F.try_element_at(ids, s)), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
-    out = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(text.rlike(TRIGGER), found).otherwise(empty).alias("sentence_ids"))
+    out = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(likely, found).otherwise(empty).alias("sentence_ids"))
     # The identifiers as one string, each between bars; a matched sequence becomes one bar.
     left = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     out = out.withColumn("_left", left).withColumn("_rules", empty).withColumn("_names", empty)

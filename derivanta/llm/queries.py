@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, minhash, nearest, packing, token_files
+from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, minhash, nearest, packing, quality, token_files
 from .common import Scratch
 
 END_OF_TEXT, CAPACITY = 0, 2048
@@ -16,6 +16,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The host is the document's source, the path its language there."""
+    return quality.classify(docs, quality.fit(docs, labels), F.col("source"), F.col("lang"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode_texts(_read(spark, sf_dir, "documents"), path, pattern)
@@ -78,6 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op7_nearest": op7_nearest,
