@@ -1,16 +1,55 @@
-"""A corpus pipeline of four stages: quality, line dedup, near-dedup, packing."""
+"""A corpus pipeline: quality classifier, line dedup, near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns
+the rows it keeps; the last returns packed pieces. run() writes each stage's rows as Parquet
+in the shared folder and reads them for the next.
+"""
 
 from __future__ import annotations
 
-from derivanta.llm.queries import pack_documents
+from derivanta.llm import line_dedup, minhash
+from derivanta.llm.common import Scratch
+from derivanta.llm.queries import judge_documents, pack_documents
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; of rows with one id all go if any is rejected. Rows
+    without an id stay, as no decision can be told apart for them."""
+    judged = judge_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.join(judged.where("not keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; n_chars follows the text. A document that had text and
+    has none left goes as well."""
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    return out.where(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of least id; five words, 0.8."""
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
-STAGES = [("packing", lambda spark, docs, sf_dir: pack_documents(docs))]
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("packing", packing_stage)]
 
+#: A fitted classifier and a packing plan have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the whole of documents."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
