@@ -66,6 +66,8 @@ def read_token_ids(spark: SparkSession, path: str, id_type: T.DataType | None =
     totals = rows.groupBy("_file").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if len(rows.inputFiles()) <= 100_000:  # of about 150 bytes each; beyond that Spark decides
+        bases = F.broadcast(bases)
     return rows.join(bases, "_file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
