@@ -84,7 +84,7 @@ class BytePairs:
         # (left, right) -> rank of both as one, for every cut of every token into two tokens.
         self.pairs = {(a, b): r for k, r in ranks.items() for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None}
         find, words = regex.compile(pattern).findall, Memo(self.word, limit)
-        self.codec = ChunkCodec(lambda chunk: b"".join(map(words.__getitem__, find(chunk))), keep=True)
+        self.codec = ChunkCodec(lambda chunk: b"".join(map(words.__getitem__, find(chunk))), keep=True, limit=250_000)
         self.encode = self.codec.encode
 
     def word(self, word: str) -> bytes:
