@@ -58,7 +58,7 @@ class ChunkCodec:
     between two characters that are no white space. Otherwise white space is dropped.
     """
 
-    def __init__(self, pieces: Callable[[str], bytes], keep: bool, limit: int = 400_000):
+    def __init__(self, pieces: Callable[[str], bytes], keep: bool, limit: int = 250_000):
         self.pieces, self.keep = pieces, keep
         self.known = Memo(self._spaced if keep else pieces, limit)
 
@@ -114,7 +114,7 @@ def library_codec(path: str, default_pattern: str) -> ChunkCodec:
         shown = w.replace(" ", letters[0x20]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
         return array("I", [t.id for t in tokenize(shown)]).tobytes()
 
-    words = Memo(word, 150_000)
+    words = Memo(word, 100_000)
     kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
     simple = kinds == ["NFC", "Replace", "Lowercase"]  # of an ASCII text without white space in its tokens: lower case
 

@@ -19,10 +19,12 @@ from .common import Scratch, connected_components
 #: bands with probability (1 - 0.8 ** 5) ** 40, about 1e-7.
 REGISTERS, ROWS = 200, 5
 MANTISSA = 10
-#: A pair goes to verification if its estimate is at most this far below the threshold: seven
+#: A pair goes to verification if its estimate is at most this far below the threshold: five
 #: standard deviations of 200 registers at 0.8.
-SLACK = 7 * (0.8 * 0.2 / REGISTERS) ** 0.5
+SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _CHUNK = 1024
+#: Ids of up to this many documents (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -138,7 +140,8 @@ def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
                 if a != last:
                     last, ha = a, shingler.hashes(ta)
                 hb = shingler.hashes(tb)
-                both = len(ha) + len(hb) - len(np.union1d(ha, hb))
+                at = np.minimum(np.searchsorted(ha, hb), max(0, len(ha) - 1))
+                both = int((ha[at] == hb).sum()) if len(ha) else 0
                 keep.append(100 * both >= percent * (len(ha) + len(hb) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
@@ -146,7 +149,7 @@ def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_shingles and component_id, the least doc_id reachable over
     links, itself included. Two texts are linked if their sets of distinct shingles (see
     Shingler) have intersection / union of at least percent / 100, by the whole sets.
@@ -158,11 +161,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     1. Texts of equal sets form a class (one aggregation, partial sums on the map side); the
        least id stands for it, so copies cost nothing from here on.
     2. Band keys of the representatives' registers; keys of one representative drop out.
-    3. A few rounds: each key in which more than one component is left offers one member as
-       its centre to all members of other components. So a group of near copies costs a pair for
-       each member, not for each two, and most of it is one component after the first round.
-    4. What is left of such keys is compared in full: members in blocks, the registers of
-       two blocks at a time, in array operations that emit only pairs with a likely estimate.
+    3. Rounds, as long as they find links (at most `rounds`): each key in which more than one
+       component is left offers one member as its centre, another one each round; a member
+       is paired with the one centre with which it shares most keys. So a group of near copies
+       costs a pair for each member, not for each two.
+    4. What is left of such keys is compared in full: members in blocks, the registers of two
+       blocks at a time, in array operations that emit only pairs with a likely estimate.
     In 3 and 4 a pair needs sizes that allow the similarity, a likely estimate, and a test of
     the whole sets. Only representatives in shared keys have their texts moved.
     """
@@ -177,10 +181,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     banded = reps.select("rep", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = scratch.save(banded.join(shared, "key"), "members")
-    ids = members.select("rep").distinct()
+    ids = scratch.save(members.select("rep").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     known = scratch.save(reps.join(ids, "rep").groupBy("rep").agg(F.max("n").alias("n"), F.max_by("regs", F.struct("n", "f1", "f2")).alias("regs")), "registers")
     slim = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bodies = scratch.save(slim.join(known.select("rep"), "rep"), "texts")
+    bodies = scratch.save(slim.join(ids, "rep"), "texts")
     bound = percent / 100 - SLACK
     links = checked = component = None
 
@@ -199,25 +204,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             return members.withColumn("comp", F.col("rep"))
         return members.join(component, members.rep == component.node, "left").select("rep", "key", F.coalesce("component", "rep").alias("comp"))
 
-    for r in range(rounds + 1):
+    r, last = 0, False
+    while True:
         now = scratch.save(placed(), "placed") if r else placed()
         mask = F.lit(0 if r == 0 else 0x5DEECE66D1234567 * r % (1 << 62))
         centre = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("rep").bitwiseXOR(mask)).alias("c"))
         open_keys = centre.where("lo < hi").select("key", F.col("c").bitwiseXOR(mask).alias("c"))
         rest = now.join(open_keys, "key")
-        if r < rounds:
-            pairs = rest.where("rep <> c").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        else:
+        if last:
             pairs = _blocks(rest.select("key", "rep", "comp"), known, bound, percent)
+        else:
+            # For each member, of its keys' centres the one with which it shares most keys.
+            met = rest.where("rep <> c").groupBy("rep", "c").agg(F.count("*").alias("keys"))
+            best = met.groupBy("rep").agg(F.max(F.struct("keys", "c")).alias("m")).select("rep", F.col("m.c").alias("c"))
+            pairs = best.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        likely = scratch.save(_likely(sized(pairs), bound), "likely") if r < rounds else scratch.save(pairs.distinct(), "likely")
-        if likely.isEmpty() and r < rounds and r:
-            continue
-        new = scratch.save(linked(likely), "links")
-        links = new if links is None else links.unionByName(new)
-        checked = likely if checked is None else checked.unionByName(likely)
-        component = scratch.save(connected_components(links, scratch), "components")
+        likely = scratch.save(pairs if last else _likely(sized(pairs), bound), "likely")
+        found = 0
+        if not likely.isEmpty():
+            new = scratch.save(linked(likely), "links")
+            found = new.count()
+            links = new if links is None else links.unionByName(new)
+            checked = likely if checked is None else checked.unionByName(likely)
+        if found or component is None:
+            component = scratch.save(connected_components(links if links is not None else likely, scratch), "components")
+        if last:
+            break
+        r += 1
+        last = r >= rounds or not found
     classes = classes.join(component, classes.rep == component.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("comp"))
     out = sketch.join(classes, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
