@@ -1,0 +1,243 @@
+"""Queries over the driver's tables, each with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.expressions import evaluate, n_steps, reduce_steps, table_map
+from ..functions.scoring import DOUBT, score
+from ..operators import algebra, report
+
+#: Predictions made from events: the same SQL runs in both engines.
+PREDICTIONS = """
+select event_id as example_id, user_id % 13 as model, event_type,
+  case event_id % 4 when 0 then 'easy' when 1 then 'medium' when 2 then 'hard' else 'expert' end as difficulty,
+  case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as ground_truth_final_output,
+  case event_id % 3 when 0 then 'b' when 1 then 'c' else 'a' end as wrong_branch_final_output,
+  2 + user_id % 3 as prefill_error_step, 4 + event_id % 11 as chain_length_x,
+  concat(
+    case event_type when 'error' then concat('Wait, step ', cast(2 + user_id % 3 + case when event_id % 7 = 0 then 1 else 0 end as varchar(9)), ' looks wrong.', chr(10)) when 'click' then concat('Hmm, something feels off.', chr(10)) else '' end,
+    case event_id % 5 when 0 then concat('Final Output: ', case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end)
+      when 1 then concat('Final Output: ', case event_id % 3 when 0 then 'b' when 1 then 'c' else 'a' end, chr(10))
+      when 2 then concat('Final Output: **', case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end, '**')
+      when 3 then 'Final Output: q.' else 'no marker' end) as raw_continuation_text
+from {events}"""
+
+_BANK = "|".join(DOUBT).replace("'", "''")
+_SCORED = f"""with p as ({PREDICTIONS.format(events="events")}), r as (
+  select *, trim(regexp_extract_all(raw_continuation_text, '(?i)Final\\s*Output\\s*[:\\-]\\s*(.+?)(?:\\n|$)', 1)[-1]) as raw,
+    regexp_matches(raw_continuation_text, '(?i){_BANK}') as detected_loose,
+    regexp_extract(raw_continuation_text, '(?i)step (\\d+) looks wrong', 1) as said from p), w as (
+  select * exclude (raw, said), nullif(rtrim(case when raw like '**%**' then raw[3:-3] else raw end, '.,'), '') as final_output,
+    said <> '' and said = cast(prefill_error_step as varchar) as detected_strict from r), scored as (
+  select *, coalesce(final_output = ground_truth_final_output, false) as matches_ground_truth,
+    coalesce(final_output = wrong_branch_final_output, false) as matches_wrong_branch,
+    case when final_output is null then 'extraction_failed' when detected_loose and final_output = ground_truth_final_output then 'detect_recover'
+      when detected_loose then 'detect_only' when final_output = ground_truth_final_output then 'silent_recovery'
+      when final_output = wrong_branch_final_output then 'blind_wrong_branch' else 'off_rails' end as outcome_bucket from w)
+"""
+_ALGEBRA = """with s as (select cast(r_regionkey as bigint) as x from region), op as (
+  select 'op0' as op, a.x as lhs, b.x as rhs, (2 * a.x + 4 * b.x + 1) % 5 as result from s a, s b union all
+  select 'op1', a.x, b.x, (a.x * b.x + 1) % 5 from s a, s b), t as (
+  select 't_ok' as name, x as src, (x + 1) % 5 as dst from s union all select 't_bad', x, 2 * x % 5 from s)
+"""
+_LEAVES = """with e as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 5 as a, l_partkey % 5 as b, l_suppkey % 5 as c from lineitem), v as (
+  select *, (a * b + 1) % 5 as v1 from e), g as (
+  select *, (((v1 * c + 1) % 5) * v1 + 1) % 5 as value, (v1 + 1 + l_linenumber % 4) % 5 as w1 from v), f as (
+  select *, (((w1 * c + 1) % 5) * w1 + 1) % 5 as corrupted from g)
+"""
+_NAMES = ["easy", "medium", "hard", "expert"]
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PREDICTIONS, events=_t(spark, sf_dir, "events"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(predictions(spark, sf_dir))
+
+
+def outcome_buckets(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy("difficulty", "outcome_bucket").agg(F.count("*").alias("n"))
+
+
+def strict_detection(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy("event_type", "detected_loose", "detected_strict").agg(F.count("*").alias("n"))
+
+
+def score_rows(spark, sf_dir):
+    return scored(spark, sf_dir).select("example_id", "difficulty", "final_output", "detected_loose", "detected_strict", "outcome_bucket", "matches_ground_truth", "matches_wrong_branch")
+
+
+def resume_pending(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("example_id", "difficulty")
+    return report.pending(rows, rows.where("example_id % 7 = 0").select("example_id"))
+
+
+def preview_slice(spark, sf_dir):
+    return predictions(spark, sf_dir).select("example_id", "difficulty").orderBy("example_id").offset(20).limit(10)
+
+
+def matrix_cells(spark, sf_dir):
+    level = F.col("example_id") % 2
+    cell = F.concat(F.lit("model-"), F.col("model").cast("string"), F.lit("-B-L"), level.cast("string"))
+    return scored(spark, sf_dir).groupBy(cell.alias("cell")).agg(F.count_if("matches_ground_truth").alias("correct"), F.count("*").alias("total"))
+
+
+def error_type_counts(spark, sf_dir):
+    kind = F.nullif(F.when(F.col("event_type") == "view", "").when(F.col("event_type") != "signup", F.col("event_type")), F.lit(""))
+    return _t(spark, sf_dir, "events").groupBy(F.coalesce(kind, F.lit("clean")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+def preferred_error_step(spark, sf_dir):
+    m = F.floor(F.col("chain_length_x") / 2).cast("long")
+    steps = F.array_distinct(F.filter(F.array(m, m + 1, m - 1), lambda s: s.between(1, F.col("chain_length_x") - 1)))
+    return predictions(spark, sf_dir).groupBy("chain_length_x").agg(F.count("*").alias("n")).select("chain_length_x", "n", F.concat_ws(",", steps.cast("array<string>")).alias("steps"))
+
+
+def reject_reasons(spark, sf_dir):
+    """Reasons in order: too short, too little runway after the error step; zero where none."""
+    p = predictions(spark, sf_dir)
+    x = F.col("chain_length_x")
+    short, late = x < 6, x - F.col("prefill_error_step") < F.ceil(x / 2)
+    return p.groupBy("difficulty").agg(F.count_if(short).alias("short"), F.count_if(~short & late).alias("insufficient_runway"), F.count_if(~short & ~late).alias("accepted"))
+
+
+def quota_take(spark, sf_dir):
+    quota = report.per_difficulty_quota(103, _NAMES)
+    return report.take_quota(predictions(spark, sf_dir).select("example_id", "difficulty"), "difficulty", "example_id", quota)
+
+
+def seed_arithmetic(spark, sf_dir):
+    index = F.array_position(F.array(*[F.lit(n) for n in _NAMES]), F.col("difficulty")) - 1
+    return predictions(spark, sf_dir).select("example_id", (F.lit(20260413).cast("long") * 1_000_000 + index * 10_000 + F.col("example_id") * 100).alias("seed"))
+
+
+def usage_normalise(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    total = F.coalesce(F.get_json_object("props", "$.total").cast("long"), k + F.col("event_id"))
+    return _t(spark, sf_dir, "events").select("event_id", k.alias("input_tokens"), F.get_json_object("props", "$.reasoning").cast("long").alias("reasoning_tokens"), total.alias("total_tokens"))
+
+
+def _system(spark, sf_dir):
+    s = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("x"))
+    pairs = s.select(F.col("x").alias("lhs"), F.expr("explode(sequence(0L, 4L))").alias("rhs"))
+    lhs, rhs = F.col("lhs"), F.col("rhs")
+    ops = pairs.select(F.explode(F.array(F.struct(F.lit("op0").alias("op"), ((2 * lhs + 4 * rhs + 1) % 5).alias("result")), F.struct(F.lit("op1").alias("op"), ((lhs * rhs + 1) % 5).alias("result")))).alias("o"), "lhs", "rhs").select("o.op", "lhs", "rhs", "o.result")
+    x = F.col("x")
+    moves = s.select(F.explode(F.array(F.struct(F.lit("t_ok").alias("name"), ((x + 1) % 5).alias("dst")), F.struct(F.lit("t_bad").alias("name"), (2 * x % 5).alias("dst")))).alias("m"), x.alias("src")).select("m.name", "src", "m.dst")
+    return s.withColumnRenamed("x", "symbol"), ops, moves
+
+
+def op_table_complete(spark, sf_dir):
+    s, ops, _ = _system(spark, sf_dir)
+    broken = ops.where("not (op = 'op1' and lhs = rhs)")
+    return algebra.missing_entries(s, broken)
+
+
+def distribution_counterexamples(spark, sf_dir):
+    _, ops, moves = _system(spark, sf_dir)
+    return algebra.distribution_counterexamples(ops, moves).groupBy("name", "op").agg(F.count("*").alias("n"))
+
+
+def derived_table(spark, sf_dir):
+    _, ops, _ = _system(spark, sf_dir)
+    return algebra.derived_table(ops, "dop0", "compose_left", "op1").unionByName(algebra.derived_table(ops, "dop1", "double_left", "op0"))
+
+
+def _expressions(spark, sf_dir):
+    """(a op1 b) dop0 c in postfix order, its corruption, and the tables as a constant (75 entries)."""
+    _, ops, _ = _system(spark, sf_dir)
+    rows = ops.unionByName(algebra.derived_table(ops, "dop0", "compose_left", "op1")).collect()
+    table = table_map({f"{r['op']},{r['lhs']},{r['rhs']}": str(r["result"]) for r in rows})
+    s = lambda c: (F.col(c) % 5).cast("string")
+    e = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("l_orderkey").alias("a"), s("l_partkey").alias("b"), s("l_suppkey").alias("c"))
+    return e.withColumn("rpn", F.array("a", "b", F.lit("op1"), "c", F.lit("dop0"))), table
+
+
+def eval_expression(spark, sf_dir):
+    e, table = _expressions(spark, sf_dir)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", evaluate(F.col("rpn"), table, ["op1", "dop0"]).cast("long").alias("value"))
+
+
+def corrupt_outcomes(spark, sf_dir):
+    """Corruptions of the first step; those that end at the true value are convergent and rejected."""
+    e, table = _expressions(spark, sf_dir)
+    v1 = evaluate(F.array("a", "b", F.lit("op1")), table, ["op1", "dop0"]).cast("long")
+    w1 = ((v1 + 1 + F.col("l_linenumber") % 4) % 5).cast("string")
+    good, bad = (evaluate(r, table, ["op1", "dop0"]).cast("long") for r in (F.col("rpn"), F.array(w1, F.col("c"), F.lit("dop0"))))
+    return e.select(good.alias("value"), bad.alias("corrupted")).groupBy("value", "corrupted", (F.col("value") == F.col("corrupted")).alias("convergent")).agg(F.count("*").alias("n"))
+
+
+def chain_length(spark, sf_dir):
+    e, _ = _expressions(spark, sf_dir)
+    return e.groupBy(n_steps(F.col("rpn"), ["op1"], [], ["dop0"]).cast("long").alias("chain_length_x")).agg(F.count("*").alias("n"))
+
+
+def reduction_steps(spark, sf_dir):
+    e, table = _expressions(spark, sf_dir)
+    steps = reduce_steps(F.col("rpn"), table, ["op1"], {"dop0": ("compose_left", "op1")}, n_steps(F.col("rpn"), ["op1"], [], ["dop0"]))
+    out = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(steps))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).cast("long").alias("step_number"), F.col("col.rule_type").alias("rule_type"), F.col("col.result").cast("long").alias("result"), F.array_join("col.after", " ").alias("after"))
+
+
+def single_turn_prompt(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+
+
+def prefill_render(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("Step "), (x["turn"] + 1).cast("string"), F.lit(": "), x["text"])), "\n").alias("prefill"))
+
+
+def continuity_breaks(spark, sf_dir):
+    """Turns whose role is that of the turn before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(w))
+    return rows.where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, single_turn_prompt, prefill_render, continuity_breaks)} | {
+    "headline": lambda s, d: report.headline(scored(s, d)),
+    "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
+    "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
+    "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
+}
+
+_P = f"with p as ({PREDICTIONS.format(events='events')}) "
+_IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+ORACLES = {
+    "outcome_buckets": _SCORED + "select difficulty, outcome_bucket, count(*) as n from scored group by all",
+    "strict_detection": _SCORED + "select event_type, detected_loose, detected_strict, count(*) as n from scored group by all",
+    "score_rows": _SCORED + "select example_id, difficulty, final_output, detected_loose, detected_strict, outcome_bucket, matches_ground_truth, matches_wrong_branch from scored",
+    "headline": _SCORED + "select coalesce(difficulty, 'all') as difficulty, count(*) as total, count(*) filter (matches_ground_truth) as correct from scored group by grouping sets ((), (difficulty))",
+    "bucket_pivot": _SCORED + "select difficulty, count(*) filter (outcome_bucket = 'detect_recover') as detect_recover, count(*) filter (outcome_bucket = 'silent_recovery') as silent_recovery, count(*) filter (outcome_bucket = 'detect_only') as detect_only, count(*) filter (outcome_bucket = 'blind_wrong_branch') as blind_wrong_branch, count(*) filter (outcome_bucket = 'off_rails') as off_rails, count(*) filter (outcome_bucket = 'extraction_failed') as extraction_failed, count(*) as total from scored group by difficulty",
+    "diagnostic_rates": _SCORED + "select count(*) filter (detected_loose) as loose, count(*) filter (detected_strict) as strict, count(*) filter (matches_ground_truth) as recovered, count(*) filter (matches_wrong_branch) as cascade, count(final_output) as extracted, count(*) as total from scored",
+    "leaderboard": _SCORED + "select model, count(*) filter (matches_ground_truth) as correct, count(*) as total, row_number() over (order by count(*) filter (matches_ground_truth) / count(*) desc, model) as place from scored group by model",
+    "resume_pending": _P + "select example_id, difficulty from p where not exists (select 1 from p q where q.example_id = p.example_id and q.example_id % 7 = 0)",
+    "preview_slice": _P + "select example_id, difficulty from p order by example_id limit 10 offset 20",
+    "matrix_cells": _SCORED + "select 'model-' || model || '-B-L' || (example_id % 2) as cell, count(*) filter (matches_ground_truth) as correct, count(*) as total from scored group by 1",
+    "error_type_counts": "select case when event_type in ('view', 'signup') or event_type is null then 'clean' else event_type end as error_type, count(*) as n from events group by 1",
+    "preferred_error_step": _P + "select chain_length_x, count(*) as n, concat_ws(',', chain_length_x // 2, case when chain_length_x // 2 + 1 < chain_length_x then chain_length_x // 2 + 1 end, case when chain_length_x // 2 > 1 then chain_length_x // 2 - 1 end) as steps from p group by chain_length_x",
+    "reject_reasons": _P + "select difficulty, count(*) filter (chain_length_x < 6) as short, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step < (chain_length_x + 1) // 2) as insufficient_runway, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step >= (chain_length_x + 1) // 2) as accepted from p group by 1",
+    "quota_take": _P + "select * from (select example_id, difficulty, row_number() over (partition by difficulty order by example_id) as rank from p) where rank <= case when difficulty = 'expert' then 25 else 26 end",
+    "seed_arithmetic": _P + "select example_id, 20260413000000 + case difficulty when 'easy' then 0 when 'medium' then 10000 when 'hard' then 20000 else 30000 end + example_id * 100 as seed from p",
+    "usage_normalise": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as input_tokens, cast(json_extract_string(props, '$.reasoning') as bigint) as reasoning_tokens, coalesce(cast(json_extract_string(props, '$.total') as bigint), cast(json_extract_string(props, '$.k') as bigint) + event_id) as total_tokens from events",
+    "op_table_complete": _ALGEBRA + "select op, lhs, rhs from op where op = 'op1' and lhs = rhs",
+    "distribution_counterexamples": _ALGEBRA + "select name, op, count(*) as n from (select t.name, o.op, t.dst as x, o2.result as y from op o join t on t.src = o.result join t tl on tl.name = t.name and tl.src = o.lhs join t tr on tr.name = t.name and tr.src = o.rhs join op o2 on o2.op = o.op and o2.lhs = tl.dst and o2.rhs = tr.dst) where x <> y group by all",
+    "derived_table": _ALGEBRA + "select 'dop0' as op, a.x as lhs, b.x as rhs, (((a.x * b.x + 1) % 5) * a.x + 1) % 5 as result from s a, s b union all select 'dop1', a.x, b.x, (2 * ((6 * a.x + 1) % 5) + 4 * b.x + 1) % 5 from s a, s b",
+    "eval_expression": _LEAVES + f"select {_IDS}, value from f",
+    "corrupt_outcomes": _LEAVES + "select value, corrupted, value = corrupted as convergent, count(*) as n from f group by all",
+    "chain_length": "select cast(4 as bigint) as chain_length_x, count(*) as n from lineitem",
+    "reduction_steps": _LEAVES + f"select {_IDS}, step_number, rule_type, result, \"after\" from (select {_IDS}, 1::bigint as step_number, 'base' as rule_type, v1 as result, concat_ws(' ', v1, c, 'dop0') as \"after\" from f union all select {_IDS}, 2, 'derived', null, concat_ws(' ', v1, c, 'op1', v1, 'op1') from f union all select {_IDS}, 3, 'base', (v1 * c + 1) % 5, concat_ws(' ', (v1 * c + 1) % 5, v1, 'op1') from f union all select {_IDS}, 4, 'base', value, value::varchar from f)",
+    "single_turn_prompt": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from conversations group by conv_id",
+    "prefill_render": "select conv_id, string_agg('Step ' || (turn + 1) || ': ' || text, chr(10) order by turn) as prefill from conversations where turn < 3 group by conv_id",
+    "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select *, lag(role) over (partition by conv_id order by turn) as b from conversations) where b = role group by conv_id",
+}

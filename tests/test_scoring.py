@@ -1,0 +1,47 @@
+import re
+
+import pytest
+from derivanta.functions.scoring import DOUBT, detects_loose, detects_strict, final_output, score
+from derivanta.sources.jsonl import PREDICTION, append_jsonl, read_jsonl
+from derivanta.streaming.scores import score_stream
+from pyspark.sql import functions as F
+
+FINALS = [("none", None), ("Final Output: x\nFinal output - y", "y"), ("FINAL OUTPUT: **x**", "x"), ("Final Output: `x`", "x"), ("Final Output: x (the answer)", "x"), ("Final Output:\n x.", "x"), ("Final Output: ...", None), ("Final Output: **x**.", "**x**"), ("", None)]
+
+
+def test_final_output(spark):
+    df = spark.createDataFrame([(t, w) for t, w in FINALS], "t string, w string")
+    assert df.where(~final_output(F.col("t")).eqNullSafe(F.col("w"))).count() == 0
+
+
+def strict(text, step):
+    for m in re.finditer("|".join(DOUBT), text, re.I):
+        hits = re.findall(r"\bstep\s*(\d+)\b", text[max(0, m.start() - 120) : m.end() + 120], re.I)
+        if hits and (step is None or any(int(h) == step for h in hits)):
+            return True
+    return False
+
+
+def test_doubt(spark):
+    texts = ["Wait, step 3 is wrong", "waiting for step 3", "Hmmm " + "x" * 600 + " step 3", "actually good", "Actually, step 12", "mistake é step 3 🦩 oops step 4", ""]
+    rows = [(t, s) for t in texts for s in (3, 4, None)]
+    df = spark.createDataFrame(rows, "t string, s int")
+    got = df.select("t", "s", detects_strict(F.col("t"), F.col("s")), detects_loose(F.col("t"))).collect()
+    assert all((r[2], r[3]) == (strict(r[0], r[1]), bool(re.search("|".join(DOUBT), r[0], re.I))) for r in got)
+
+
+def test_missing_columns(spark):
+    with pytest.raises(ValueError, match="missing columns"):
+        score(spark.range(1))
+
+
+def test_stream_and_jsonl(spark, tmp_path):
+    row = {"example_id": "e1", "ground_truth_final_output": "a", "wrong_branch_final_output": "b", "prefill_error_step": 2, "raw_continuation_text": "Final Output: a"}
+    df = spark.createDataFrame([row, row], "example_id string, ground_truth_final_output string, wrong_branch_final_output string, prefill_error_step int, raw_continuation_text string")
+    path = str(tmp_path / "in")
+    append_jsonl(df, path)
+    assert read_jsonl(spark, path, PREDICTION).count() == 2
+    q = score_stream(spark, path).writeStream.format("memory").queryName("scored").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["outcome_bucket"] for r in spark.table("scored").collect()] == ["silent_recovery"]
