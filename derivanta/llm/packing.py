@@ -185,8 +185,9 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int, groups: int = 256, length_col: str = "length", id_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (512, 2048), length_col: str = "length", id_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """All columns of pieces, sequence_id (from 0) and offset (the place in the sequence, without gaps).
+    Of the plans for each number of groups, the one of fewest sequences is taken.
 
     Lengths are integers from 1 to capacity; a null or another length fails the job. Repeated rows
     are packed as often as they come; ties in length go by a hash of the row. No pieces:
@@ -202,7 +203,7 @@ def pack(pieces: DataFrame, capacity: int, groups: int = 256, length_col: str =
     fine = F.when(n.between(1, capacity), n).otherwise(F.raise_error(F.lit("a length is null or outside 1 to the capacity")).cast("long"))
     saved = scratch.save(pieces.withColumn("_n", fine).withColumn("_h", key), "pieces")
     counts = {r["_n"]: r["c"] for r in saved.groupBy("_n").agg(F.count("*").alias("c")).collect()}
-    where = places(plan_sequences(counts, capacity, groups))
+    where = places(min((plan_sequences(counts, capacity, g) for g in groups), key=lambda plan: sum(m for _, m in plan)))
     buckets = max(256, sum(counts.values()) // 250_000)
     dealt = saved.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     base = dealt.groupBy("_n", "_b").agg(F.count("*").alias("c"))
