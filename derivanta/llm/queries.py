@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, minhash, nearest, packing, quality, token_files
 from .common import Scratch
+from .oracles import ORACLES  # noqa: F401
 
 END_OF_TEXT, CAPACITY = 0, 2048
 
@@ -98,4 +99,3 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
 }
-ORACLES: dict[str, str] = {}
