@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col:
 
     A key meets others as one row a task (least and largest id), so a line that a third of all
     documents hold is no large group; rows of dropped lines go through a join that AQE can
-    split. Texts move once, to meet the list of their dropped lines.
+    split. Texts move once, to meet the list of their dropped lines: that list grows with the
+    input, so it is merged at every size and never broadcast.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
@@ -130,7 +131,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col:
     runs.close()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(drops.withColumnRenamed("doc_id", "_doc"), F.col(f"`{id_col}`") == F.col("_doc"), "left")
+    listed = drops.withColumnRenamed("doc_id", "_doc").hint("merge")
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(listed, F.col(f"`{id_col}`") == F.col("_doc"), "left")
     cut = F.split(text, "\n", -1)
     every = F.sequence(F.lit(0), F.size(cut) - 1)
     kept = F.array_join(F.transform(F.array_except(every, F.col("_drop")), lambda i: F.get(cut, i)), "\n")
