@@ -1,0 +1,42 @@
+"""Step lines against verdicts worked out by hand."""
+
+import json
+
+import pytest
+from derivanta.functions.derivations import validate
+from derivanta.sources.jsonl import SYSTEM
+from pyspark.sql import functions as F
+
+ROWS = {"a": "bca", "b": "cab", "c": "abc"}
+SYS = {
+    "name": "s", "seed": 1, "symbols": ["a", "b", "c"],
+    "base_operations": [{"name": "op0", "symbol_id": "⊕", "table": {f"{x},{y}": r for x, row in ROWS.items() for y, r in zip("abc", row, strict=True)}}],
+    "derived_operations": [{"name": "dop0", "symbol_id": "⊗", "template_id": "compose_left", "base_ops": ["op0"], "transform_name": None}, {"name": "dop1", "symbol_id": "⊗⊗", "template_id": "inv_compose", "base_ops": ["op0"], "transform_name": "inv"}],
+    "transformations": [{"name": "inv", "mapping": {"a": "b", "b": "a", "c": "c"}, "distributes_over": ["op0"]}],
+}
+BAD = (False, False, False, None, None, 0, "unparseable")
+CASES = [
+    ("step 1: ((a ⊕ b) ⊕ c) = (c ⊕ c)  [by ⊕ table]\r\nprose\n Step 2 : (c⊕c) = c\nFinal Output: c", (True, True, True, None, None, 2, None)),
+    ("Step 1: inv((a ⊕ b)) = inv(c)\nStep 2: inv( c ) = c", (True, True, True, None, None, 2, None)),
+    ("Step 1: inv (c) = c", BAD),
+    ("Step 4: (c ⊗ c) = c", (True, True, True, None, None, 1, None)),
+    ("Step 4: (a ⊗⊗ a) = a", (True, True, False, None, None, 1, None)),
+    ("Step 1: (a ⊕ b) = a\nStep 2: a = c", (True, False, False, 1, None, 2, "wrong step")),
+    ("Step 1: ((a ⊕ b) ⊕ c) = (c ⊕ c)\nStep 3: c = c", (True, False, False, None, 3, 2, "discontinuity")),
+    ("Step 1: ((a ⊕ b) ⊕ c) = (c ⊕ c)", (True, True, False, None, None, 1, "terminal is not a single symbol")),
+    ("**Step 3:** (a ⊕ b) = c", BAD), ("Step 1: (a ⊕ ⊕ = c\nStep 2: c = c", BAD), ("Step 1: (a) = a", BAD), ("Step 1: a b = a", BAD), ("Step 1: q = q", BAD), ("Step 1: (a ⊕ b ⊕ c) = a", BAD), ("", BAD), (None, BAD),
+]
+
+
+def test_verdicts(spark):
+    rows = spark.createDataFrame([(i, t, "c") for i, (t, _) in enumerate(CASES)], "i int, raw_continuation_text string, ground_truth_final_output string")
+    got = {r["i"]: tuple(r["verdict"]) for r in validate(rows, F.from_json(F.lit(json.dumps(SYS)), SYSTEM)).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(CASES)}
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_nulls(spark, n):
+    rows = spark.createDataFrame([("Step 1: a = a", None)] * n, "raw_continuation_text string, ground_truth_final_output string")
+    assert [tuple(r["verdict"]) for r in validate(rows, F.from_json(F.lit(None).cast("string"), SYSTEM)).collect()] == [BAD] * n
+    out = validate(rows, F.from_json(F.lit(json.dumps(SYS)), SYSTEM)).collect()
+    assert [tuple(r["verdict"]) for r in out] == [(True, True, False, None, None, 1, None)] * n
