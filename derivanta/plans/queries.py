@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.derivations import validate
 from ..functions.expressions import evaluate, n_steps, reduce_steps, table_map
 from ..functions.scoring import DOUBT, score
 from ..operators import algebra, report
+from ..sources.jsonl import SYSTEM
 
 #: Predictions made from events: the same SQL runs in both engines.
 PREDICTIONS = """
@@ -187,6 +191,31 @@ def reduction_steps(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).cast("long").alias("step_number"), F.col("col.rule_type").alias("rule_type"), F.col("col.result").cast("long").alias("result"), F.array_join("col.after", " ").alias("after"))
 
 
+def _system_json() -> str:
+    """The algebra of _ALGEBRA's op1 with a compose_left operator, as a dataset row holds it."""
+    table = {f"{x},{y}": str((x * y + 1) % 5) for x in range(5) for y in range(5)}
+    return json.dumps({
+        "name": "five", "seed": 1, "symbols": list("01234"), "base_operations": [{"name": "op1", "symbol_id": "#", "table": table}],
+        "derived_operations": [{"name": "dop0", "symbol_id": "&", "template_id": "compose_left", "base_ops": ["op1"], "transform_name": None}], "transformations": [],
+    })
+
+
+#: Derivations of ((a # b) & c): clean, from a wrong first step on, without the third line, with a broken line, without the last.
+STEP_TEXTS = _LEAVES + """, h as (
+  select *, case when l_linenumber % 5 = 1 then w1 else v1 end as v, (v1 * c + 1) % 5 as u1, (w1 * c + 1) % 5 as w2 from f), k as (
+  select *, case when l_linenumber % 5 = 1 then w2 else u1 end as u, case when l_linenumber % 5 = 1 then corrupted else value end as z from h)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(value as varchar(9)) as ground_truth_final_output, concat(
+  'Step 1: ((', a, ' # ', b, ') & ', c, ') = (', v, ' & ', c, ')    [by # table]', chr(10), 'Let me expand.', chr(10),
+  case when l_linenumber % 5 = 3 then 'Step 2: (# = 1' else concat('Step 2: (', v, ' & ', c, ') = ((', v, ' # ', c, ') # ', v, ')    [by definition of &]') end, chr(10),
+  case when l_linenumber % 5 = 2 then '' else concat('Step 3: ((', v, ' # ', c, ') # ', v, ') = (', u, ' # ', v, ')', chr(10)) end,
+  case when l_linenumber % 5 = 4 then '' else concat('Step 4: (', u, ' # ', v, ') = ', z, chr(10)) end, 'Final Output: ', z) as raw_continuation_text from k"""
+
+
+def step_verdicts(spark, sf_dir):
+    rows = spark.sql(STEP_TEXTS.replace("from lineitem", "from {lineitem}"), lineitem=_t(spark, sf_dir, "lineitem"))
+    return validate(rows, F.from_json(F.lit(_system_json()), SYSTEM)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verdict.*")
+
+
 def single_turn_prompt(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
@@ -204,7 +233,7 @@ def continuity_breaks(spark, sf_dir):
     return rows.where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, single_turn_prompt, prefill_render, continuity_breaks)} | {
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, step_verdicts, single_turn_prompt, prefill_render, continuity_breaks)} | {
     "headline": lambda s, d: report.headline(scored(s, d)),
     "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
     "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
@@ -237,6 +266,12 @@ ORACLES = {
     "corrupt_outcomes": _LEAVES + "select value, corrupted, value = corrupted as convergent, count(*) as n from f group by all",
     "chain_length": "select cast(4 as bigint) as chain_length_x, count(*) as n from lineitem",
     "reduction_steps": _LEAVES + f"select {_IDS}, step_number, rule_type, result, \"after\" from (select {_IDS}, 1::bigint as step_number, 'base' as rule_type, v1 as result, concat_ws(' ', v1, c, 'dop0') as \"after\" from f union all select {_IDS}, 2, 'derived', null, concat_ws(' ', v1, c, 'op1', v1, 'op1') from f union all select {_IDS}, 3, 'base', (v1 * c + 1) % 5, concat_ws(' ', (v1 * c + 1) % 5, v1, 'op1') from f union all select {_IDS}, 4, 'base', value, value::varchar from f)",
+    "step_verdicts": _LEAVES
+    + f"""select {_IDS}, m <> 3 as parseable, m in (0, 4) or m = 1 and same as derivation_valid, m = 0 or m = 1 and same as terminal_matches_gt,
+      (case when m = 1 and not same then 1 end)::bigint as first_invalid_step, (case when m = 2 then 4 end)::bigint as first_discontinuity_step,
+      (case m when 3 then 0 when 2 then 3 when 4 then 3 else 4 end)::bigint as parsed_step_count,
+      case when m = 3 then 'unparseable' when m = 1 and not same then 'wrong step' when m = 2 then 'discontinuity' when m = 4 then 'terminal is not a single symbol' end as reason
+      from (select *, l_linenumber % 5 as m, value = corrupted as same from f)""",
     "single_turn_prompt": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from conversations group by conv_id",
     "prefill_render": "select conv_id, string_agg('Step ' || (turn + 1) || ': ' || text, chr(10) order by turn) as prefill from conversations where turn < 3 group by conv_id",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select *, lag(role) over (partition by conv_id order by turn) as b from conversations) where b = role group by conv_id",
