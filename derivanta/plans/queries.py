@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.derivations import validate
+from ..functions.derivations import STEP, validate
 from ..functions.expressions import evaluate, n_steps, reduce_steps, table_map
+from ..functions.prompts import system_prompt
 from ..functions.scoring import DOUBT, score
-from ..operators import algebra, report
+from ..operators import algebra, groups, report
 from ..sources.jsonl import SYSTEM
 
 #: Predictions made from events: the same SQL runs in both engines.
@@ -212,8 +213,63 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(value as varchar(9))
 
 
 def step_verdicts(spark, sf_dir):
-    rows = spark.sql(STEP_TEXTS.replace("from lineitem", "from {lineitem}"), lineitem=_t(spark, sf_dir, "lineitem"))
-    return validate(rows, F.from_json(F.lit(_system_json()), SYSTEM)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verdict.*")
+    return validate(_step_texts(spark, sf_dir), F.from_json(F.lit(_system_json()), SYSTEM)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verdict.*")
+
+
+def _step_texts(spark, sf_dir):
+    return spark.sql(STEP_TEXTS.replace("from lineitem", "from {lineitem}"), lineitem=_t(spark, sf_dir, "lineitem"))
+
+
+def parse_step_lines(spark, sf_dir):
+    """The step lines of each derivation and their parts; other lines drop out."""
+    lines = _step_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(F.split("raw_continuation_text", "\n")).alias("line")).where(F.col("line").rlike(STEP))
+    part = lambda k: F.regexp_extract("line", STEP, k)
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", part(1).cast("long").alias("step_number"), part(2).alias("before"), part(3).alias("after"))
+
+
+def final_output_rows(spark, sf_dir):
+    return scored(spark, sf_dir).select("example_id", "final_output")
+
+
+def system_json_explode(spark, sf_dir):
+    """Table entries of the JSON text of a system, with the region whose key is the left operand."""
+    rows = _t(spark, sf_dir, "region").withColumn("s", F.from_json(F.lit(_system_json()), SYSTEM))
+    ops = rows.select("r_regionkey", "r_name", F.explode("s.base_operations").alias("o")).select("r_regionkey", "r_name", F.col("o.name").alias("op"), F.explode("o.table"))
+    at = F.split("key", ",")
+    return ops.select("r_name", "op", at[0].cast("long").alias("lhs"), at[1].cast("long").alias("rhs"), F.col("value").cast("long").alias("result")).where("lhs = r_regionkey")
+
+
+def _nation_groups(spark, sf_dir):
+    """A cyclic group of the nations of each region, and one of all; labels follow the names."""
+    nation = _t(spark, sf_dir, "nation").select(F.explode(F.array(F.lit("all"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))).alias("op"), F.col("n_name").alias("symbol"))
+    return groups.group_table(nation.withColumn("label", F.row_number().over(Window.partitionBy("op").orderBy("symbol")) - 1))
+
+
+def group_table(spark, sf_dir):
+    return _nation_groups(spark, sf_dir)
+
+
+def group_automorphisms(spark, sf_dir):
+    return groups.automorphisms(_nation_groups(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
+
+
+def system_prompts(spark, sf_dir):
+    """One system for each nation, as prompt text: x # y = (key * x + y + 1) mod 5, a derived operator, a transform."""
+    n = F.col("n_nationkey").cast("long")
+    five = F.array(*[F.lit(str(i)) for i in range(5)])
+    cell = lambda x, y: F.pmod(n * x.cast("long") + y.cast("long") + 1, F.lit(5)).cast("string")
+    table = F.map_from_entries(F.flatten(F.transform(five, lambda x: F.transform(five, lambda y: F.struct(F.concat_ws(",", x, y), cell(x, y))))))
+    moves = F.map_from_entries(F.transform(five, lambda x: F.struct(x, F.pmod(x.cast("long") + n, F.lit(5)).cast("string"))))
+    template = F.element_at(F.array(*[F.lit(t) for t in ("compose_left", "inv_compose", "double_left")]), (n % 3 + 1).cast("int"))
+    system = F.struct(
+        F.col("n_name").alias("name"),
+        n.alias("seed"),
+        five.alias("symbols"),
+        F.array(F.struct(F.lit("op0").alias("name"), F.lit("#").alias("symbol_id"), table.alias("table"))).alias("base_operations"),
+        F.array(F.struct(F.lit("dop0").alias("name"), F.lit("&").alias("symbol_id"), template.alias("template_id"), F.array(F.lit("op0")).alias("base_ops"), F.lit("t").alias("transform_name"))).alias("derived_operations"),
+        F.array(F.struct(F.lit("t").alias("name"), moves.alias("mapping"), F.array(F.lit("op0")).alias("distributes_over"))).alias("transformations"),
+    )
+    return _t(spark, sf_dir, "nation").withColumn("s", system).select("n_nationkey", system_prompt(F.col("s")).alias("prompt"))
 
 
 def single_turn_prompt(spark, sf_dir):
@@ -233,7 +289,7 @@ def continuity_breaks(spark, sf_dir):
     return rows.where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, step_verdicts, single_turn_prompt, prefill_render, continuity_breaks)} | {
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, prefill_render, continuity_breaks)} | {
     "headline": lambda s, d: report.headline(scored(s, d)),
     "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
     "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
@@ -241,6 +297,9 @@ QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows
 }
 
 _P = f"with p as ({PREDICTIONS.format(events='events')}) "
+_GROUPS = """with m as (select 'all' as op, n_name as symbol from nation union all select 'r' || n_regionkey, n_name from nation), l as (
+  select *, row_number() over (partition by op order by symbol) - 1 as label, count(*) over (partition by op) as n from m)
+"""
 _IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ORACLES = {
     "outcome_buckets": _SCORED + "select difficulty, outcome_bucket, count(*) as n from scored group by all",
@@ -272,6 +331,21 @@ ORACLES = {
       (case m when 3 then 0 when 2 then 3 when 4 then 3 else 4 end)::bigint as parsed_step_count,
       case when m = 3 then 'unparseable' when m = 1 and not same then 'wrong step' when m = 2 then 'discontinuity' when m = 4 then 'terminal is not a single symbol' end as reason
       from (select *, l_linenumber % 5 as m, value = corrupted as same from f)""",
+    "parse_step_lines": f"with x as ({STEP_TEXTS}), y as (select {_IDS}, unnest(string_split(raw_continuation_text, chr(10))) as line from x), "
+    + f"""z as (select {_IDS}, regexp_extract(line, '^Step ([0-9]+): (.+) = (.+?)(    \\[by .*)?$', ['n', 'before', 'after']) as p from y where starts_with(line, 'Step '))
+      select {_IDS}, cast(p.n as bigint) as step_number, p.before as before, p.after as after from z""",
+    "final_output_rows": _SCORED + "select example_id, final_output from scored",
+    "system_json_explode": _ALGEBRA + "select r_name, op, lhs, rhs, result from op join region on r_regionkey = lhs where op = 'op1'",
+    "group_table": _GROUPS + "select a.op, a.symbol as lhs, b.symbol as rhs, c.symbol as result from l a join l b on a.op = b.op join l c on c.op = a.op and c.label = (a.label + b.label) % a.n",
+    "group_automorphisms": _GROUPS + "select a.op, k, a.symbol as src, b.symbol as dst from l a join range(2, 25) r(k) on k < a.n and gcd(k, a.n) = 1 join l b on b.op = a.op and b.label = k * a.label % a.n",
+    "system_prompts": """with s as (select range as x from range(5)), r as (
+      select n_nationkey, a.x, '| **' || a.x || '** | ' || string_agg(((n_nationkey * a.x + b.x + 1) % 5)::varchar, ' | ' order by b.x) || ' |' as line, '  t(' || a.x || ') = ' || (a.x + n_nationkey) % 5 as move
+      from nation, s a, s b group by n_nationkey, a.x)
+      select n_nationkey, 'Symbols: {0, 1, 2, 3, 4}' || chr(10) || chr(10) || 'Operation # (defined by table):' || chr(10)
+        || 'In the table below, the row is the left operand and the column is the right operand. For example, row a and column b means a # b.' || chr(10) || chr(10)
+        || '| # | 0 | 1 | 2 | 3 | 4 |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) order by x) || chr(10) || chr(10) || 'Derived operation &:' || chr(10) || 'x & y = '
+        || case n_nationkey % 3 when 0 then '(x # y) # x' when 1 then 't(x # y)' else '(x # x) # y' end || chr(10) || chr(10) || 'Transformation "t":' || chr(10)
+        || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "single_turn_prompt": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from conversations group by conv_id",
     "prefill_render": "select conv_id, string_agg('Step ' || (turn + 1) || ': ' || text, chr(10) order by turn) as prefill from conversations where turn < 3 group by conv_id",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select *, lag(role) over (partition by conv_id order by turn) as b from conversations) where b = role group by conv_id",
