@@ -1,7 +1,8 @@
 """License recognition by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised, and known licence sentences are
-replaced by identifiers. A rule is an ordered list of identifiers; it matches where these
+A text is normalised to words, with its breaks marked, and known licence sentences are replaced by
+identifiers. Licence texts are wrapped, so a sentence may run over a line feed or a semicolon, but
+not over a blank line or a full stop; it begins and ends at a break of any kind. A rule is an ordered list of identifiers; it matches where these
 appear in the text in that order, with nothing but unknown sentences between them. Rules are
 tried from the longest to the shortest, so that a full licence text counts as such and not as
 its first line.
@@ -9,24 +10,41 @@ its first line.
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences in normalised form, by identifier.
+#: Known licence sentences by identifier, one or several wordings of each, as the
+#: texts have them but for case, punctuation and wrapping. A blank line in one may be any break.
 SENTENCES = {
     "mit.release": "released under the mit license",
     "mit.license": "licensed under the mit license",
-    "mit.title": "mit license",
+    "mit.title": [
+        "mit license",
+        "the mit license",
+        "the mit license (mit)",
+    ],
     "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit.notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "apache2.license": "licensed under the apache license version 2 0",
-    "apache2.title": "apache license version 2 0",
+    "apache2.license": [
+        "licensed under the apache license version 2 0",
+        'licensed under the apache license, version 2.0 (the "license")',
+    ],
+    "apache2.title": [
+        "apache license version 2 0",
+        "apache license\nversion 2.0, january 2004",
+    ],
     "apache2.use": "you may not use this file except in compliance with the license",
-    "apache2.copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache2.copy": [
+        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may obtain a copy of the license at\n\nhttp://www.apache.org/licenses/license-2.0",
+        "you may obtain a copy of the license at\n\nhttps://www.apache.org/licenses/license-2.0",
+    ],
     "gpl3.license": "this work is licensed under the gnu general public license version 3",
-    "gpl3.title": "gnu general public license version 3",
+    "gpl3.title": [
+        "gnu general public license version 3",
+        "gnu general public license\nversion 3, 29 june 2007",
+    ],
     "gpl2.license": "this work is licensed under the gnu general public license version 2",
     "gpl.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl.warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -69,19 +87,36 @@ RULES = [
     ("spdx-gpl3", "GPL-3.0", ["spdx.gpl3"]),
 ]
 
-#: A sentence ends at a line break, or at . ; ! ? before white space. Where every known sentence
-#: holds one of the trigger words, a text without them needs no cutting.
-BREAK = r"\n|[.;!?](?=[\x20\x09\x0B-\x0D])"
+#: In order: what makes one break mark of each gap between words. ; . ! ? count before white space
+#: only; a line without letters and digits is blank. A mark . is a full stop or a blank line, a
+#: mark ; a line feed or a semicolon. Each pattern takes time linear in the text.
+STEPS = [
+    (r"[.;!?](?![\x20\x09-\x0D])", ","),
+    (r"[^\p{L}\p{Nd}\n.;!?]+", " "),
+    (r";[ ;]*", ";"),
+    (r"[ ;]*(?:[.!?]|\n[ ;]*\n)[ \n.;!?]*", "."),
+    (r" ?[\n;][ \n;]*", ";"),
+]
+#: Where every known sentence holds one of the trigger words, a text without them needs no search.
 TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved"
 
 
-def normalised(sentence: Column) -> Column:
-    """ASCII letters lower-cased, each run of anything but letters and digits one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{Nd}]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-cased words of letters and digits, between any two a space or a break mark, and one
+    mark at each end."""
+    out = F.concat(F.lit("\n\n"), F.lower(text), F.lit("\n\n"))
+    for pattern, to in STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
-def sentences(text: Column) -> Column:
-    return F.transform(F.split(text, BREAK), normalised)
+def known_words(sentence: str) -> tuple[str, str]:
+    """A known sentence as words with spaces between, and as a pattern for marked texts."""
+    out = f"\n\n{sentence.lower()}\n\n"
+    for pattern, to in STEPS:
+        out = regex.sub(pattern, to, out)
+    out = out.strip(".;")
+    return regex.sub("[;.]", " ", out), regex.sub("[ ;.]", lambda m: "[ ;.]" if m[0] == "." else "[ ;]", out)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=None, rules=None) -> DataFrame:
@@ -89,6 +124,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     licenses (both in order of rule length, then of the rule list), n_known and license
     (the first, or null).
 
+    known: a sentence, or a list of wordings, for each identifier. Of several that begin at one
+    place the longest counts, and the next begins where it ends.
+
     Where a rule's sequence matches, its sentences are used up: shorter rules match only
     in what is left, so one sentence never counts twice. Repeated sentences repeat in
     sentence_ids; a rule is named once. Null or empty texts, and texts without a known
@@ -99,13 +137,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text costs only its own task. Known sentences and rules are plan constants.
     """
     known, rules = dict(SENTENCES if known is None else known), list(RULES if rules is None else rules)
-    by_text = {re.sub(r"[^\w]+", " ", v.lower()).strip(): k for k, v in known.items()}
+    spelled = {known_words(v): k for k, vs in known.items() for v in ([vs] if isinstance(vs, str) else vs)}
+    by_text = {words: k for (words, _), k in spelled.items()}
     ids = F.create_map(*[F.lit(x) for k, v in by_text.items() for x in (k, v)])
-    longest = max(len(x) for x in by_text)
+    # Longest first, and of one length that with most breaks.
+    choice = "|".join(p for _, p in sorted(spelled, key=lambda x: (-len(x[0]), -len(x[1]))))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    cut = F.filter(sentences(text), lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
-    likely = text.rlike(TRIGGER) if all(re.search(TRIGGER, x) for x in by_text) else F.lit(True)
-    found = F.filter(F.transform(cut, lambda s: F.try_element_at(ids, s)), lambda x: x.isNotNull())
+    cut = F.regexp_extract_all(marked(text), F.lit(f"[.;]({choice})(?=[.;])"), F.lit(1))
+    likely = text.rlike(TRIGGER) if all(regex.search(TRIGGER, x) for x in by_text) else F.lit(True)
+    found = F.transform(cut, lambda s: F.element_at(ids, F.translate(s, ";.", "  ")))
     empty = F.array().cast("array<string>")
     out = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(likely, found).otherwise(empty).alias("sentence_ids"))
     # The identifiers as one string, each between bars; a matched sequence becomes one bar.
