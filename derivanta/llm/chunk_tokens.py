@@ -92,10 +92,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def library_codec(path: str, default_pattern: str) -> ChunkCodec:
+def _added_tokens(spec: dict) -> dict[str, bytes]:
+    """The file's added tokens, which the library cuts out of a text before all else, and their ids."""
+    for t in spec["added_tokens"]:
+        if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] or re.search(r"\s", t["content"]):
+            raise ValueError("one of the file's added tokens isn't of a known kind")
+    return {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+
+
+def library_codec(path: str, default_pattern: str, added: bool = False) -> ChunkCodec:
     """For byte-level BPE files of the tokenizers library, by the library's own normaliser and
     model; only the split into pre-tokens is done here, by the file's pattern or the default one.
-    Special tokens' strings in a text are ordinary text."""
+    added: as in the library's encode, an added token's string in a text is that token; otherwise
+    (its encode_special_tokens) it is ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -123,11 +132,21 @@ def library_codec(path: str, default_pattern: str) -> ChunkCodec:
             chunk = chunk.lower() if simple and chunk.isascii() else normalizer.normalize_str(chunk)
         return b"".join([words[w] for w in find(chunk)])
 
-    return ChunkCodec(pieces, keep=not split)
+    tokens = _added_tokens(spec) if added else {}
+    if not tokens:
+        return ChunkCodec(pieces, keep=not split)
+    # No token holds white space, so none lies across two chunks; at one place the longest counts.
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")").split
+
+    def with_tokens(chunk: str) -> bytes:
+        parts = cut(chunk)
+        return pieces(chunk) if len(parts) == 1 else b"".join([tokens[x] if i % 2 else pieces(x) for i, x in enumerate(parts)])
+
+    return ChunkCodec(with_tokens, keep=not split)
 
 
 @lru_cache(maxsize=4)
-def cached_library_codec(path: str, default_pattern: str) -> ChunkCodec:
+def cached_library_codec(path: str, default_pattern: str, added: bool = False) -> ChunkCodec:
     """One per worker process."""
     spare_collector()
-    return library_codec(path, default_pattern)
+    return library_codec(path, default_pattern, added)

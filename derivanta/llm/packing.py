@@ -24,18 +24,19 @@ from .chunk_tokens import cached_library_codec
 from .common import Scratch
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """doc_id, piece (from 0), start, length, ids (binary, little-endian unsigned 32-bit).
 
     A document is its tokens and the end id. One longer than the capacity is cut into pieces of
     exactly that length, but for the first, which takes what is left over. Null and empty
     texts hold the end id only; null ids and repeated rows stay; other columns are ignored.
+    added: strings of the file's added tokens in a text are these tokens (see library_codec).
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     last = array("I", [end_id]).tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = cached_library_codec(tokenizer, pattern)
+        codec = cached_library_codec(tokenizer, pattern, added)
         for b in slices(batches, 1):
             row, piece, start, ids = [], [], [], []
             for i, t in enumerate(texts(b, 1)):

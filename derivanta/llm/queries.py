@@ -35,7 +35,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "token-files").path("orc")
-    token_files.write_token_ids(_read(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN, end_id=1)
+    token_files.write_token_ids(_read(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN, end_id=1, added=True)
     return token_files.with_crc32(token_files.read_token_ids(spark, out))
 
 
@@ -44,7 +44,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_TEXT, CAPACITY)
+    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_TEXT, CAPACITY, added=True)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
 
 

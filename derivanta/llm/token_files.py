@@ -21,10 +21,12 @@ def _schema(kind: str) -> str:
     return f"doc_id {kind}, local_start long, n_tokens long, ids array<int>"
 
 
-def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added: bool = False) -> None:
     """Writes one row per input row in ascending id order over the files' name order: doc_id,
     local_start (ids before it in its file), n_tokens (with the end id) and ids.
 
+    added: strings of the file's added tokens in a text are these tokens (see library_codec).
+
     The texts are dealt out by ranges of (id, hash of the text) and sorted, so equal ids
     may span files and no id makes a file large; a task encodes its rows as they come and
     its file gets the running sum, so no pass over the ids follows. Each file's stripes hold
@@ -40,7 +42,7 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end
     last = array("I", [end_id]).tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        codec, at = cached_library_codec(tokenizer, pattern), 0
+        codec, at = cached_library_codec(tokenizer, pattern, added), 0
         for b in slices(batches, 1):
             ids = [codec.encode(t) + last for t in texts(b, 1)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
