@@ -188,7 +188,8 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (512, 2048), length_col: str = "length", id_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """All columns of pieces, sequence_id (from 0) and offset (the place in the sequence, without gaps).
-    Of the plans for each number of groups, the one of fewest sequences is taken.
+    Of the plans for each number of groups, the one of fewest sequences is taken. A number not below
+    that of the distinct large lengths makes a plan of exact lengths, in which nothing is rounded.
 
     Lengths are integers from 1 to capacity; a null or another length fails the job. Repeated rows
     are packed as often as they come; ties in length go by a hash of the row. No pieces:
