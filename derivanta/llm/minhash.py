@@ -23,8 +23,8 @@ MANTISSA = 10
 #: standard deviations of 200 registers at 0.8.
 SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _CHUNK = 1024
-#: Ids of up to this many documents (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids of up to this many sets (24 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,9 +89,9 @@ def similarity(same: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a 128-bit hash of the whole set) and regs (binary); nulls for the
-    last three where there are no words."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """doc_id, n_shingles, f1, f2 (a 128-bit hash of the whole set), regs (binary) and h (a hash of the
+    text as it stands); nulls for f1, f2 and regs where there are no words."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -109,9 +109,9 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                     f1.append(None)
                     f2.append(None)
                     regs.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary()), b.column(2)], names=["doc_id", "n_shingles", "f1", "f2", "regs", "h"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, regs binary")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, regs binary, h long")
 
 
 def _likely(pairs: DataFrame, bound: float) -> DataFrame:
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     themselves; rows with a null id are too (component null). Rows of equal id and different
     texts count as one document that has all their links. Other columns are ignored.
 
-    1. Texts of equal sets form a class (one aggregation, partial sums on the map side); the
-       least id stands for it, so copies cost nothing from here on.
+    1. Texts of equal sets form a class (one aggregation, partial sums on the map side) with a
+       number of its own; the text of least id stands for it, so copies cost nothing from here
+       on. Classes that share a doc_id are linked.
     2. Band keys of the representatives' registers; keys of one representative drop out.
     3. Rounds, as long as they find links (at most `rounds`): each key in which more than one
        component is left offers one member as its centre, another one each round; a member
@@ -174,20 +175,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     scratch = Scratch(spark, "minhash")
     sketch = scratch.save(sketches(docs, words, id_col, text_col), "sketches")
     full = sketch.where("f1 is not null and doc_id is not null")
-    classes = scratch.save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, ["f1", "f2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "regs", "f1", "f2")
+    classes = scratch.save(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("f1", "f2", F.col("m.doc_id").alias("low"), F.col("m.h").alias("low_h"), F.monotonically_increasing_id().alias("rep")), "classes")
+    reps = full.join(classes, ["f1", "f2"]).where("doc_id = low and h = low_h").select("rep", F.col("n_shingles").alias("n"), "regs", "low", "low_h")
+    several = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id")
+    owned = full.join(several, "doc_id").select("doc_id", "f1", "f2").distinct().join(classes, ["f1", "f2"])
+    owned = scratch.save(owned.select("doc_id", "rep"), "owned")
     bands = REGISTERS // ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = reps.select("rep", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = scratch.save(banded.join(shared, "key"), "members")
-    ids = scratch.save(members.select("rep").distinct(), "ids")
+    ids = scratch.save(members.select("rep").distinct().join(classes, "rep").select("rep", "low", "low_h"), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    known = scratch.save(reps.join(ids, "rep").groupBy("rep").agg(F.max("n").alias("n"), F.max_by("regs", F.struct("n", "f1", "f2")).alias("regs")), "registers")
-    slim = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bodies = scratch.save(slim.join(ids, "rep"), "texts")
+    known = scratch.save(reps.join(ids.select("rep"), "rep").groupBy("rep").agg(F.max("n").alias("n"), F.max_by("regs", "n").alias("regs")), "registers")
+    slim = docs.select(F.col(f"`{id_col}`").alias("low"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("low_h", F.xxhash64("text"))
+    bodies = scratch.save(slim.join(ids, ["low", "low_h"]).select("rep", "text"), "texts")
     bound = percent / 100 - SLACK
     links = checked = component = None
+    if not owned.isEmpty():
+        links = owned.join(owned.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
+        component = scratch.save(connected_components(links, scratch), "components")
 
     def sized(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
@@ -233,9 +240,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             break
         r += 1
         last = r >= rounds or not found
-    classes = classes.join(component, classes.rep == component.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("comp"))
+    least = classes.join(component, classes.rep == component.node).groupBy("component").agg(F.min("low").alias("least"))
+    least = component.join(least, "component").select(F.col("node").alias("rep"), "least")
+    classes = classes.join(least, "rep", "left").select("f1", "f2", F.coalesce("least", "low").alias("comp"))
     out = sketch.join(classes, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def _blocks(rest: DataFrame, known: DataFrame, bound: float, percent: int) -> DataFrame:
