@@ -112,7 +112,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     non-finite components, are linked with nothing: n_links 0, component_id their vec_id. Vectors of
     different length aren't linked. Repeated rows count each. Other columns are ignored.
 
-    Equal vectors of a label form a class, which one row stands for from there on; copies count
+    Equal vectors of a label form a class with a number of its own, which one row stands for from
+    there on; rows of one id in several classes count each, and link these. Copies count
     as links but are never paired. Each class goes to its nearest pivot's cell and, as a copy,
     to those that a vector within the radius may be at home in; each cell joins by itself,
     in tasks of at most BLOCK rows a side, so no cell, label or hot vector makes a task large. A
@@ -124,8 +125,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     radius = float(np.sqrt(2 - 2 * cosine))
     key = ["label", "h1", "h2"]
     usable = scratch.save(usable_vectors(vectors, id_col, vec_col, label_col).where("id is not null and label is not null"), "vectors")
-    classes = scratch.save(usable.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
-    reps = scratch.save(usable.join(classes, key).where("id = rep").dropDuplicates(["rep", *key]).select("rep", "label", "dim", "mult", "v"), "reps")
+    classes = scratch.save(usable.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("mult")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = scratch.save(usable.join(classes, key).where("id = rep").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "label", "dim", "mult", "v"), "reps")
     sample = reps.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
     dim = int(sample["dim"].mode().iloc[0]) if len(sample) else 0
     per_label = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") ** 2), F.sum("n")).first()
@@ -153,9 +154,15 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     own = own.withColumn("mine", mine).withColumn("each", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("ob")).otherwise(F.col("hb")) - 1)))
     own = own.select(*cell, F.when(F.col("home"), F.col("mine")).otherwise(F.col("each")).alias("x"), F.when(F.col("home"), F.col("each")).otherwise(F.col("mine")).alias("y"), "rep", "mult", "v", "home")
     found = scratch.save(own.groupBy(*cell, "x", "y").applyInPandas(lambda pdf: _join(pdf, cosine), "a long, b long, links long"), "found")
-    component = connected_components(found.where("a <> b").select("a", "b"), scratch)
+    # From here on ids: the classes' least ones, and those whose rows are in several classes.
+    low = classes.select("node", "rep")
+    edges = found.where("a <> b").select("a", "b").join(low.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b")
+    owned = usable.select("id", *key).join(classes, key).select("id", "node", "rep")
+    several = owned.groupBy("id").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("id")
+    edges = edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(owned.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    component = connected_components(edges, scratch)
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
-    known = classes.join(links, classes.rep == links.a, "left").join(component, classes.rep == component.node, "left")
+    known = classes.join(links, classes.node == links.a, "left").join(component, classes.rep == component.node, "left")
     known = known.select(*key, (F.col("mult") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = usable.select("id", *key).join(known, key).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.lit(1).alias("one")).groupBy("vec_id").agg(F.count("one").alias("rows"))
