@@ -7,18 +7,24 @@ in the shared folder and reads them for the next.
 
 from __future__ import annotations
 
-from derivanta.llm import line_dedup, minhash
+from derivanta.llm import line_dedup, minhash, quality
 from derivanta.llm.common import Scratch
-from derivanta.llm.queries import judge_documents, pack_documents
+from derivanta.llm.queries import pack_documents
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; of rows with one id all go if any is rejected. Rows
-    without an id stay, as no decision can be told apart for them."""
-    judged = judge_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(judged.where("not keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the classifier rejects go, whatever their ids. Its decision follows from text, source
+    and language, so rows equal in these and the id, with the text as 128 bits of hashes, share it."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    key = F.struct("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    judged = quality.classify(docs.withColumn("_key", key), model, F.col("source"), F.col("lang"), id_col="_key")
+    gone = judged.where("not keep").select(*[F.col(f"doc_id.{c}").alias(f"_{c}") for c in ("doc_id", "source", "lang", "h1", "h2")]).distinct()
+    same = (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(1), "text") == F.col("_h2"))
+    for c in ("doc_id", "source", "lang"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
