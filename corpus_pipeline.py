@@ -28,10 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; n_chars follows the text. A document that had text and
-    has none left goes as well."""
+    """Lines that an earlier document holds go; n_chars follows the text. A document that lost lines and
+    has nothing but ASCII white space left (as at the ends of a line's key) goes as well."""
     out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
