@@ -1,8 +1,8 @@
-"""Token ids of whole texts from tables of chunks met before.
+"""Token ids of whole texts.
 
-A text is cut at lone spaces, where every tokenizer here is sure to cut as well, so the ids of the
-text are those of its chunks in order. A worker keeps the ids of recent chunks and
-recent pre-tokens in tables of bounded size; a new pre-token goes to the tokenizers library's model.
+A text is cut at spaces where a tokenizer is sure to cut as well, so its ids are those of its
+chunks in order, and a worker keeps the ids of recent chunks and pre-tokens in tables of bounded
+size. Files of the tokenizers library go through tiktoken's merging routine.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import regex
 
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
+_STOPS = (",", ".", ";", ":", "!", "?")
 
 
 class Memo(dict):
@@ -92,61 +93,131 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def _added_tokens(spec: dict) -> dict[str, bytes]:
-    """The file's added tokens, which the library cuts out of a text before all else, and their ids."""
-    for t in spec["added_tokens"]:
-        if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] or re.search(r"\s", t["content"]):
-            raise ValueError("one of the file's added tokens isn't of a known kind")
-    return {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+#: Stands for the end of a word in the byte strings of tokens; no UTF-8 text holds this byte.
+_WORD_END = b"\xff"
+
+
+def _ranks(model: dict) -> dict[bytes, int]:
+    """Byte string of each token that merges can reach -> its id. Ids must rise in the order of the
+    merges, so that an id is its merge's rank as well."""
+    if model["type"] != "BPE" or model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"]:
+        raise ValueError("the file's model isn't of a known kind")
+    suffix, vocab = model["end_of_word_suffix"] or "", model["vocab"]
+    byte_of = {letter: bytes([b]) for b, letter in _byte_letters().items()}
+
+    def raw(token: str) -> bytes:
+        ends = suffix and token.endswith(suffix)
+        return b"".join(byte_of[c] for c in (token[: -len(suffix)] if ends else token)) + (_WORD_END if ends else b"")
+
+    ranks = {raw(x): vocab[x] for letter in byte_of for x in {letter, letter + suffix}}
+    last = max(ranks.values())
+    for merge in model["merges"]:
+        token = "".join(merge.split(" ") if isinstance(merge, str) else merge)
+        if vocab[token] <= last:
+            raise ValueError("the file's ids don't rise with its merges")
+        last = ranks[raw(token)] = vocab[token]
+    return ranks
+
+
+class TextCodec:
+    """encode(text) -> little-endian unsigned 32-bit ids, for vocabularies whose tokens hold the
+    white space too: a text goes through the merges as a whole."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tokens: dict[str, int]):
+        import tiktoken
+
+        self.coding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=tokens)
+        self.find, self.tokens, self.cut = regex.compile(pattern).findall, tokens, _cutter(tokens)
+
+    def encode(self, text: str) -> bytes:
+        try:
+            return self.coding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:  # its search gives up on very long runs of white space
+            out = array("I")
+            for i, part in enumerate(self.cut(text)):
+                if i % 2:
+                    out.append(self.tokens[part])
+                else:
+                    for piece in self.find(part):
+                        out.extend(self.coding._encode_single_piece(piece))
+            return out.tobytes()
+
+
+class WordCodec:
+    """encode(text) -> little-endian unsigned 32-bit ids, for vocabularies that mark the end of a word and
+    drop white space. A text is cut at spaces, which no token of the file spans; the ids of
+    recent chunks are kept in a table of bounded size."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tokens: dict[str, int], normalize: Callable[[str], str] | None, lower: bool, limit: int = 250_000):
+        import tiktoken
+
+        self.coding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.find, self.normalize, self.lower = regex.compile(pattern).findall, normalize, lower
+        self.tokens, self.cut, self.mark = tokens, _cutter(tokens), os.path.commonprefix([*tokens])
+        self.words, self.known = Memo(self._word, 100_000), Memo(self._chunk, limit)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.coding._encode_single_piece(word.encode() + _WORD_END)).tobytes()
+
+    def _pieces(self, part: str) -> bytes:
+        if self.normalize is not None:
+            part = part.lower() if self.lower and (part.isascii() or max(part) < "\u0250") else self.normalize(part)
+        if part.isalpha():
+            return self.words[part]
+        if part[-1:] in _STOPS and part[:-1].isalpha():
+            return self.words[part[:-1]] + self.words[part[-1]]
+        return b"".join([self.words[w] for w in self.find(part)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.tokens and self.mark in chunk:
+            return b"".join([array("I", [self.tokens[x]]).tobytes() if i % 2 else self._pieces(x) for i, x in enumerate(self.cut(chunk))])
+        return self._pieces(chunk)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
-def library_codec(path: str, default_pattern: str, added: bool = False) -> ChunkCodec:
-    """For byte-level BPE files of the tokenizers library, by the library's own normaliser and
-    model; only the split into pre-tokens is done here, by the file's pattern or the default one.
+def _cutter(tokens: dict[str, int]) -> Callable[[str], list[str]]:
+    """Cuts a text at the strings of added tokens: every second part is one. At one place the longest counts."""
+    if not tokens:
+        return lambda text: [text]
+    return re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")").split
+
+
+def library_codec(path: str, default_pattern: str, added: bool = True) -> TextCodec | WordCodec:
+    """For byte-level BPE files of the tokenizers library: the ids that its encode gives.
+
+    The file's vocabulary and merges go to tiktoken's merging routine, several times as fast;
+    the library's own normaliser is used, and the file's pattern or the default one.
     added: as in the library's encode, an added token's string in a text is that token; otherwise
-    (its encode_special_tokens) it is ordinary text."""
+    (its encode_special_tokens) it is ordinary text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
     split = [s for s in steps if s["type"] == "Split"]
     if steps[-1]["type"] != "ByteLevel" or steps[-1]["add_prefix_space"] or any(not s["invert"] or s["behavior"] != "Removed" for s in split) or len(split) > 1:
         raise ValueError("the file's pre-tokenizer isn't of a known kind")
-    find = regex.compile(split[0]["pattern"]["Regex"] if split else default_pattern).findall
-    letters = _byte_letters()
-    tokenize, normalizer = tokenizer.model.tokenize, tokenizer.normalizer
-
-    def word(w: str) -> bytes:
-        shown = w.replace(" ", letters[0x20]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
-        return array("I", [t.id for t in tokenize(shown)]).tobytes()
-
-    words = Memo(word, 100_000)
+    for t in spec["added_tokens"]:
+        if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] or re.search(r"\s", t["content"]):
+            raise ValueError("one of the file's added tokens isn't of a known kind")
+    tokens = {t["content"]: t["id"] for t in spec["added_tokens"]} if added else {}
+    ranks, ends = _ranks(spec["model"]), bool(spec["model"]["end_of_word_suffix"])
+    if bool(split) != ends or not ends and spec["normalizer"]:
+        raise ValueError("the file's normaliser isn't of a known kind")
+    if not ends:
+        return TextCodec(ranks, default_pattern, tokens)
+    normalizer = Tokenizer.from_file(path).normalizer
     kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    simple = kinds == ["NFC", "Replace", "Lowercase"]  # of an ASCII text without white space in its tokens: lower case
-
-    def pieces(chunk: str) -> bytes:
-        if normalizer is not None:
-            chunk = chunk.lower() if simple and chunk.isascii() else normalizer.normalize_str(chunk)
-        return b"".join([words[w] for w in find(chunk)])
-
-    tokens = _added_tokens(spec) if added else {}
-    if not tokens:
-        return ChunkCodec(pieces, keep=not split)
-    # No token holds white space, so none lies across two chunks; at one place the longest counts.
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")").split
-
-    def with_tokens(chunk: str) -> bytes:
-        parts = cut(chunk)
-        return pieces(chunk) if len(parts) == 1 else b"".join([tokens[x] if i % 2 else pieces(x) for i, x in enumerate(parts)])
-
-    return ChunkCodec(with_tokens, keep=not split)
+    # Of a chunk of letters that are all composed these three are lower case, but for white space, which is dropped.
+    return WordCodec(ranks, split[0]["pattern"]["Regex"], tokens, normalizer and normalizer.normalize_str, kinds == ["NFC", "Replace", "Lowercase"])
 
 
 @lru_cache(maxsize=4)
-def cached_library_codec(path: str, default_pattern: str, added: bool = False) -> ChunkCodec:
+def cached_library_codec(path: str, default_pattern: str, added: bool = True) -> TextCodec | WordCodec:
     """One per worker process."""
     spare_collector()
     return library_codec(path, default_pattern, added)

@@ -21,7 +21,7 @@ def _schema(kind: str) -> str:
     return f"doc_id {kind}, local_start long, n_tokens long, ids array<int>"
 
 
-def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added: bool = False) -> None:
+def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added: bool = True) -> None:
     """Writes one row per input row in ascending id order over the files' name order: doc_id,
     local_start (ids before it in its file), n_tokens (with the end id) and ids.
 

@@ -58,7 +58,6 @@ def test_perfect_hash():
 
 def library_ids(name, end):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in TEXTS]
 
 
