@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .arrow_text import slices, texts
@@ -24,7 +25,7 @@ from .chunk_tokens import cached_library_codec
 from .common import Scratch
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> DataFrame:
     """doc_id, piece (from 0), start, length, ids (binary, little-endian unsigned 32-bit).
 
     A document is its tokens and the end id. One longer than the capacity is cut into pieces of
@@ -85,28 +86,27 @@ def _fill(room: int, sizes: list[int], left: list[int]) -> list[int]:
 def plan_sequences(counts: dict[int, int], capacity: int, groups: int = 256, small: int | None = None) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences) for counts documents of each length.
 
-    1. Lengths over small (an eighth of the capacity unless given), in falling order, form groups
-       of equal cardinality; each is rounded up to its group's largest (no more distinct lengths
-       than groups: each is a group of its own, and nothing is rounded).
+    1. Lengths over small (a third of the capacity unless given), in falling order, form groups of
+       equal cardinality; each is rounded up to its group's largest.
     2. Configurations of these few sizes: for the largest left, the sizes that fill the rest
        of a sequence best, used as often as all of them last.
     3. The documents' own lengths take the places of their group.
-    4. Small ones, in falling order, go where they leave least room, or into new sequences.
+    4. Small ones, in falling order, go where they leave least room, or into new sequences; they fill
+       what the rounding left over as well.
     """
-    small = capacity // 8 if small is None else small
+    small = capacity // 3 if small is None else small
     plan: list[tuple[list[int], int]] = []
     large = sorted((n for n, c in counts.items() if n > small and c), reverse=True)
-    total = sum(counts[n] for n in large)
-    share = 1 if len(large) <= groups else -(-total // groups)
+    share = -(-sum(counts[n] for n in large) // groups)
     sizes, left, members = [], [], []
     for n in large:
         c = counts[n]
         while c:
-            if not sizes or share == 1 or left[-1] == share:
+            if not sizes or left[-1] == share:
                 sizes.append(n)
                 left.append(0)
                 members.append([])
-            take = c if share == 1 else min(c, share - left[-1])
+            take = min(c, share - left[-1])
             left[-1] += take
             members[-1].append([n, take])
             c -= take
@@ -186,44 +186,43 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (512, 2048), length_col: str = "length", id_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, groups: int = 256, length_col: str = "length", id_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """All columns of pieces, sequence_id (from 0) and offset (the place in the sequence, without gaps).
-    Of the plans for each number of groups, the one of fewest sequences is taken. A number not below
-    that of the distinct large lengths makes a plan of exact lengths, in which nothing is rounded.
 
     Lengths are integers from 1 to capacity; a null or another length fails the job. Repeated rows
-    are packed as often as they come; ties in length go by a hash of the row. No pieces:
-    no rows. Pieces are written once to the shared folder. The histogram (at most capacity rows)
+    are packed as often as they come; ties in length go by a hash of the row. Input columns named
+    sequence_id or offset are replaced; any other name may occur. No pieces: no rows.
+    Pieces are written once to the shared folder. The histogram (at most capacity rows)
     goes to the driver, and the places (a few thousand rows) to the tasks. Ranks come from
     counts per length and hash bucket, so a length that many documents share is spread out.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    names = pieces.columns
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
     n = F.col(f"`{length_col}`").cast("long")
     fine = F.when(n.between(1, capacity), n).otherwise(F.raise_error(F.lit("a length is null or outside 1 to the capacity")).cast("long"))
-    saved = scratch.save(pieces.withColumn("_n", fine).withColumn("_h", key), "pieces")
-    counts = {r["_n"]: r["c"] for r in saved.groupBy("_n").agg(F.count("*").alias("c")).collect()}
-    where = places(min((plan_sequences(counts, capacity, g) for g in groups), key=lambda plan: sum(m for _, m in plan)))
+    saved = scratch.save(pieces.select(row.alias("row"), fine.alias("n"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h")), "pieces")
+    counts = {r["n"]: r["c"] for r in saved.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    where = places(plan_sequences(counts, capacity, groups))
     buckets = max(256, sum(counts.values()) // 250_000)
-    dealt = saved.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
-    base = dealt.groupBy("_n", "_b").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select("_n", "_b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"))
-    order = Window.partitionBy("_n", "_b").orderBy("_h", *[F.col(f"`{c}`") for c in id_cols])
-    ranked = dealt.withColumn("_r", F.row_number().over(order)).join(base, ["_n", "_b"])
-    ranked = ranked.select(*[F.col(f"`{c}`") for c in names], "_n", (F.col("_base") + F.col("_r") - 1).alias("_r"))
+    dealt = saved.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int"))
+    base = dealt.groupBy("n", "b").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select("n", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("n", "b").orderBy("h", *[F.col("row")[c] for c in id_cols])
+    ranked = dealt.withColumn("r", F.row_number().over(order)).join(base, ["n", "b"])
+    ranked = ranked.select("row", "n", (F.col("base") + F.col("r") - 1).alias("r"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf = pd.DataFrame({"n": b.column(len(names)).to_numpy(), "r": b.column(len(names) + 1).to_numpy()})
+            pdf = pd.DataFrame({"n": b.column(1).to_numpy(), "r": b.column(2).to_numpy()})
             sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             for n, at in pdf.groupby("n").indices.items():
                 rows, r = where[n], pdf["r"].to_numpy()[at]
                 k = np.searchsorted(rows[:, 0], r, side="right") - 1
                 sequence[at], offset[at] = rows[k, 1] + r - rows[k, 0], rows[k, 2]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sequence), pa.array(offset)], names=["row", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, T.StructType([saved.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.select(*[F.col("row")[c].alias(c) for c in names], "sequence_id", "offset")
