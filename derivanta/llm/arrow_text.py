@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -26,3 +27,15 @@ def slices(batches, column: int | str, max_bytes: int = 4 << 20) -> Iterator[pa.
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """Texts as str, null as the empty one."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def raw_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """A column of texts or binaries as one byte string and the bounds between rows; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return b"", np.zeros(1, np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (data.slice(bounds[0], bounds[-1] - bounds[0]).to_pybytes() if data is not None else b""), bounds - bounds[0]
