@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is unset, as in a local test, a new temporary folder is
-    made, once a session, and set as the context's checkpoint folder.
+    Only where that setting is unset in local mode, as in a test, a new temporary folder is
+    made, once a session, and set as the context's checkpoint folder; a cluster must name one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: driver and executors need a shared folder")
     made = getattr(spark.sparkContext, "_derivanta_dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="spark-")
@@ -26,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores added until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Written tables of one operator run. They cut the lineage: what follows reads files
     that outlive any executor. drop() removes a table once nothing reads it any more."""
@@ -48,6 +61,10 @@ class Scratch:
         for t in tables:
             self.delete(t._scratch_path)
 
+    def clear(self) -> None:
+        """Removes all tables of the run."""
+        self.delete(self.root)
+
     def delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

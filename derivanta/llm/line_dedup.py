@@ -16,9 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow_text import slices, texts
-from .common import Scratch
+from .common import Scratch, fresh
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -51,20 +52,23 @@ class LineRuns:
 
     Each run is a table in the shared folder, in hash buckets, each sorted by hash, so that a
     join with a batch moves the batch only. add() must get batches in order of rising ids.
+    close() removes the tables and their files.
     """
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets = spark, buckets
-        self.scratch, self.levels = Scratch(spark, "line-runs"), {}
+        self.scratch, self.levels, self.paths = Scratch(spark, "line-runs"), {}, {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = self.scratch.path("run")
         rows = rows.repartition(self.buckets, "h1", "h2")
-        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.scratch.path("run")).saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.delete(self.paths.pop(name))
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(n) for n in self.levels.values()]
@@ -93,19 +97,21 @@ class LineRuns:
         return merged.where("seen or twice").select("h1", "h2", "owner")
 
     def close(self) -> None:
-        for n in self.levels.values():
+        for n in [*self.paths]:
             self._drop(n)
         self.levels = {}
+        self.scratch.clear()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text's repeated lines gone, n_lines (before) and n_dropped.
 
     Lines are cut at line feeds. A key (see line_hashes) that at least two documents hold keeps its
     lines only in the document of least id, there all of them; the kept lines stay in order.
     A text left without lines is empty; a null or empty text is one empty line. Rows of equal
     id count as one document and keep or lose lines alike; rows with a null id stay
-    whole. Input columns named n_lines or n_dropped are replaced. An empty table gives none.
+    whole. Input columns named n_lines or n_dropped are replaced, any other name may occur. Ids
+    that are no numbers come as one batch. An empty table gives none.
 
     A key meets others as one row a task (least and largest id), so a line that a third of all
     documents hold is no large group; rows of dropped lines go through a join that AQE can
@@ -115,26 +121,33 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     lines = scratch.save(line_hashes(docs, min_chars, id_col, text_col), "lines")
-    cuts = sorted(set(lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
+    cuts = []
+    if batches > 1 and isinstance(lines.schema["doc_id"].dataType, T.NumericType):
+        cuts = sorted(set(lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []))
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dropped = None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        inside = F.lit(True)
-        inside = inside & (F.col("doc_id") > low) if low is not None else inside
-        inside = inside & (F.col("doc_id") <= high) if high is not None else inside
-        batch = lines.where(inside)
-        keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        repeated = runs.add(keys)
-        part = batch.join(repeated, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "line")
-        dropped = part if dropped is None else dropped.unionByName(part)
-    drops = scratch.save(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("_drop")), "drops")
-    runs.close()
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            inside = F.lit(True)
+            inside = inside & (F.col("doc_id") > low) if low is not None else inside
+            inside = inside & (F.col("doc_id") <= high) if high is not None else inside
+            batch = lines.where(inside)
+            keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+            repeated = runs.add(keys)
+            part = batch.join(repeated, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "line")
+            dropped = part if dropped is None else dropped.unionByName(part)
+        drops = scratch.save(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "drops")
+    finally:
+        runs.close()
+    scratch.drop(lines)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    listed = drops.withColumnRenamed("doc_id", "_doc").hint("merge")
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(listed, F.col(f"`{id_col}`") == F.col("_doc"), "left")
+    slim = docs.select(*[F.col(f"`{c}`") for c in names])
+    doc, drop = fresh(slim, "doc", "drop")
+    listed = drops.select(F.col("doc_id").alias(doc), F.col("lines").alias(drop)).hint("merge")
+    joined = slim.join(listed, slim[f"`{id_col}`"] == listed[doc], "left")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     cut = F.split(text, "\n", -1)
-    every = F.sequence(F.lit(0), F.size(cut) - 1)
-    kept = F.array_join(F.transform(F.array_except(every, F.col("_drop")), lambda i: F.get(cut, i)), "\n")
-    new = F.when(F.col("_drop").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.size(cut).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    # Within the function the cut text is a value: it is split once, not once a line.
+    rest = lambda c: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col(drop)), lambda i: F.get(c, i)), "\n")
+    new = F.when(F.col(drop).isNull(), F.col(f"`{text_col}`")).otherwise(F.get(F.transform(F.array(cut), rest), F.lit(0)))
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.size(cut).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
