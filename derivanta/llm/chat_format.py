@@ -42,13 +42,12 @@ def parse(formatted: Column) -> Column:
     pieces = F.split(formatted, r"<\|im_end\|>\n")
     body = F.slice(pieces, 1, F.size(pieces) - 1)
     rest = F.element_at(pieces, -1)
-    shaped = F.forall(body, lambda p: p.rlike(r"\A<\|im_start\|>(?:(?!<\|)[^\n]|<\|nl\|>)*\n(?:(?!<\|)[\s\S])*+\z"))
-
-    def turn(p):
-        head = F.substring_index(p, "\n", 1)
-        role = F.substring(head, len(START) + 1, 1 << 30)
-        return F.struct(unescape(F.replace(role, F.lit(BREAK), F.lit("\n"))).alias("role"), unescape(p.substr(F.char_length(head) + 2, F.char_length(p))).alias("text"))
-
+    head = lambda p: F.substring_index(p, "\n", 1)
+    role = lambda p: F.replace(F.substring(head(p), len(START) + 1, 1 << 30), F.lit(BREAK), F.lit("\n"))
+    text = lambda p: p.substr(F.char_length(head(p)) + 2, F.char_length(p))
+    clean = lambda x: ~F.contains(x, F.lit("<|"))
+    shaped = F.forall(body, lambda p: F.startswith(p, F.lit(START)) & F.contains(p, F.lit("\n")) & clean(role(p)) & clean(text(p)))
+    turn = lambda p: F.struct(unescape(role(p)).alias("role"), unescape(text(p)).alias("text"))
     return F.when((rest == "") & shaped, F.transform(body, turn))
 
 
