@@ -15,6 +15,8 @@ from .vectors import cosines, matrix, unit, usable_vectors
 
 #: Rows of a block of queries and of one of candidates; a tile is TILE of those queries.
 QUERIES, CANDIDATES, TILE = 2048, 16384, 128
+#: Blocks of candidates whose results meet in one merge of a level, for about ASKED queries.
+FAN, ASKED = 64, 512
 
 
 def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -27,9 +29,8 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _block(qs: pd.DataFrame, cs: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of one block of candidates for each query of one block."""
-    none = pd.DataFrame({"h1": [], "h2": [], "id": [], "score": []}).astype({"h1": "int64", "h2": "int64", "id": "int64"})
     if qs.empty or cs.empty:
-        return none
+        return pd.DataFrame({"part": [], "h1": [], "h2": [], "id": [], "score": []}).astype({"part": "int32", "h1": "int64", "h2": "int64", "id": "int64"})
     dim = int(qs["dim"].iloc[0])
     q, c, ids = matrix(qs["v"], dim), matrix(cs["v"], dim), cs["id"].to_numpy()
     qc, qscale, qlong, qerr = quantised(unit(q))
@@ -49,16 +50,16 @@ def _block(qs: pd.DataFrame, cs: pd.DataFrame, k: int) -> pd.DataFrame:
             best = nsmallest(k, zip((-score).tolist(), ids[survivors].tolist(), strict=True))
             out += [(at + i, x, -y) for y, x in best]
     at = [x[0] for x in out]
-    return pd.DataFrame({"h1": qs["h1"].to_numpy()[at], "h2": qs["h2"].to_numpy()[at], "id": [x[1] for x in out], "score": [x[2] for x in out]})
+    return pd.DataFrame({"part": np.full(len(at), qs["y"].iloc[0], np.int32), "h1": qs["h1"].to_numpy()[at], "h2": qs["h2"].to_numpy()[at], "id": [x[1] for x in out], "score": [x[2] for x in out]})
 
 
 def _merge(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of all blocks for each query of a bucket."""
-    out = []
+    """The k nearest of some blocks for each query of a bucket."""
+    bucket, part, out = pdf["bucket"].iloc[0], pdf["part"].iloc[0], []
     for (h1, h2), g in pdf.groupby(["h1", "h2"]):
         best = nsmallest(k, zip((-g["score"]).tolist(), g["id"].tolist(), strict=True))
-        out += [(h1, h2, x, -y) for y, x in best]
-    return pd.DataFrame(out, columns=["h1", "h2", "id", "score"])
+        out += [(bucket, part, h1, h2, x, -y) for y, x in best]
+    return pd.DataFrame(out, columns=["bucket", "part", "h1", "h2", "id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -73,7 +74,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     Of equal vectors only the k + 1 of smallest id can be among the nearest, so a group of copies
     counts as that many candidates; equal queries are searched once, for k + 1 neighbours,
     of which each drops its own id. Blocks of queries meet blocks of candidates in
-    tasks of fixed size; what leaves a task is k + 1 rows a query.
+    tasks of fixed size; what leaves a task is k + 1 rows a query, and these are merged by levels: a
+    task of a level gets those of FAN blocks for about ASKED queries, however many blocks there are.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
     all_rows = usable_vectors(vectors, id_col, vec_col).where("id is not null").dropDuplicates(["id", "h1", "h2"])
@@ -89,9 +91,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = distinct.join(blocks, "dim").withColumn("x", mine("nq")).withColumn("y", each("nc")).drop("nq", "nc", "id")
     right = candidates.join(blocks, "dim").withColumn("y", mine("nc")).withColumn("x", each("nq")).drop("nq", "nc", "h1", "h2")
-    tiles = left.groupBy("dim", "x", "y").cogroup(right.groupBy("dim", "x", "y")).applyInPandas(lambda a, b: _block(a, b, k + 1), "h1 long, h2 long, id long, score double")
-    buckets = sum(n for _, n, _ in counts) * 4 + 1
-    merged = tiles.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda p: _merge(p.drop(columns="bucket"), k + 1), "h1 long, h2 long, id long, score double")
+    row = "part int, h1 long, h2 long, id long, score double"
+    tiles = left.groupBy("dim", "x", "y").cogroup(right.groupBy("dim", "x", "y")).applyInPandas(lambda a, b: _block(a, b, k + 1), row)
+    buckets = sum(sizes["q"].values()) // ASKED + 1
+    merged = tiles.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets)))
+    parts = max([n for _, _, n in counts], default=1)
+    while True:
+        merged = merged.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("bucket", "part").applyInPandas(lambda p: _merge(p, k + 1), f"bucket long, {row}")
+        parts = -(-parts // FAN)
+        if parts == 1:
+            break
     found = asked.select(F.col("id").alias("query_id"), "h1", "h2").join(merged, ["h1", "h2"]).where("query_id <> id")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
