@@ -48,14 +48,17 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("packing", packing_stage)]
 
-#: A fitted classifier and a packing plan have no SQL form; tests hold the stages against brute force.
+#: A fitted classifier and a packing plan have no SQL form; tests/llm/test_pipeline_plain.py holds each stage
+#: against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole of documents."""
+    """All stages in order over the whole of documents. A stage's rows go once the next one's are written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
