@@ -193,42 +193,100 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _pairs(starts: np.ndarray, band: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows in units that begin at starts: (i, j, estimate) of pairs within a unit that have different
+    labels, sizes that allow the similarity, and a likely estimate. side: -1 in units of one block, else
+    0 or 1 by the row's block. A pair that shares several bands comes out in the first one only."""
+    rows = len(label)
+    ends = np.repeat(np.append(starts[1:], rows), np.diff(starts, append=rows))
+    chance = chances(n)
+    more = ends - np.arange(rows) - 1
+    before = np.concatenate([[0], np.cumsum(more)])
+    row = 0
+    while row < rows:
+        to = max(row + 1, int(np.searchsorted(before, before[row] + _PAIRS, side="right")) - 1)
+        i = np.repeat(np.arange(row, to), more[row:to])
+        j = i + 1 + np.arange(len(i)) - (before[i] - before[row])
+        row = to
+        fine = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[fine], j[fine]
+        same = regs[i] == regs[j]
+        estimate = similarity(same.mean(axis=1), chance[i], chance[j])
+        fine = np.flatnonzero((estimate >= percent / 100 - SLACK) | (np.minimum(n[i], n[j]) <= SMALL))
+        shared = same[fine].reshape(len(fine), REGISTERS // ROWS, ROWS).all(axis=2)
+        fine = fine[shared.any(axis=1) & (shared.argmax(axis=1) == band[i[fine]])]
+        if len(fine):
+            yield i[fine], j[fine], estimate[fine]
+
+
 def _likely(units: DataFrame, percent: int) -> DataFrame:
-    """(key, x, y, right, rep, label, n, regs) -> (key, x, y, a, b, la, lb, estimate): pairs within a unit that
-    have different labels, sizes that allow the similarity, and a likely estimate. A pair that
-    shares several bands comes out in the first one only."""
+    """(key, x, y, right, rep, label, n, regs) -> (key, x, y, a, b, la, lb, estimate) of _pairs."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
             t = t.combine_chunks().to_batches()[0]
             key, x, y, right, rep, label, n = (t.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             regs = np.frombuffer(raw_bytes(t.column(7))[0], np.uint16).reshape(-1, REGISTERS)
-            starts = _starts([key, x, y])
-            ends = np.repeat(np.append(starts[1:], len(key)), np.diff(starts, append=len(key)))
-            chance = chances(n)
-            more = ends - np.arange(len(key)) - 1
-            before = np.concatenate([[0], np.cumsum(more)])
-            row = 0
-            while row < len(key):
-                to = max(row + 1, int(np.searchsorted(before, before[row] + _PAIRS, side="right")) - 1)
-                i = np.repeat(np.arange(row, to), more[row:to])
-                j = i + 1 + np.arange(len(i)) - (before[i] - before[row])
-                row = to
-                fine = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((x[i] == y[i]) | (right[i] != right[j]))
-                i, j = i[fine], j[fine]
-                same = regs[i] == regs[j]
-                estimate = similarity(same.mean(axis=1), chance[i], chance[j])
-                fine = (estimate >= percent / 100 - SLACK) | (np.minimum(n[i], n[j]) <= SMALL)
-                i, j, same = i[fine], j[fine], same[fine]
-                shared = same.reshape(len(i), REGISTERS // ROWS, ROWS).all(axis=2)
-                fine_band = shared.any(axis=1) & (shared.argmax(axis=1) == (key[i] & 63))
-                i, j, estimate = i[fine_band], j[fine_band], estimate[fine][fine_band]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[i], x[i], y[i], rep[i], rep[j], label[i], label[j], estimate)], names=["key", "x", "y", "a", "b", "la", "lb", "estimate"])
+            for i, j, estimate in _pairs(_starts([key, x, y]), key & 63, np.where(x == y, -1, right), label, n, regs, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[i], x[i], y[i], rep[i], rep[j], label[i], label[j], estimate)], names=["key", "x", "y", "a", "b", "la", "lb", "estimate"])
 
     return units.select("key", "x", "y", "right", "rep", "label", "n", "regs").mapInArrow(run, "key long, x int, y int, a long, b long, la long, lb long, estimate double")
 
 
+def _linked(units: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, x, y, right, rep, label, text) -> (a, b): both steps in one task, for units of large keys. Their
+    likely pairs are not written, only those links that join labels."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3):
+            t = t.combine_chunks().to_batches()[0]
+            key, x, y, right, rep, label = (t.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            starts = _starts([key, x, y])
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                own = slice(at, end)
+                if (label[own] == label[at]).all():
+                    continue
+                values, bounds = shingle_sets(*raw_bytes(t.column(6).slice(at, end - at)), words)
+                side = np.where(x[own] == y[own], -1, right[own])
+                found = [*_pairs(np.zeros(1, np.int64), key[own] & 63, side, label[own], np.diff(bounds), registers(values, bounds), percent)]
+                if not found:
+                    continue
+                i, j, estimate = (np.concatenate(v) for v in zip(*found, strict=True))
+                best = np.argsort(-estimate, kind="stable")
+                labels, sets, out = Labels(), [values[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], []
+                names = label[own].tolist()
+                for p, q in zip(i[best].tolist(), j[best].tolist(), strict=True):
+                    la, lb = labels.of(names[p]), labels.of(names[q])
+                    if la != lb and similar(sets[p], sets[q], percent):
+                        labels.up[la] = lb
+                        out.append((p, q))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[own][[v[k] for v in out]]) for k in range(2)], names=["a", "b"])
+
+    return units.select("key", "x", "y", "right", "rep", "label", "text").mapInArrow(run, "a long, b long")
+
+
+class Labels:
+    """Labels that links have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, v: int) -> int:
+        while (up := self.up.get(v, v)) != v:
+            self.up[v] = self.up.get(up, up)
+            v = up
+        return v
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have intersection / union of at least percent / 100."""
+    if not len(p) or not len(q):
+        return False
+    both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """Rows of _likely -> (a, b) whose whole sets are similar enough, as many as join the labels of a unit.
 
@@ -242,14 +300,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, par
     rows = rows.repartition(parts, *unit).sortWithinPartitions(*unit, "kind", F.desc("estimate"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        last, sets, root = None, {}, {}
-
-        def find(v: int) -> int:
-            while (up := root.get(v, v)) != v:
-                root[v] = root.get(up, up)
-                v = up
-            return v
-
+        last, sets, labels = None, {}, Labels()
         for b in slices(batches, 9, _WINDOW):
             columns = [b.column(i).to_pylist() for i in range(8)]
             texts = [i for i, k in enumerate(columns[3]) if not k]
@@ -257,19 +308,14 @@ def _verified(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, par
             out, at = [], 0
             for *own, kind, i, j, la, lb in zip(*columns, strict=True):
                 if own != last:
-                    last, sets, root = own, {}, {}
+                    last, sets, labels = own, {}, Labels()
                 if not kind:
                     sets[i] = values[bounds[at] : bounds[at + 1]].copy()
                     at += 1
                     continue
-                la, lb = find(la), find(lb)
-                if la == lb:
-                    continue
-                p, q = sets[i], sets[j]
-                where = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                both = int((p[where] == q).sum())
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    root[la] = lb
+                la, lb = labels.of(la), labels.of(lb)
+                if la != lb and similar(sets[i], sets[j], percent):
+                    labels.up[la] = lb
                     out.append((i, j))
             yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
@@ -294,10 +340,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
        centre, another one each round, and a member is verified against the one centre with
        which it shares most keys. Linked members get one label, so a large group of near
        copies costs a few pairs a member.
-    4. All keys: members in blocks, the registers of two blocks at a time; pairs of different
-       labels with a likely estimate come out, each in one key, and are verified on the whole
-       sets, block by block, as far as they join labels. So no link between components is
-       passed over, and neither a key's members nor its pairs ever come together.
+    4. All keys: members in blocks, two blocks at a time; pairs of different labels with a likely
+       estimate, each in one key, are verified on the whole sets, the likeliest first, as far as
+       they join labels. In large keys both happen in one task, which gets the texts and gives back
+       links that join labels; in the others the registers come first, and the texts of
+       likely pairs only. So no link between components is passed over, and neither a key's
+       members nor its pairs ever come together.
     5. Components of all links, once.
     """
     spark = docs.sparkSession
@@ -330,12 +378,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         new = scratch.save(_relabelled(label, found), "labels")
         scratch.drop(label)
         label = new
-    rest = members.withColumn("label", F.col("rep"))
+    rest = members.where(F.col("size") <= LARGE).withColumn("label", F.col("rep"))
     if label is not None:
         held = large.join(label, "rep")
         open_keys = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = members.where(F.col("size") <= LARGE).join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        rest = rest.unionByName(held.join(open_keys, "key"))
+        units = _units(held.join(open_keys, "key")).join(bodies, "rep")
+        links.append(scratch.save(_linked(units.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y"), words, percent), "links"))
+        rest = rest.drop("label").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     likely = scratch.save(_likely(_units(rest).join(classes.select("rep", "regs"), "rep").repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y"), percent), "likely")
     links.append(scratch.save(_verified(likely, bodies, words, percent, parts), "links"))
     scratch.drop(likely, bodies, members, *([] if label is None else [label]))
