@@ -38,6 +38,11 @@ FINAL = r"Final\s*Output\s*[:\-]\s*(.+?)(?:\n|$)"
 STEP = r"\bstep\s*(\d+)\b"
 WINDOW = 120
 
+#: The fields that a record needs for evaluation and a prediction for scoring, and those of a score row.
+RECORD_FIELDS = ["example_id", "turn_1_user", "turn_1_assistant_prefill", "ground_truth_final_output", "wrong_branch_final_output", "chain_length_x", "prefill_error_step", "difficulty", "error_type"]
+PREDICTION_FIELDS = ["example_id", "difficulty", "chain_length_x", "prefill_error_step", "ground_truth_final_output", "wrong_branch_final_output", "raw_continuation_text", "model", "provider", "mode"]
+SCORE_FIELDS = [*PREDICTION_FIELDS[:6], "final_output", "detected_loose", "detected_strict", "outcome_bucket", "matches_ground_truth", "matches_wrong_branch", "model", "provider", "mode", "raw_continuation_text"]
+
 # Case-insensitive, with Unicode classes and \n as the only line end.
 _FLAGS = "(?iduU)"
 _DOUBT = _FLAGS + "|".join(DOUBT)
@@ -121,3 +126,32 @@ def score(predictions: DataFrame) -> DataFrame:
     final = F.col("final_output")
     out = out.withColumn("outcome_bucket", outcome(final, F.col("detected_loose"), truth, wrong))
     return out.withColumn("matches_ground_truth", F.coalesce(final == truth, F.lit(False))).withColumn("matches_wrong_branch", F.coalesce(final == wrong, F.lit(False)))
+
+
+def require_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """rows as they are; an error names the fields that are missing."""
+    missing = [f for f in fields if f not in rows.columns]
+    if missing:
+        raise ValueError(f"missing fields: {missing}")
+    return rows
+
+
+def missing_fields(line: Column, fields: list[str]) -> Column:
+    """The fields that a JSON line does not have, in their order; all of them if it is no object."""
+    wanted = F.array(*[F.lit(f) for f in fields])
+    return F.array_except(wanted, F.coalesce(F.json_object_keys(line), F.array().cast("array<string>")))
+
+
+def score_rows(predictions: DataFrame) -> DataFrame:
+    """The score row of each prediction, by SCORE_FIELDS."""
+    return score(require_fields(predictions, PREDICTION_FIELDS)).select(*SCORE_FIELDS)
+
+
+def predictions(records: DataFrame, responses: DataFrame) -> DataFrame:
+    """Prediction rows: a record's fields with its response's (example_id, raw_continuation_text, mode,
+    turn_2_user_sent, turn_2_level, response_id, request_latency_seconds, model, provider,
+    api_model, usage). A null usage gives null token counts. Records without a response have no row."""
+    usage = [F.col(f"usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")]
+    own = ["example_id", "base_id", "difficulty", "error_type", "ground_truth_final_output", "wrong_branch_final_output", "chain_length_x", "prefill_error_step"]
+    sent = ["raw_continuation_text", "mode", "turn_2_user_sent", "turn_2_level", "response_id", "request_latency_seconds", "model", "provider", "api_model"]
+    return records.select(*own).join(responses, "example_id").select(*own, *sent, *usage)

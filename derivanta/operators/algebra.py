@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def missing_entries(symbols: DataFrame, table: DataFrame) -> DataFrame:
-    """(op, lhs, rhs) without a result among the symbols. Symbols and operators are few."""
+    """(op, lhs, rhs) without a result among the symbols. The pairs of an operator are made within its row,
+    from the list of symbols; they are as many as its complete table has."""
     s = symbols.select("symbol").distinct()
-    pairs = table.select("op").distinct().join(F.broadcast(s.withColumnRenamed("symbol", "lhs")), F.lit(True)).join(F.broadcast(s.withColumnRenamed("symbol", "rhs")), F.lit(True))
+    every = s.agg(F.collect_list("symbol").alias("all")).scalar()
+    pairs = table.select("op").distinct().withColumn("all", every).select("op", F.explode("all").alias("lhs"), "all").select("op", "lhs", F.explode("all").alias("rhs"))
     good = table.join(s, table.result == s.symbol, "left_semi")
     return pairs.join(good, ["op", "lhs", "rhs"], "left_anti")
 
 
+def permutations(symbols: DataFrame, most: int = 8) -> DataFrame:
+    """mapping: an array of images, by the order of the symbols, for each permutation but the identity. There
+    are as many as the factorial of their number, which may be most at most."""
+    items = symbols.agg(F.array_sort(F.collect_set("symbol")).alias("items"))
+    n = items.select(F.size("items")).first()[0]
+    if n > most:
+        raise ValueError(f"{n} symbols have too many permutations")
+    out = items.withColumn("mapping", F.slice("items", 1, 0))
+    for _ in range(n):
+        out = out.select("items", "mapping", F.explode(F.array_except("items", "mapping")).alias("next")).select("items", F.concat("mapping", F.array("next")).alias("mapping"))
+    return out.where("mapping <> items")
+
+
+def valid_transformations(symbols: DataFrame, table: DataFrame) -> DataFrame:
+    """(op, mapping) of the permutations but the identity that distribute over each operator."""
+    entry = F.struct(F.struct("lhs", "rhs").alias("k"), F.col("result").alias("v"))
+    ops = table.groupBy("op").agg(F.map_from_entries(F.collect_list(entry)).alias("of"))
+    both = permutations(symbols).select("items", "mapping", F.lit(0).alias("one")).join(F.broadcast(ops.withColumn("one", F.lit(0))), "one")  # a few operators
+    at = lambda x: F.get("mapping", (F.array_position("items", x) - 1).cast("int"))
+    fits = F.forall(F.map_entries("of"), lambda e: at(e["value"]) == F.try_element_at("of", F.struct(at(e["key"]["lhs"]).alias("lhs"), at(e["key"]["rhs"]).alias("rhs"))))
+    return both.where(fits).select("op", "mapping")
+
+
+def permutation_order(places: Column) -> Column:
+    """Of an array of places from 0, how often the permutation must be repeated to give each place back: the
+    least common multiple of its cycles' lengths."""
+    n = F.size(places)
+    walk = lambda i: F.aggregate(F.sequence(F.lit(1), n), F.struct(F.get(places, i).alias("at"), F.lit(1).alias("k"), (F.get(places, i) == i).alias("back")), lambda acc, _: F.when(acc["back"], acc).otherwise(F.struct(F.get(places, acc["at"]).alias("at"), (acc["k"] + 1).alias("k"), (F.get(places, acc["at"]) == i).alias("back"))))["k"]
+    lengths = F.transform(F.sequence(F.lit(0), n - 1), walk)
+    multiple = lambda acc, k: acc * F.get(F.filter(F.sequence(F.lit(1), k), lambda m: acc * m % k == 0), F.lit(0))
+    return F.aggregate(lengths, F.lit(1), multiple)
+
+
 def derived_table(table: DataFrame, name: str, template: str, base: str) -> DataFrame:
     """The table of a derived operator: compose_left (x o y) o x, or double_left (x o x) o y."""
     t = table.where(F.col("op") == base)

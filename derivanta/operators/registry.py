@@ -1,0 +1,35 @@
+"""A registry of models as a table: key, provider, api_model, effort and efforts (those that can be asked for)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def in_order(models: DataFrame, priority: list[str], providers: list[str] | None = None) -> DataFrame:
+    """Models with their place: by the list of priority, the others after it, by key."""
+    models = models if providers is None else models.where(F.col("provider").isin(*providers))
+    place = F.nullif(F.array_position(F.array(*[F.lit(k) for k in priority]).cast("array<string>"), F.col("key")), F.lit(0))
+    return models.withColumn("place", F.coalesce(place - 1, F.lit(len(priority))).cast("long")).orderBy("place", "key")
+
+
+def choices(models: DataFrame, priority: list[str], providers: list[str] | None = None) -> DataFrame:
+    return in_order(models, priority, providers).select("key")
+
+
+def lookup(wanted: DataFrame, models: DataFrame) -> DataFrame:
+    """(key, ...) -> the same rows with their model's columns; a key that isn't registered fails the job. The
+    registry is a few dozen rows, whose number doesn't follow the data."""
+    known = models.withColumn("registered", F.lit(True))
+    found = wanted.join(known, "key", "left")
+    key = F.when(F.col("registered"), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("unknown model: "), F.coalesce("key", F.lit("null")))).cast("string"))
+    return found.withColumn("key", key).drop("registered")
+
+
+def with_effort(models: DataFrame, effort: str) -> DataFrame:
+    """Models with another effort; one that a model doesn't list fails the job. none takes the effort off
+    where efforts say so by holding "off" in its place."""
+    can = F.array_contains("efforts", effort)
+    off = F.lit(effort == "none") & F.array_contains("efforts", "off")
+    bad = F.raise_error(F.concat(F.lit(f"effort {effort} is not supported by "), F.col("key"))).cast("string")
+    return models.withColumn("effort", F.when(off, F.lit(None).cast("string")).when(F.coalesce(can, F.lit(False)), effort).otherwise(bad))

@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import BUCKETS
 
+#: Why a generated example is passed over, in the order in which the reasons are listed.
+REJECTIONS = ["chain_too_short", "insufficient_runway", "no_eligible_in_chain", "no_eligible_in_window", "cascade_convergent", "other_injector_error"]
+
+
+def rate(n: Column, d: Column) -> Column:
+    """n / d with four digits, 0.0 if d is 0: the double n / d rounded by its exact value, so that a
+    fraction that ends in a five goes where the double lies, and to even only where that is exact."""
+    n, d = n.cast("long"), d.cast("long")
+    x = n / d
+    low = F.call_function("div", n * 10_000, d)
+    twice = 2 * (n * 10_000 - low * d)
+    # The double's distance from n / d, times d: in two parts, of which the first is exact.
+    high = F.floor(x * (1 << 26)) / (1 << 26)
+    over = (high * d - n) + (x - high) * d
+    up = (twice > d) | ((twice == d) & ((over > 0) | ((over == 0) & (low % 2 == 1))))
+    return F.when(d == 0, 0.0).otherwise((low + up.cast("long")) / 10_000)
+
+
+def headline_rates(scored: DataFrame) -> DataFrame:
+    """headline with final_answer_correct_rate."""
+    return headline(scored).select("difficulty", "total", rate(F.col("correct"), F.col("total")).alias("final_answer_correct_rate"))
+
+
+def regex_summary(scored: DataFrame) -> DataFrame:
+    """One row: total, the six outcome counts and the five rates; a wrong branch counts in its rate
+    whether or not doubt was voiced. No rows: zeros."""
+    counts = diagnostic_counts(scored, *[F.count_if(F.col("outcome_bucket") == b).alias(b) for b in BUCKETS])
+    named = {"self_detection_loose": "loose", "self_detection_strict": "strict", "final_answer_recovery": "recovered", "blind_cascade": "cascade", "extraction_ok": "extracted"}
+    return counts.select("total", *BUCKETS, *[rate(F.col(c), F.col("total")).alias(k) for k, c in named.items()])
+
+
+def rejection_counts(attempts: DataFrame, difficulties: list[str]) -> DataFrame:
+    """(difficulty, reason or null) -> difficulty, reason, n: zero where a reason never came up."""
+    every = attempts.sparkSession.createDataFrame([(d, r) for d in difficulties for r in REJECTIONS], "difficulty string, reason string")
+    seen = attempts.where("reason is not null").groupBy("difficulty", "reason").agg(F.count("*").alias("n"))
+    return every.join(seen, ["difficulty", "reason"], "left").select("difficulty", "reason", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def cell_results(summaries: DataFrame, level: int, excluded: list[str] = (), skip: str = "4096") -> DataFrame:
+    """(cell, rate) -> (model, rate) of the B cells of a level, best first, ties by name: names that hold
+    skip, excluded models and null rates are left out."""
+    suffix = f"-B-L{level}"
+    kept = summaries.where(F.col("cell").endswith(suffix) & ~F.contains("cell", F.lit(skip)) & F.col("rate").isNotNull())
+    model = F.col("cell").substr(F.lit(1), F.char_length("cell") - len(suffix))
+    kept = kept.select(model.alias("model"), "rate")
+    return (kept.where(~F.col("model").isin(*excluded)) if excluded else kept).orderBy(F.desc("rate"), "model")
+
 
 def headline(scored: DataFrame) -> DataFrame:
     """difficulty ('all' and each), total, correct. No rows: one row of zeros."""
@@ -19,10 +66,10 @@ def bucket_pivot(scored: DataFrame) -> DataFrame:
     return scored.groupBy("difficulty").agg(*[F.count_if(F.col("outcome_bucket") == b).alias(b) for b in BUCKETS], F.count("*").alias("total"))
 
 
-def diagnostic_counts(scored: DataFrame) -> DataFrame:
+def diagnostic_counts(scored: DataFrame, *more: Column) -> DataFrame:
     """Numerators of the five rates; a wrong branch counts whether or not doubt was voiced."""
     named = {"loose": "detected_loose", "strict": "detected_strict", "recovered": "matches_ground_truth", "cascade": "matches_wrong_branch"}
-    return scored.agg(*[F.count_if(c).alias(k) for k, c in named.items()], F.count("final_output").alias("extracted"), F.count("*").alias("total"))
+    return scored.agg(*[F.count_if(c).alias(k) for k, c in named.items()], F.count("final_output").alias("extracted"), F.count("*").alias("total"), *more)
 
 
 def pending(records: DataFrame, done: DataFrame, key: str = "example_id") -> DataFrame:

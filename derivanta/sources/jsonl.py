@@ -24,6 +24,9 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_splits(rows: DataFrame, path: str) -> None:
-    """One folder for each split that has rows."""
-    rows.write.partitionBy("split").json(path)
+def write_splits(rows: DataFrame, path: str, splits: list[str]) -> None:
+    """A folder {split}.jsonl of JSON lines for each of the splits that has rows; null fields are written too."""
+    for s in splits:
+        own = rows.where(rows["split"] == s)
+        if not own.isEmpty():
+            own.write.option("ignoreNullFields", "false").json(f"{path}/{s}.jsonl")
