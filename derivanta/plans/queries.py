@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cells, conversations, responses
+from ..functions import expressions as ex
 from ..functions.derivations import STEP, validate
-from ..functions.expressions import evaluate, n_steps, reduce_steps, table_map
 from ..functions.prompts import system_prompt
-from ..functions.scoring import DOUBT, score
-from ..operators import algebra, groups, report
+from ..functions.scoring import BUCKETS, DOUBT, PREDICTION_FIELDS, missing_fields, score
+from ..functions.scoring import score_rows as rows_of_scores
+from ..operators import algebra, generation, groups, registry, report
+from ..sources import dataset
 from ..sources.jsonl import SYSTEM
 
 #: Predictions made from events: the same SQL runs in both engines.
@@ -21,7 +24,8 @@ select event_id as example_id, user_id % 13 as model, event_type,
   case event_id % 4 when 0 then 'easy' when 1 then 'medium' when 2 then 'hard' else 'expert' end as difficulty,
   case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as ground_truth_final_output,
   case event_id % 3 when 0 then 'b' when 1 then 'c' else 'a' end as wrong_branch_final_output,
-  2 + user_id % 3 as prefill_error_step, 4 + event_id % 11 as chain_length_x,
+  2 + user_id % 3 as prefill_error_step, 4 + event_id % 11 as chain_length_x, concat('p', cast(user_id % 4 as varchar(9))) as provider,
+  case when event_id % 2 = 0 then 'prefill' else 'single_turn' end as mode,
   concat(
     case event_type when 'error' then concat('Wait, step ', cast(2 + user_id % 3 + case when event_id % 7 = 0 then 1 else 0 end as varchar(9)), ' looks wrong.', chr(10)) when 'click' then concat('Hmm, something feels off.', chr(10)) else '' end,
     case event_id % 5 when 0 then concat('Final Output: ', case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end)
@@ -77,7 +81,7 @@ def strict_detection(spark, sf_dir):
 
 
 def score_rows(spark, sf_dir):
-    return scored(spark, sf_dir).select("example_id", "difficulty", "final_output", "detected_loose", "detected_strict", "outcome_bucket", "matches_ground_truth", "matches_wrong_branch")
+    return rows_of_scores(predictions(spark, sf_dir))
 
 
 def resume_pending(spark, sf_dir):
@@ -101,8 +105,7 @@ def error_type_counts(spark, sf_dir):
 
 
 def preferred_error_step(spark, sf_dir):
-    m = F.floor(F.col("chain_length_x") / 2).cast("long")
-    steps = F.array_distinct(F.filter(F.array(m, m + 1, m - 1), lambda s: s.between(1, F.col("chain_length_x") - 1)))
+    steps = ex.preferred_steps(F.col("chain_length_x"))
     return predictions(spark, sf_dir).groupBy("chain_length_x").agg(F.count("*").alias("n")).select("chain_length_x", "n", F.concat_ws(",", steps.cast("array<string>")).alias("steps"))
 
 
@@ -124,10 +127,98 @@ def seed_arithmetic(spark, sf_dir):
     return predictions(spark, sf_dir).select("example_id", (F.lit(20260413).cast("long") * 1_000_000 + index * 10_000 + F.col("example_id") * 100).alias("seed"))
 
 
-def usage_normalise(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    total = F.coalesce(F.get_json_object("props", "$.total").cast("long"), k + F.col("event_id"))
-    return _t(spark, sf_dir, "events").select("event_id", k.alias("input_tokens"), F.get_json_object("props", "$.reasoning").cast("long").alias("reasoning_tokens"), total.alias("total_tokens"))
+#: Responses of five shapes made from events; some counts are missing, strings or fractions.
+RESPONSES = [
+    "event_id",
+    "case event_id % 5 when 0 then 'openai' when 1 then 'anthropic' when 2 then 'mistral' when 3 then 'gemini' else 'openrouter' end as provider",
+    """case event_id % 5
+  when 0 then concat('{"output_text": "', case when event_id % 2 = 0 then '' else event_type end, '", "output": [{"type": "reasoning", "content": []}, {"type": "message", "content": [{"type": "output_text", "text": "a', user_id, '"}, {"type": "refusal", "text": "no"}, {"type": "output_text", "text": "b"}]}], "usage": {"input_tokens": ', user_id, ', "output_tokens": 7, "total_tokens": ', user_id + 7, ', "output_tokens_details": {"reasoning_tokens": ', event_id % 50, '}}}')
+  when 1 then concat('{"content": [{"type": "thinking", "text": "hm"}, {"type": "text", "text": "', event_type, '"}, {"type": "text", "text": "!"}], "usage": {"input_tokens": ', user_id, case when user_id % 2 = 0 then concat(', "output_tokens": ', event_id % 90) else '' end, '}}')
+  when 2 then concat('{"choices": [{"message": {"content": ', case when user_id % 2 = 0 then '"[plain]"' else concat('[{"type": "text", "text": "', event_type, '"}, {"type": "image", "text": "x"}, {"type": "text", "text": "?"}]') end, '}}], "usage": {"prompt_tokens": ', user_id, ', "completion_tokens": "12", "total_tokens": 1.5}}')
+  when 3 then concat('{"candidates": [{"content": {"parts": [{"text": "', event_type, '"}, {"data": 1}, {"text": "."}]}}], "usageMetadata": {"promptTokenCount": ', user_id, ', "thoughtsTokenCount": ', event_id % 40, '}}')
+  else case event_id % 3 when 0 then concat('{"choices": [], "usage": {"prompt_tokens": ', user_id, ', "completion_tokens": 3, "completion_tokens_details": {"reasoning_tokens": ', event_id % 30, '}}}')
+    when 1 then concat('{"usage": {"reasoning_tokens": ', event_id % 20, ', "total_tokens": ', event_id, ', "completion_tokens_details": {"reasoning_tokens": 1}}}') else '{"usage": []}' end end as response""",
+]
+
+
+def usage_shapes(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").selectExpr("user_id", *RESPONSES)
+    return rows.withColumn("u", responses.usage(F.col("response"), F.col("provider"))).select("event_id", "provider", F.col("u").isNotNull().alias("has_usage"), "u.*")
+
+
+def response_texts(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").selectExpr("user_id", *RESPONSES)
+    return rows.select("event_id", responses.text(F.col("response"), F.col("provider")).alias("answer"))
+
+
+#: Streams of event lines: texts, blank and broken lines, a reason to finish in some.
+STREAMS = """case event_id % 6 when 0 then ': keep-alive' when 1 then 'data:' when 2 then 'data: {"candidates": [{' else
+  concat('data: {"candidates": [{"content": {"parts": [{"text": "', event_type, event_id, '"}, {"text": ";"}]}', case when event_id % 4 = 0 then concat(', "finishReason": "STOP', event_id % 3, '"') else '' end, '}]',
+    case when event_id % 5 = 0 then concat(', "responseId": "r', event_id, '"') else '' end, '}') end as line"""
+
+
+def event_streams(spark, sf_dir):
+    folded = responses.fold_events(_t(spark, sf_dir, "events").selectExpr("user_id", "event_id", STREAMS), "user_id", "event_id", "line")
+    return folded.select("user_id", "text", "finish_reason", "response_id", "error")
+
+
+def absent_fields(spark, sf_dir):
+    """What a JSON line made of a prediction lacks of the fields that scoring needs."""
+    p = predictions(spark, sf_dir).withColumn("example_id", F.when(F.col("example_id") % 3 > 0, F.col("example_id"))).withColumn("mode", F.when(F.col("model") % 2 > 0, F.col("mode")))
+    line = F.to_json(F.struct("example_id", "difficulty", "chain_length_x", "mode"))
+    return p.groupBy(F.array_join(missing_fields(line, PREDICTION_FIELDS), ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+def rejection_counts(spark, sf_dir):
+    p, x = predictions(spark, sf_dir), F.col("chain_length_x")
+    reason = F.when(x < 6, "chain_too_short").when(x - F.col("prefill_error_step") < F.ceil(x / 2), "insufficient_runway").when(F.col("model") == 5, "cascade_convergent")
+    return report.rejection_counts(p.select("difficulty", reason.alias("reason")), _NAMES)
+
+
+def cell_results(spark, sf_dir):
+    """Cells of models by level, with their rates; one model's name holds 4096, one is left out."""
+    cell = F.concat(F.when(F.col("model") == 4, "m-4096").otherwise(F.concat(F.lit("m"), F.col("model").cast("string"))), F.lit("-"), cells.cell(F.lit("prefill"), F.col("example_id") % 2))
+    per = scored(spark, sf_dir).groupBy(cell.alias("cell")).agg(report.rate(F.count_if("matches_ground_truth"), F.count("*")).alias("rate"))
+    return report.cell_results(per, 0, ["m7"])
+
+
+def output_dirs(spark, sf_dir):
+    p = predictions(spark, sf_dir).select(F.concat(F.lit("org/m"), F.col("model").cast("string")).alias("model"), "mode", (F.col("example_id") % 2).alias("level"), F.when(F.col("model") % 3 == 0, "high").alias("effort"))
+    return p.groupBy(cells.output_dir(F.col("model"), F.col("mode"), F.col("effort"), F.col("level")).alias("dir")).agg(F.count("*").alias("n"))
+
+
+def _models(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("provider"), F.lower("n_name").alias("api_model"), F.lit("low").alias("effort"), F.when(F.col("n_regionkey") < 2, F.array(F.lit("low"), F.lit("high"), F.lit("off"))).otherwise(F.array(F.lit("high"))).alias("efforts"))
+
+
+def model_order(spark, sf_dir):
+    return registry.in_order(_models(spark, sf_dir), ["JAPAN", "CHINA", "PERU"], ["p1", "p2"]).select("key", "provider", "place")
+
+
+def model_lookup(spark, sf_dir):
+    """Customers' nations as models, with an effort that all of them list."""
+    wanted = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("key")), "c_nationkey")
+    return registry.lookup(wanted, registry.with_effort(_models(spark, sf_dir), "high")).groupBy("api_model", "effort").agg(F.count("*").alias("n"))
+
+
+def dataset_counts(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "").when(F.col("event_type") != "click", F.col("event_type"))
+    return dataset.counts(predictions(spark, sf_dir).withColumn("error_type", kind).withColumn("split", F.when(F.col("model") < 9, "test").otherwise("train")))
+
+
+def valid_transformations(spark, sf_dir):
+    """Permutations that distribute over each operator, with the number of times that give each symbol back."""
+    s, ops, _ = _system(spark, sf_dir)
+    found = algebra.valid_transformations(s, ops).withColumn("order", algebra.permutation_order(F.col("mapping").cast("array<int>")).cast("long"))
+    return found.withColumn("mapping", F.array_join("mapping", ","))
+
+
+def generated_records(spark, sf_dir):
+    """A small dataset whose seed is the number of nations."""
+    from ..sources.scratch import saver
+
+    rows, _ = generation.generate(spark, "made", 24, _t(spark, sf_dir, "nation").count(), saver(spark, "generated"))
+    return rows
 
 
 def _system(spark, sf_dir):
@@ -156,40 +247,83 @@ def derived_table(spark, sf_dir):
     return algebra.derived_table(ops, "dop0", "compose_left", "op1").unionByName(algebra.derived_table(ops, "dop1", "double_left", "op0"))
 
 
-def _expressions(spark, sf_dir):
-    """(a op1 b) dop0 c in postfix order, its corruption, and the tables as a constant (75 entries)."""
+def _algebra(spark, sf_dir):
+    """The algebra of _system with dop0 = compose_left(op1), as one value: a scalar subquery over its tables."""
     _, ops, _ = _system(spark, sf_dir)
-    rows = ops.unionByName(algebra.derived_table(ops, "dop0", "compose_left", "op1")).collect()
-    table = table_map({f"{r['op']},{r['lhs']},{r['rhs']}": str(r["result"]) for r in rows})
-    s = lambda c: (F.col(c) % 5).cast("string")
+    entries = ops.groupBy("op").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(",", "lhs", "rhs"), F.col("result").cast("string")))).alias("table"))
+    op = F.struct(F.col("op").alias("name"), F.when(F.col("op") == "op0", "*").otherwise("#").alias("symbol_id"), "table")
+    by_name = lambda x, y: F.when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0)
+    base = entries.agg(F.array_sort(F.collect_list(op), by_name).alias("base_operations"))
+    made = F.array(F.struct(F.lit("dop0").alias("name"), F.lit("&").alias("symbol_id"), F.lit("compose_left").alias("template_id"), F.array(F.lit("op1")).alias("base_ops"), F.lit(None).cast("string").alias("transform_name")))
+    none = F.lit(None).cast("array<struct<name:string,mapping:map<string,string>,distributes_over:array<string>>>")
+    system = F.struct(F.array(*[F.lit(str(i)) for i in range(5)]).alias("symbols"), "base_operations", made.alias("derived_operations"), none.alias("transformations"))
+    return base.select(ex.compile_system(system).alias("a")).scalar()
+
+
+def _expressions(spark, sf_dir):
+    """(a op1 b) dop0 c in postfix order, with its leaves and its first value."""
+    s = lambda c: (F.col(c) % 5).cast("int")
     e = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("l_orderkey").alias("a"), s("l_partkey").alias("b"), s("l_suppkey").alias("c"))
-    return e.withColumn("rpn", F.array("a", "b", F.lit("op1"), "c", F.lit("dop0"))), table
+    # Functions over arrays take no subquery, but a column that holds its value.
+    return e.withColumn("rpn", F.array("a", "b", F.lit(-2), "c", F.lit(-3))).withColumn("system", _algebra(spark, sf_dir)), F.col("system")
 
 
 def eval_expression(spark, sf_dir):
-    e, table = _expressions(spark, sf_dir)
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", evaluate(F.col("rpn"), table, ["op1", "dop0"]).cast("long").alias("value"))
+    e, a = _expressions(spark, sf_dir)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ex.evaluate(F.col("rpn"), a).cast("long").alias("value"))
 
 
 def corrupt_outcomes(spark, sf_dir):
     """Corruptions of the first step; those that end at the true value are convergent and rejected."""
-    e, table = _expressions(spark, sf_dir)
-    v1 = evaluate(F.array("a", "b", F.lit("op1")), table, ["op1", "dop0"]).cast("long")
-    w1 = ((v1 + 1 + F.col("l_linenumber") % 4) % 5).cast("string")
-    good, bad = (evaluate(r, table, ["op1", "dop0"]).cast("long") for r in (F.col("rpn"), F.array(w1, F.col("c"), F.lit("dop0"))))
-    return e.select(good.alias("value"), bad.alias("corrupted")).groupBy("value", "corrupted", (F.col("value") == F.col("corrupted")).alias("convergent")).agg(F.count("*").alias("n"))
+    e, a = _expressions(spark, sf_dir)
+    v1 = ex.evaluate(F.array("a", "b", F.lit(-2)), a)
+    e = e.select("rpn", "c", "system", ((v1 + 1 + F.col("l_linenumber") % 4) % 5).cast("int").alias("w1"))
+    e = e.select(ex.evaluate(F.col("rpn"), a).cast("long").alias("value"), ex.evaluate(F.array("w1", "c", F.lit(-3)), a).cast("long").alias("corrupted"))
+    return e.groupBy("value", "corrupted").agg(F.count("*").alias("n")).select("value", "corrupted", (F.col("value") == F.col("corrupted")).alias("convergent"), "n")
 
 
 def chain_length(spark, sf_dir):
-    e, _ = _expressions(spark, sf_dir)
-    return e.groupBy(n_steps(F.col("rpn"), ["op1"], [], ["dop0"]).cast("long").alias("chain_length_x")).agg(F.count("*").alias("n"))
+    """Steps of expressions of one to three operators, by their shape."""
+    e, a = _expressions(spark, sf_dir)
+    rpn = F.when(F.col("l_linenumber") % 3 == 0, F.col("rpn")).when(F.col("l_linenumber") % 3 == 1, F.array("a", "b", F.lit(-1))).otherwise(F.concat("rpn", F.array("b", F.lit(-3))))
+    e = e.withColumn("rpn", rpn)
+    return e.groupBy(ex.n_steps(F.col("rpn"), a).cast("long").alias("chain_length_x"), ex.reducible_nodes(F.col("rpn")).cast("long").alias("nodes"), ex.derived_nodes(F.col("rpn"), a).cast("long").alias("derived")).agg(F.count("*").alias("n"))
+
+
+def _reduced(spark, sf_dir):
+    e, a = _expressions(spark, sf_dir)
+    return e.withColumn("steps", ex.reduce_steps(F.col("rpn"), a)), a
 
 
 def reduction_steps(spark, sf_dir):
-    e, table = _expressions(spark, sf_dir)
-    steps = reduce_steps(F.col("rpn"), table, ["op1"], {"dop0": ("compose_left", "op1")}, n_steps(F.col("rpn"), ["op1"], [], ["dop0"]))
-    out = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(steps))
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).cast("long").alias("step_number"), F.col("col.rule_type").alias("rule_type"), F.col("col.result").cast("long").alias("result"), F.array_join("col.after", " ").alias("after"))
+    e, a = _reduced(spark, sf_dir)
+    kind = lambda s: F.when(ex.rule_type(s["rule"], a) == "derived_op", "derived").otherwise("base")
+    row = lambda s: F.struct(kind(s).alias("rule_type"), s["result"].cast("long").alias("result"), F.array_join(ex.names(s["after"], a), " ").alias("after"))
+    out = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(F.transform("steps", row)))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).cast("long").alias("step_number"), "col.*")
+
+
+def clean_derivations(spark, sf_dir):
+    e, a = _reduced(spark, sf_dir)
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ex.clean_derivation(F.col("rpn"), F.col("steps"), a).alias("derivation"))
+
+
+def injected_prefills(spark, sf_dir):
+    """The first step's result replaced by the first of the next symbols that changes the final one; rows
+    without such a symbol have nulls."""
+    e, a = _reduced(spark, sf_dir)
+    first = F.get("steps", F.lit(0))["result"]
+    wrong = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: ((first + j) % 5).cast("int"))
+    e = e.withColumn("wrong", wrong).withColumn("mutated", ex.inject(F.col("steps"), a, F.lit(1), F.col("wrong")))
+    last = F.get(F.try_element_at("mutated", F.lit(-1))["after"], F.lit(0))
+    text = F.when(F.col("mutated").isNotNull(), ex.prefill(F.col("rpn"), F.col("mutated"), a, F.lit(2)))
+    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.get("mutated", F.lit(0))["result"].cast("long").alias("injected"), last.cast("long").alias("wrong_final"), F.size(F.coalesce("mutated", F.array())).cast("long").alias("steps"), text.alias("prefill"))
+
+
+def eligible_error_steps(spark, sf_dir):
+    e, a = _reduced(spark, sf_dir)
+    eligible, liked = ex.eligible_steps(F.col("steps")), ex.preferred_steps(F.size("steps"))
+    return e.groupBy(F.concat_ws(",", eligible.cast("array<string>")).alias("eligible"), F.concat_ws(",", F.array_intersect(liked, eligible).cast("array<string>")).alias("candidates")).agg(F.count("*").alias("n"))
 
 
 def _system_json() -> str:
@@ -253,8 +387,8 @@ def group_automorphisms(spark, sf_dir):
     return groups.automorphisms(_nation_groups(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
 
 
-def system_prompts(spark, sf_dir):
-    """One system for each nation, as prompt text: x # y = (key * x + y + 1) mod 5, a derived operator, a transform."""
+def _nation_systems(spark, sf_dir):
+    """One system for each nation: x # y = (key * x + y + 1) mod 5, a derived operator, a transform."""
     n = F.col("n_nationkey").cast("long")
     five = F.array(*[F.lit(str(i)) for i in range(5)])
     cell = lambda x, y: F.pmod(n * x.cast("long") + y.cast("long") + 1, F.lit(5)).cast("string")
@@ -269,31 +403,50 @@ def system_prompts(spark, sf_dir):
         F.array(F.struct(F.lit("dop0").alias("name"), F.lit("&").alias("symbol_id"), template.alias("template_id"), F.array(F.lit("op0")).alias("base_ops"), F.lit("t").alias("transform_name"))).alias("derived_operations"),
         F.array(F.struct(F.lit("t").alias("name"), moves.alias("mapping"), F.array(F.lit("op0")).alias("distributes_over"))).alias("transformations"),
     )
-    return _t(spark, sf_dir, "nation").withColumn("s", system).select("n_nationkey", system_prompt(F.col("s")).alias("prompt"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", system.alias("s"))
 
 
-def single_turn_prompt(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+def system_prompts(spark, sf_dir):
+    return _nation_systems(spark, sf_dir).select("n_nationkey", system_prompt(F.col("s")).alias("prompt"))
 
 
-def prefill_render(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("Step "), (x["turn"] + 1).cast("string"), F.lit(": "), x["text"])), "\n").alias("prefill"))
+def _nation_chains(spark, sf_dir):
+    """t(((1 # 2) & 3)) in each nation's system, with its steps."""
+    rows = _nation_systems(spark, sf_dir).withColumn("a", ex.compile_system(F.col("s")))
+    rpn = ex.tokens(F.array(*[F.lit(t) for t in ("1", "2", "op0", "3", "dop0", "t")]), F.col("a"))
+    return rows.withColumn("rpn", rpn).withColumn("steps", ex.reduce_steps(F.col("rpn"), F.col("a")))
+
+
+def transform_chains(spark, sf_dir):
+    """Names and steps, with transforms and each template of a derived operator."""
+    rows, a = _nation_chains(spark, sf_dir), F.col("a")
+    rule = F.array_join(F.transform("steps", lambda s: F.concat(ex.rule_type(s["rule"], a), F.lit(":"), F.coalesce(s["result"].cast("string"), F.lit("-")))), " ")
+    return rows.select("n_nationkey", ex.render(F.col("rpn"), a, signs=False).alias("named"), rule.alias("rules"), ex.clean_derivation(F.col("rpn"), F.col("steps"), a).alias("derivation"), ex.evaluate(F.col("rpn"), a).cast("long").alias("value"))
+
+
+def single_turn_prompt(spark, sf_dir):
+    rows, a = _nation_chains(spark, sf_dir), F.col("a")
+    user = conversations.turn_1_user(F.col("s"), ex.render(F.col("rpn"), a))
+    prefill = ex.prefill(F.col("rpn"), F.col("steps"), a, F.lit(2))
+    second = conversations.turn_2(F.col("n_nationkey") % 2)
+    sent = conversations.messages(F.when(F.col("n_nationkey") % 3 == 0, "single_turn").otherwise("prefill"), F.when(F.col("n_nationkey") % 2 == 0, "gemini").otherwise("other"), user, prefill, second)
+    return rows.select("n_nationkey", F.array_join(F.transform(sent, lambda m: m["role"]), ",").alias("roles"), F.array_join(F.transform(sent, lambda m: m["content"]), "\n--\n").alias("content"))
 
 
 def continuity_breaks(spark, sf_dir):
-    """Turns whose role is that of the turn before."""
+    """Turns whose role is that of the turn before, a system turn counting as a user's."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _t(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(w))
-    return rows.where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
+    rows = _t(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("role") == "system", "user").otherwise(F.col("role")))
+    return rows.withColumn("before", F.lag("role").over(w)).where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_normalise, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, prefill_render, continuity_breaks)} | {
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_shapes, response_texts, event_streams, absent_fields, rejection_counts, cell_results, output_dirs, model_order, model_lookup, dataset_counts, valid_transformations, generated_records, transform_chains, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, clean_derivations, injected_prefills, eligible_error_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, continuity_breaks)} | {
     "headline": lambda s, d: report.headline(scored(s, d)),
     "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
     "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
     "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
+    "headline_rates": lambda s, d: report.headline_rates(scored(s, d)),
+    "regex_summary": lambda s, d: report.regex_summary(scored(s, d)),
 }
 
 _P = f"with p as ({PREDICTIONS.format(events='events')}) "
@@ -301,10 +454,21 @@ _GROUPS = """with m as (select 'all' as op, n_name as symbol from nation union a
   select *, row_number() over (partition by op order by symbol) - 1 as label, count(*) over (partition by op) as n from m)
 """
 _IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+#: t(((1 # 2) & 3)) with x # y = (k x + y + 1) mod 5, t(x) = (x + k) mod 5 and & by k mod 3.
+_NATION_CHAINS = """with n as (select n_nationkey, n_name, n_nationkey as k, (n_nationkey + 3) % 5 as v from nation), m as (
+  select *, case k % 3 when 0 then (k * v + 4) % 5 when 1 then (k * v + 4) % 5 else (k * v + v + 1) % 5 end as i from n), o as (
+  select *, case k % 3 when 0 then (k * i + v + 1) % 5 when 1 then (i + k) % 5 else (k * i + 4) % 5 end as j from m), c as (
+  select *, (j + k) % 5 as value, 'base_op:' || v || ' derived_op:- base_op:' || i || case k % 3 when 1 then ' transform:' else ' base_op:' end || j || ' transform:' || (j + k) % 5 as rules,
+    'Start: t(((1 # 2) & 3))' || chr(10) || chr(10) || 'Step 1: t(((1 # 2) & 3)) = t((' || v || ' & 3))    [by # table]' || chr(10)
+    || 'Step 2: t((' || v || ' & 3)) = t(' || case k % 3 when 0 then '((' || v || ' # 3) # ' || v || ')' when 1 then 't((' || v || ' # 3))' else '((' || v || ' # ' || v || ') # 3)' end || ')    [by definition of &]' || chr(10)
+    || 'Step 3: t(' || case k % 3 when 0 then '((' || v || ' # 3) # ' || v || ')' when 1 then 't((' || v || ' # 3))' else '((' || v || ' # ' || v || ') # 3)' end || ') = t(' || case k % 3 when 0 then '(' || i || ' # ' || v || ')' when 1 then 't(' || i || ')' else '(' || i || ' # 3)' end || ')    [by # table]' || chr(10)
+    || 'Step 4: t(' || case k % 3 when 0 then '(' || i || ' # ' || v || ')' when 1 then 't(' || i || ')' else '(' || i || ' # 3)' end || ') = t(' || j || case k % 3 when 1 then ')    [by t]' else ')    [by # table]' end || chr(10)
+    || 'Step 5: t(' || j || ') = ' || (j + k) % 5 || '    [by t]' || chr(10) || chr(10) || 'Final Output: ' || (j + k) % 5 as derivation from o)
+"""
 ORACLES = {
     "outcome_buckets": _SCORED + "select difficulty, outcome_bucket, count(*) as n from scored group by all",
     "strict_detection": _SCORED + "select event_type, detected_loose, detected_strict, count(*) as n from scored group by all",
-    "score_rows": _SCORED + "select example_id, difficulty, final_output, detected_loose, detected_strict, outcome_bucket, matches_ground_truth, matches_wrong_branch from scored",
+    "score_rows": _SCORED + "select example_id, difficulty, chain_length_x, prefill_error_step, ground_truth_final_output, wrong_branch_final_output, final_output, detected_loose, detected_strict, outcome_bucket, matches_ground_truth, matches_wrong_branch, model, provider, mode, raw_continuation_text from scored",
     "headline": _SCORED + "select coalesce(difficulty, 'all') as difficulty, count(*) as total, count(*) filter (matches_ground_truth) as correct from scored group by grouping sets ((), (difficulty))",
     "bucket_pivot": _SCORED + "select difficulty, count(*) filter (outcome_bucket = 'detect_recover') as detect_recover, count(*) filter (outcome_bucket = 'silent_recovery') as silent_recovery, count(*) filter (outcome_bucket = 'detect_only') as detect_only, count(*) filter (outcome_bucket = 'blind_wrong_branch') as blind_wrong_branch, count(*) filter (outcome_bucket = 'off_rails') as off_rails, count(*) filter (outcome_bucket = 'extraction_failed') as extraction_failed, count(*) as total from scored group by difficulty",
     "diagnostic_rates": _SCORED + "select count(*) filter (detected_loose) as loose, count(*) filter (detected_strict) as strict, count(*) filter (matches_ground_truth) as recovered, count(*) filter (matches_wrong_branch) as cascade, count(final_output) as extracted, count(*) as total from scored",
@@ -317,13 +481,60 @@ ORACLES = {
     "reject_reasons": _P + "select difficulty, count(*) filter (chain_length_x < 6) as short, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step < (chain_length_x + 1) // 2) as insufficient_runway, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step >= (chain_length_x + 1) // 2) as accepted from p group by 1",
     "quota_take": _P + "select * from (select example_id, difficulty, row_number() over (partition by difficulty order by example_id) as rank from p) where rank <= case when difficulty = 'expert' then 25 else 26 end",
     "seed_arithmetic": _P + "select example_id, 20260413000000 + case difficulty when 'easy' then 0 when 'medium' then 10000 when 'hard' then 20000 else 30000 end + example_id * 100 as seed from p",
-    "usage_normalise": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as input_tokens, cast(json_extract_string(props, '$.reasoning') as bigint) as reasoning_tokens, coalesce(cast(json_extract_string(props, '$.total') as bigint), cast(json_extract_string(props, '$.k') as bigint) + event_id) as total_tokens from events",
+    "headline_rates": _SCORED + "select coalesce(difficulty, 'all') as difficulty, count(*) as total, round(count(*) filter (matches_ground_truth) / count(*), 4) as final_answer_correct_rate from scored group by grouping sets ((), (difficulty))",
+    "regex_summary": _SCORED
+    + "select count(*) as total, " + ", ".join(f"count(*) filter (outcome_bucket = '{b}') as {b}" for b in BUCKETS)
+    + ", round(count(*) filter (detected_loose) / count(*), 4) as self_detection_loose, round(count(*) filter (detected_strict) / count(*), 4) as self_detection_strict, round(count(*) filter (matches_ground_truth) / count(*), 4) as final_answer_recovery, round(count(*) filter (matches_wrong_branch) / count(*), 4) as blind_cascade, round(count(final_output) / count(*), 4) as extraction_ok from scored",
+    "usage_shapes": """select event_id, case event_id % 5 when 0 then 'openai' when 1 then 'anthropic' when 2 then 'mistral' when 3 then 'gemini' else 'openrouter' end as provider,
+      not (event_id % 5 = 4 and event_id % 3 = 2) as has_usage,
+      case when event_id % 5 < 4 or event_id % 3 = 0 then user_id end as input_tokens,
+      case event_id % 5 when 0 then 7 when 1 then case when user_id % 2 = 0 then event_id % 90 end when 4 then case when event_id % 3 = 0 then 3 end end as output_tokens,
+      case event_id % 5 when 0 then event_id % 50 when 3 then event_id % 40 when 4 then case event_id % 3 when 0 then event_id % 30 when 1 then event_id % 20 end end as reasoning_tokens,
+      case event_id % 5 when 0 then user_id + 7 when 1 then case when user_id % 2 = 0 then user_id + event_id % 90 end when 4 then case when event_id % 3 = 1 then event_id end end as total_tokens from events""",
+    "response_texts": """select event_id, case event_id % 5 when 0 then case when event_id % 2 = 0 then 'a' || user_id || 'b' else event_type end when 1 then event_type || '!'
+      when 2 then case when user_id % 2 = 0 then '[plain]' else event_type || '?' end when 3 then event_type || '.' else '' end as answer from events""",
+    "event_streams": """with e as (select *, event_id % 6 > 2 as good from events) select user_id, coalesce(string_agg(event_type || event_id || ';', '' order by event_id) filter (good), '') as text,
+      max_by('STOP' || event_id % 3, event_id) filter (good and event_id % 4 = 0) as finish_reason, max_by('r' || event_id, event_id) filter (good and event_id % 5 = 0) as response_id,
+      case when count(*) filter (good) = 0 then 'no events' when count(*) filter (good and event_id % 4 = 0) = 0 then 'no finish reason' end as error from e group by user_id""",
+    "absent_fields": """select case when event_id % 3 = 0 then 'example_id,' else '' end || 'prefill_error_step,ground_truth_final_output,wrong_branch_final_output,raw_continuation_text,model,provider'
+      || case when user_id % 13 % 2 = 0 then ',mode' else '' end as missing, count(*) as n from events group by 1""",
+    "rejection_counts": _P + """, r as (select difficulty, case when chain_length_x < 6 then 'chain_too_short' when chain_length_x - prefill_error_step < (chain_length_x + 1) // 2 then 'insufficient_runway' when model = 5 then 'cascade_convergent' end as reason from p),
+      d as (select unnest(['easy', 'medium', 'hard', 'expert']) as difficulty), w as (select unnest(['chain_too_short', 'insufficient_runway', 'no_eligible_in_chain', 'no_eligible_in_window', 'cascade_convergent', 'other_injector_error']) as reason)
+      select d.difficulty, w.reason, count(r.reason) as n from d cross join w left join r on r.difficulty = d.difficulty and r.reason = w.reason group by all""",
+    "cell_results": _SCORED + "select 'm' || model as model, round(count(*) filter (matches_ground_truth) / count(*), 4) as rate from scored where example_id % 2 = 0 and model not in (4, 7) group by 1",
+    "output_dirs": _P + "select 'artifacts/evals/org-m' || model || case when model % 3 = 0 then '-reasoning-high' else '' end || case when mode = 'prefill' then '-B-L' else '-C-L' end || (example_id % 2) as dir, count(*) as n from p group by 1",
+    "model_order": "select n_name as key, 'p' || n_regionkey as provider, case n_name when 'JAPAN' then 0 when 'CHINA' then 1 when 'PERU' then 2 else 3 end::bigint as place from nation where n_regionkey in (1, 2)",
+    "model_lookup": "select lower(n_name) as api_model, 'high' as effort, count(*) as n from customer join nation on n_nationkey = c_nationkey group by 1",
+    "dataset_counts": _P + """, k as (select case when model < 9 then 'test' else 'train' end as split, difficulty, case when event_type in ('error', 'click') then 'clean' else event_type end as kind from p)
+      select 'split' as kind, split as name, count(*) as n from k group by 2 union all select 'split', 'validation', 0 union all select 'difficulty', difficulty, count(*) from k group by 2 union all select 'error_type', k.kind, count(*) from k group by 2""",
+    "valid_transformations": _ALGEBRA + """, q as (select [a.x, b.x, c.x, d.x, e.x] as m from s a, s b, s c, s d, s e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5 and not (a.x = 0 and b.x = 1 and c.x = 2 and d.x = 3)),
+      g as (select q.m, o.op from q, op o join op t on t.op = o.op and t.lhs = q.m[o.lhs + 1] and t.rhs = q.m[o.rhs + 1] group by q.m, o.op having bool_and(q.m[o.result + 1] = t.result)),
+      w as (select op, m, list_transform(m, lambda x: m[x + 1]) as m2 from g), v as (select *, list_transform(m2, lambda x: m[x + 1]) as m3, list_transform(m2, lambda x: m2[x + 1]) as m4 from w), u as (select *, list_transform(m4, lambda x: m[x + 1]) as m5 from v)
+      select op, array_to_string(m, ',') as mapping, case when m2 = [0, 1, 2, 3, 4] then 2 when m3 = [0, 1, 2, 3, 4] then 3 when m4 = [0, 1, 2, 3, 4] then 4 when m5 = [0, 1, 2, 3, 4] then 5 else 6 end::bigint as "order" from u""",
+    "transform_chains": _NATION_CHAINS + "select n_nationkey, 't(((1 op0 2) dop0 3))' as named, rules, derivation, value from c",
+    "single_turn_prompt": _NATION_CHAINS
+    + f""", t as (select c.*, 'Below is a formal system called "' || n_name || '".' || chr(10) || chr(10) || '=== RULES ===' || chr(10) || y.prompt || chr(10) || chr(10) || '=== EXPRESSION ===' || chr(10) || 't(((1 # 2) & 3))' || chr(10) || chr(10) || '=== TASK ===' || chr(10) || '{conversations.TASK}' as u,
+        array_to_string(list_slice(string_split(derivation, chr(10)), 1, 4), chr(10)) as f, case c.n_nationkey % 2 when 0 then '{conversations.TURN_2[0]}' else '{conversations.TURN_2[1].replace("'", "''")}' end as z from c join ({{system_prompts}}) y using (n_nationkey))
+      select n_nationkey, case when n_nationkey % 3 = 0 then 'user' when n_nationkey % 2 = 0 then 'user,model,user' else 'user,assistant,user' end as roles,
+        case when n_nationkey % 3 = 0 then u || chr(10) || chr(10) || '{conversations.WORK}' || chr(10) || chr(10) || f || chr(10) || chr(10) || '{conversations.NEXT}' || chr(10) || z else u || chr(10) || '--' || chr(10) || f || chr(10) || '--' || chr(10) || z end as content from t""",
     "op_table_complete": _ALGEBRA + "select op, lhs, rhs from op where op = 'op1' and lhs = rhs",
     "distribution_counterexamples": _ALGEBRA + "select name, op, count(*) as n from (select t.name, o.op, t.dst as x, o2.result as y from op o join t on t.src = o.result join t tl on tl.name = t.name and tl.src = o.lhs join t tr on tr.name = t.name and tr.src = o.rhs join op o2 on o2.op = o.op and o2.lhs = tl.dst and o2.rhs = tr.dst) where x <> y group by all",
     "derived_table": _ALGEBRA + "select 'dop0' as op, a.x as lhs, b.x as rhs, (((a.x * b.x + 1) % 5) * a.x + 1) % 5 as result from s a, s b union all select 'dop1', a.x, b.x, (2 * ((6 * a.x + 1) % 5) + 4 * b.x + 1) % 5 from s a, s b",
     "eval_expression": _LEAVES + f"select {_IDS}, value from f",
     "corrupt_outcomes": _LEAVES + "select value, corrupted, value = corrupted as convergent, count(*) as n from f group by all",
-    "chain_length": "select cast(4 as bigint) as chain_length_x, count(*) as n from lineitem",
+    "chain_length": "select case l_linenumber % 3 when 0 then 4 when 1 then 1 else 7 end::bigint as chain_length_x, case l_linenumber % 3 when 0 then 2 when 1 then 1 else 3 end::bigint as nodes, case l_linenumber % 3 when 0 then 1 when 1 then 0 else 2 end::bigint as derived, count(*) as n from lineitem group by all",
+    "clean_derivations": _LEAVES
+    + f"""select {_IDS}, concat('Start: ((', a, ' # ', b, ') & ', c, ')', chr(10), chr(10),
+      'Step 1: ((', a, ' # ', b, ') & ', c, ') = (', v1, ' & ', c, ')    [by # table]', chr(10),
+      'Step 2: (', v1, ' & ', c, ') = ((', v1, ' # ', c, ') # ', v1, ')    [by definition of &]', chr(10),
+      'Step 3: ((', v1, ' # ', c, ') # ', v1, ') = (', (v1 * c + 1) % 5, ' # ', v1, ')    [by # table]', chr(10),
+      'Step 4: (', (v1 * c + 1) % 5, ' # ', v1, ') = ', value, '    [by # table]', chr(10), chr(10), 'Final Output: ', value) as derivation from f""",
+    "injected_prefills": _LEAVES
+    + f""", w as (select *, list_filter(list_transform([1, 2, 3, 4], lambda j: (v1 + j) % 5), lambda x: (((x * c + 1) % 5) * x + 1) % 5 <> value)[1] as w from f)
+      select {_IDS}, w as injected, (((w * c + 1) % 5) * w + 1) % 5 as wrong_final, (case when w is null then 0 else 4 end)::bigint as steps,
+      case when w is not null then concat('Start: ((', a, ' # ', b, ') & ', c, ')', chr(10), chr(10), 'Step 1: ((', a, ' # ', b, ') & ', c, ') = (', w, ' & ', c, ')    [by # table]', chr(10),
+        'Step 2: (', w, ' & ', c, ') = ((', w, ' # ', c, ') # ', w, ')    [by definition of &]') end as prefill from w""",
+    "eligible_error_steps": "select '1,3' as eligible, '3,1' as candidates, count(*) as n from lineitem",
     "reduction_steps": _LEAVES + f"select {_IDS}, step_number, rule_type, result, \"after\" from (select {_IDS}, 1::bigint as step_number, 'base' as rule_type, v1 as result, concat_ws(' ', v1, c, 'dop0') as \"after\" from f union all select {_IDS}, 2, 'derived', null, concat_ws(' ', v1, c, 'op1', v1, 'op1') from f union all select {_IDS}, 3, 'base', (v1 * c + 1) % 5, concat_ws(' ', (v1 * c + 1) % 5, v1, 'op1') from f union all select {_IDS}, 4, 'base', value, value::varchar from f)",
     "step_verdicts": _LEAVES
     + f"""select {_IDS}, m <> 3 as parseable, m in (0, 4) or m = 1 and same as derivation_valid, m = 0 or m = 1 and same as terminal_matches_gt,
@@ -346,7 +557,6 @@ ORACLES = {
         || '| # | 0 | 1 | 2 | 3 | 4 |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) order by x) || chr(10) || chr(10) || 'Derived operation &:' || chr(10) || 'x & y = '
         || case n_nationkey % 3 when 0 then '(x # y) # x' when 1 then 't(x # y)' else '(x # x) # y' end || chr(10) || chr(10) || 'Transformation "t":' || chr(10)
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
-    "single_turn_prompt": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from conversations group by conv_id",
-    "prefill_render": "select conv_id, string_agg('Step ' || (turn + 1) || ': ' || text, chr(10) order by turn) as prefill from conversations where turn < 3 group by conv_id",
-    "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select *, lag(role) over (partition by conv_id order by turn) as b from conversations) where b = role group by conv_id",
+    "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
+ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])
