@@ -53,7 +53,25 @@ SENTENCES = {
     "ccbysa4.license": "licensed under cc by sa 4 0",
     "cc0.dedication": "licensed under cc0 1 0",
     "bsd.redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd.source": "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd.binary": "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd.names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd.license": "licensed under the bsd license",
+    "isc.grant": [
+        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "mpl2.subject": "this source code form is subject to the terms of the mozilla public license, v. 2.0",
+    "mpl2.copy": [
+        "if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/",
+        "if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/",
+    ],
+    "unlicense.domain": "this is free and unencumbered software released into the public domain",
+    "gpl2.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl3.free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl.warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "asis.mit": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "rights.reserved": "all rights reserved",
     "spdx.mit": "spdx license identifier mit",
     "spdx.apache2": "spdx license identifier apache 2 0",
@@ -62,9 +80,16 @@ SENTENCES = {
 
 #: Fixed values: (rule, licence, identifiers in order).
 RULES = [
+    ("mit-whole", "MIT", ["mit.title", "mit.grant", "mit.notice", "asis.mit"]),
+    ("bsd3-whole", "BSD-3-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary", "bsd.names"]),
     ("mit-full", "MIT", ["mit.title", "mit.grant", "mit.notice"]),
+    ("bsd2-whole", "BSD-2-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary"]),
     ("apache2-header", "Apache-2.0", ["apache2.license", "apache2.use", "apache2.copy"]),
     ("gpl3-header", "GPL-3.0", ["gpl.free", "gpl.warranty"]),
+    ("agpl3-header", "AGPL-3.0", ["agpl3.free", "gpl.warranty"]),
+    ("gpl2-header", "GPL-2.0", ["gpl2.free", "gpl.warranty"]),
+    ("lgpl3-header", "LGPL-3.0", ["lgpl3.free", "lgpl.warranty"]),
+    ("mpl2-header", "MPL-2.0", ["mpl2.subject", "mpl2.copy"]),
     ("mit-grant", "MIT", ["mit.grant", "mit.notice"]),
     ("mit-release", "MIT", ["mit.release"]),
     ("mit-license", "MIT", ["mit.license"]),
@@ -81,6 +106,12 @@ RULES = [
     ("cc0-dedication", "CC0-1.0", ["cc0.dedication"]),
     ("bsd-redistribute", "BSD", ["bsd.redistribute"]),
     ("bsd-license", "BSD", ["bsd.license"]),
+    ("isc-grant", "ISC", ["isc.grant"]),
+    ("mpl2-subject", "MPL-2.0", ["mpl2.subject"]),
+    ("unlicense-domain", "Unlicense", ["unlicense.domain"]),
+    ("gpl2-free", "GPL-2.0", ["gpl2.free"]),
+    ("lgpl3-free", "LGPL-3.0", ["lgpl3.free"]),
+    ("agpl3-free", "AGPL-3.0", ["agpl3.free"]),
     ("rights-reserved", "all-rights-reserved", ["rights.reserved"]),
     ("spdx-mit", "MIT", ["spdx.mit"]),
     ("spdx-apache2", "Apache-2.0", ["spdx.apache2"]),
@@ -98,7 +129,7 @@ STEPS = [
     (r" ?[\n;][ \n;]*", ";"),
 ]
 #: Where every known sentence holds one of the trigger words, a text without them needs no search.
-TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved"
+TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved|unencumbered|\bmpl\b"
 
 
 def marked(text: Column) -> Column:
