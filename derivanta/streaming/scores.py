@@ -8,7 +8,14 @@ from ..functions.scoring import score
 from ..sources.jsonl import PREDICTION
 
 
-def score_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of scored rows over a folder of JSON Lines files; the first row of each example_id
-    counts. The set of ids is kept as state, as an id may come back at any time."""
-    return score(spark.readStream.schema(PREDICTION).json(path).dropDuplicates(["example_id"]))
+def score_stream(spark: SparkSession, path: str, time_col: str | None = None, delay: str = "7 days", schema: str = PREDICTION) -> DataFrame:
+    """A stream of scored rows over a folder of JSON Lines files; one row of each example_id counts.
+
+    With time_col, a timestamp of the schema, the ids of the last delay are kept as state: a row that
+    comes back within that time counts once, and rows later than it are left out. Without it
+    an id may come back at any time, so all ids are kept: for bounded logs only.
+    """
+    rows = spark.readStream.schema(schema).json(path)
+    if time_col is None:
+        return score(rows.dropDuplicates(["example_id"]))
+    return score(rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["example_id"]))
