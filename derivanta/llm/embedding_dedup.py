@@ -163,7 +163,9 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     component = connected_components(edges, scratch)
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
     known = classes.join(links, classes.node == links.a, "left").join(component, classes.rep == component.node, "left")
-    known = known.select(*key, (F.col("mult") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = scratch.save(known.select(*key, (F.col("mult") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    scratch.drop(classes, reps, placed, found)
+    usable = usable.drop("v")
     linked = usable.select("id", *key).join(known, key).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.lit(1).alias("one")).groupBy("vec_id").agg(F.count("one").alias("rows"))
     alone = alone.join(usable.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("has")), F.col("vec_id") == F.col("i"), "left")

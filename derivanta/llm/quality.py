@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = scratch.save(words.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", *TRAITS))), "words")
     totals = {r["half"]: r for r in rows.groupBy("half").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in TRAITS)).collect()}
     if not {0, 1} <= totals.keys():
+        scratch.clear()
         return Model([{}, {}], [None, None], [0.5, 0.5])
     lexicons = []
     for c in TRAITS:
@@ -141,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "junk", "toxic"])
 
     held = rows.where("half = 1").select("text", "junk", "toxic").mapInArrow(measure, "x array<double>, junk int, toxic int").toPandas()
+    scratch.clear()
     x = np.array(held["x"].tolist()).reshape(len(held), width)
     weights, rates = [], []
     for c in TRAITS:
