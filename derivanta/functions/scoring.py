@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +49,16 @@ SCORE_FIELDS = [*PREDICTION_FIELDS[:6], "final_output", "detected_loose", "detec
 # Case-insensitive, with Unicode classes and \n as the only line end.
 _FLAGS = "(?iduU)"
 _DOUBT = _FLAGS + "|".join(DOUBT)
-_SPACE = r"[\s\x1c-\x1f]"
+#: The characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Each doubt holds one of these, so a text without them needs no search. The letters are those that
+#: are equal to a plain one but for case.
+_HINTS = ["wait", "wrong", "mistake", "error", "incorrect", "invalid", "correct", "recon", "rechec", "verif", "oops", "hm", "actually", "let me", "should", "issue", "match", "equal"]
+_ALIKE, _PLAIN = "\u017f\u0131\u0130\u212a", "siik"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def _let(x: Column, f) -> Column:
@@ -67,15 +75,20 @@ def _unwrap(raw: Column, wrap: str) -> Column:
 def final_output(text: Column) -> Column:
     """The first word after the last marker, without Markdown wrappers and closing dots; or null."""
     raw = strip(F.try_element_at(F.regexp_extract_all(text, F.lit(_FLAGS + FINAL), F.lit(1)), F.lit(-1)))
-    raw = F.regexp_replace(raw, r"\A`+|`+\z", "")
+    raw = F.btrim(raw, F.lit("`"))
     for wrap in ("**", "*", "_", '"', "'"):
         raw = _unwrap(raw, wrap)
-    word = lambda r: F.regexp_extract(r, rf"(?U)\A{_SPACE}*([^\s\x1c-\x1f]+)", 1)
-    return _let(F.regexp_replace(raw, r"[.,]+\z", ""), lambda r: F.when(r != "", F.when(word(r) != "", word(r)).otherwise(r)))
+    word = lambda r: F.substring_index(F.btrim(F.translate(r, WHITE, " " * len(WHITE))), " ", 1)
+    return _let(F.rtrim(raw, F.lit(".,")), lambda r: F.when(r != "", F.coalesce(F.nullif(word(r), F.lit("")), r)))
+
+
+def _hinted(text: Column) -> Column:
+    low = F.lower(F.translate(text, _ALIKE, _PLAIN))
+    return _let(low, lambda t: reduce(or_, [F.contains(t, F.lit(h)) for h in _HINTS]))
 
 
 def detects_loose(text: Column) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit(_DOUBT)), F.lit(False))
+    return F.coalesce(_hinted(text) & F.regexp_like(text, F.lit(_DOUBT)), F.lit(False))
 
 
 def detects_strict(text: Column, error_step: Column) -> Column:
@@ -100,7 +113,7 @@ def detects_strict(text: Column, error_step: Column) -> Column:
         steps = F.regexp_extract_all(part, F.lit(_FLAGS + STEP), F.lit(1))
         return F.exists(steps, lambda n: error_step.isNull() | F.coalesce(n.try_cast("decimal(38,0)") == error_step, F.lit(False)))
 
-    return F.coalesce(F.exists(spans, near), F.lit(False))
+    return F.coalesce(_hinted(text) & F.exists(spans, near), F.lit(False))
 
 
 def outcome(final: Column, loose: Column, truth: Column, wrong: Column) -> Column:
