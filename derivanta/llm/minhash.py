@@ -24,7 +24,7 @@ MANTISSA = 10
 SLACK, SMALL = 0.17, 32
 #: Members a side of a block, and the size of a key from which centres come before the comparison in full.
 BLOCK, LARGE = 512, 64
-#: Rounds of centres.
+#: Centres against which a member of large keys is verified first.
 STARS = 3
 _WINDOW, _PAIRS = 1 << 20, 1 << 14
 
@@ -336,10 +336,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
        (before the shuffle already, a row a task and class), so copies cost nothing from here
        on. Classes that share a doc_id are linked.
     2. Band keys of the classes' registers; keys of one class drop out.
-    3. Keys of more than LARGE classes: in each of STARS rounds each offers one member as its
-       centre, another one each round, and a member is verified against the one centre with
-       which it shares most keys. Linked members get one label, so a large group of near
-       copies costs a few pairs a member.
+    3. Keys of more than LARGE classes: each offers one member as its centre, and a member is verified
+       against the STARS centres with which it shares most keys. Linked members get one label,
+       so a large group of near copies costs a few pairs a member.
     4. All keys: members in blocks, two blocks at a time; pairs of different labels with a likely
        estimate, each in one key, are verified on the whole sets, the likeliest first, as far as
        they join labels. In large keys both happen in one task, which gets the texts and gives back
@@ -371,13 +370,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     bodies = scratch.save(slim.join(ids, ["low", "low_h"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     large = members.where(F.col("size") > LARGE)
-    label = None if large.isEmpty() else scratch.save(large.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
-    for r in range(STARS if label is not None else 0):
-        found = scratch.save(_verified(_centres(large.join(label, "rep"), r, percent), bodies, words, percent, parts), "links")
+    label = None
+    if not large.isEmpty():
+        found = scratch.save(_verified(_centres(large, percent), bodies, words, percent, parts), "links")
         links.append(found)
-        new = scratch.save(_relabelled(label, found), "labels")
-        scratch.drop(label)
-        label = new
+        label = scratch.save(_labels(large.select("rep").distinct(), found), "labels")
     rest = members.where(F.col("size") <= LARGE).withColumn("label", F.col("rep"))
     if label is not None:
         held = large.join(label, "rep")
@@ -401,30 +398,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
-def _centres(now: DataFrame, r: int, percent: int) -> DataFrame:
-    """(key, rep, n, label) -> pairs of a member and the centre of another label with which it shares most keys,
-    in units of about BLOCK members of one centre."""
-    mask = F.lit(0x5DEECE66D1234567 * r % (1 << 62)).cast("long")
-    centre = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("rep").bitwiseXOR(mask).alias("m"), "n", "label")).alias("c")).where("lo < hi")
-    centre = centre.select("key", F.col("c.m").bitwiseXOR(mask).alias("c"), F.col("c.n").alias("cn"), F.col("c.label").alias("lb"))
+def _centres(large: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n) -> pairs of a member and the STARS centres with which it shares most keys, in units of about
+    BLOCK members of one centre. A key's centre is its least member."""
+    centre = large.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("m")).select("key", F.col("m.rep").alias("c"), F.col("m.n").alias("cn"))
     fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-    met = now.join(centre, "key").where((F.col("label") != F.col("lb")) & fits).groupBy("rep", "label", "c", "lb").agg(F.count("*").alias("keys"))
-    best = met.groupBy("rep").agg(F.max(F.struct("keys", "c", "label", "lb")).alias("m")).select("rep", "m.*")
+    met = large.join(centre, "key").where((F.col("rep") != F.col("c")) & fits).groupBy("rep", "c").agg(F.count("*").alias("keys"))
+    # A member has at most as many centres as there are bands.
+    best = met.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("keys", "c")), asc=False).alias("m"))
+    best = best.select("rep", F.explode(F.slice("m", 1, STARS)).alias("m")).select("rep", "m.*")
     size = best.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     x = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    return best.join(size, "c").select(F.col("c").alias("key"), x.alias("x"), F.lit(0).alias("y"), F.col("rep").alias("a"), F.col("c").alias("b"), F.col("label").alias("la"), "lb", F.col("keys").cast("double").alias("estimate"))
+    return best.join(size, "c").select(F.col("c").alias("key"), x.alias("x"), F.lit(0).alias("y"), F.col("rep").alias("a"), F.col("c").alias("b"), F.col("rep").alias("la"), F.col("c").alias("lb"), F.col("keys").cast("double").alias("estimate"))
 
 
-def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, label) after links: each label takes the least one it is linked with, and the label
-    that that one takes, three steps up. Labels never join what no links join."""
-    of = lambda c: label.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
-    met = links.join(of("a"), "a").join(of("b"), "b").where("la <> lb")
-    up = met.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("up"))
+def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label): each takes the least one it is linked with, if less, and what that one takes, four steps
+    up. Labels never join what no links join; what they leave apart is compared in full later."""
+    up = links.groupBy(F.greatest("a", "b").alias("rep")).agg(F.min(F.least("a", "b")).alias("up"))
     for _ in range(2):
-        above = up.select(F.col("label").alias("up"), F.col("up").alias("higher"))
-        up = up.join(above, "up", "left").select("label", F.coalesce("higher", "up").alias("up"))
-    return label.join(up, "label", "left").select("rep", F.coalesce("up", "label").alias("label"))
+        above = up.select(F.col("rep").alias("up"), F.col("up").alias("higher"))
+        up = up.join(above, "up", "left").select("rep", F.coalesce("higher", "up").alias("up"))
+    return reps.join(up, "rep", "left").select("rep", F.coalesce("up", "rep").alias("label"))
 
 
 def _units(rest: DataFrame) -> DataFrame:
