@@ -104,29 +104,30 @@ def validate(rows: DataFrame, system: Column, text: str = "raw_continuation_text
     check that fails decides: all step lines parse (and there is one); both sides of each step
     have one value; each step begins as the one before ended; the last ends in the true
     symbol. A null text or system is unparseable, a null truth matches nothing; step numbers
-    over 19 digits give null.
+    over 19 digits give null. Columns of any name may occur; one named verdict is replaced.
     """
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rows.columns))  # begins no column's name
     part = lambda s, k: F.regexp_extract(s, STEP, k)
-    d = rows.withColumn("_s", system)
-    d = d.withColumns({"_table": system_table(F.col("_s")), "_signs": operators(F.col("_s")), "_cut": token_pattern(F.col("_s")), "_lines": F.filter(F.split(text, LINE, -1), lambda s: s.rlike(STEP))})
-    read = lambda s: to_postfix(s, F.col("_cut"), F.col("_signs"), F.col("_s.symbols"))
-    d = d.withColumn("_steps", F.transform("_lines", lambda s: F.struct(part(s, 1).try_cast("bigint").alias("n"), read(part(s, 2)).alias("before"), read(part(s, 3)).alias("after"))))
-    value = lambda e: postfix_value(e, F.col("_table"), F.col("_signs"))
-    d = d.withColumn("_bad", F.get(F.filter("_steps", lambda s: ~F.coalesce(value(s["before"]) == value(s["after"]), F.lit(False))), F.lit(0)))
-    breaks = F.transform("_steps", lambda s, i: F.struct(s["n"].alias("n"), ((i > 0) & (F.get(F.col("_steps"), i - 1)["after"] != s["before"])).alias("cut")))
-    d = d.withColumn("_break", F.get(F.filter(breaks, lambda s: s["cut"]), F.lit(0)))
-    count = F.coalesce(F.size("_steps"), F.lit(0))
-    readable = F.coalesce((count > 0) & ~F.exists("_steps", lambda s: s["before"].isNull() | s["after"].isNull()), F.lit(False))
-    right, joined = readable & F.col("_bad").isNull(), F.col("_break").isNull()
-    last = F.try_element_at("_steps", F.lit(-1))["after"]
+    d = rows.withColumn(f"{own}s", system)
+    d = d.withColumns({f"{own}table": system_table(F.col(f"{own}s")), f"{own}signs": operators(F.col(f"{own}s")), f"{own}cut": token_pattern(F.col(f"{own}s")), f"{own}lines": F.filter(F.split(text, LINE, -1), lambda s: s.rlike(STEP))})
+    read = lambda s: to_postfix(s, F.col(f"{own}cut"), F.col(f"{own}signs"), F.col(f"{own}s.symbols"))
+    d = d.withColumn(f"{own}steps", F.transform(f"{own}lines", lambda s: F.struct(part(s, 1).try_cast("bigint").alias("n"), read(part(s, 2)).alias("before"), read(part(s, 3)).alias("after"))))
+    value = lambda e: postfix_value(e, F.col(f"{own}table"), F.col(f"{own}signs"))
+    d = d.withColumn(f"{own}bad", F.get(F.filter(f"{own}steps", lambda s: ~F.coalesce(value(s["before"]) == value(s["after"]), F.lit(False))), F.lit(0)))
+    breaks = F.transform(f"{own}steps", lambda s, i: F.struct(s["n"].alias("n"), ((i > 0) & (F.get(F.col(f"{own}steps"), i - 1)["after"] != s["before"])).alias("cut")))
+    d = d.withColumn(f"{own}break", F.get(F.filter(breaks, lambda s: s["cut"]), F.lit(0)))
+    count = F.coalesce(F.size(f"{own}steps"), F.lit(0))
+    readable = F.coalesce((count > 0) & ~F.exists(f"{own}steps", lambda s: s["before"].isNull() | s["after"].isNull()), F.lit(False))
+    right, joined = readable & F.col(f"{own}bad").isNull(), F.col(f"{own}break").isNull()
+    last = F.try_element_at(f"{own}steps", F.lit(-1))["after"]
     symbol = F.coalesce(F.size(last) == 1, F.lit(False))
     verdict = F.struct(
         readable.alias("parseable"),
         (right & joined).alias("derivation_valid"),
         (right & joined & symbol & F.coalesce(F.get(last, F.lit(0)) == F.col(truth), F.lit(False))).alias("terminal_matches_gt"),
-        F.when(readable, F.col("_bad.n")).alias("first_invalid_step"),
-        F.when(right, F.col("_break.n")).alias("first_discontinuity_step"),
+        F.when(readable, F.col(f"{own}bad.n")).alias("first_invalid_step"),
+        F.when(right, F.col(f"{own}break.n")).alias("first_discontinuity_step"),
         F.when(readable, count).otherwise(0).cast("long").alias("parsed_step_count"),
         F.when(~readable, "unparseable").when(~right, "wrong step").when(~joined, "discontinuity").when(~symbol, "terminal is not a single symbol").alias("reason"),
     )
-    return d.withColumn("verdict", verdict).drop("_s", "_table", "_signs", "_cut", "_lines", "_steps", "_bad", "_break")
+    return d.withColumn("verdict", verdict).drop(f"{own}s", f"{own}table", f"{own}signs", f"{own}cut", f"{own}lines", f"{own}steps", f"{own}bad", f"{own}break")
