@@ -64,8 +64,16 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows for work that costs far more than moving them: dealt to all cores by a key if their scan has fewer
+    parts than there are cores, as that of a small file has; a large scan stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PREDICTIONS, events=_t(spark, sf_dir, "events"))
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return spark.sql(PREDICTIONS, events=_spread(events, "event_id"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +271,8 @@ def _algebra(spark, sf_dir):
 def _expressions(spark, sf_dir):
     """(a op1 b) dop0 c in postfix order, with its leaves and its first value."""
     s = lambda c: (F.col(c) % 5).cast("int")
-    e = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("l_orderkey").alias("a"), s("l_partkey").alias("b"), s("l_suppkey").alias("c"))
+    rows = _spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    e = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s("l_orderkey").alias("a"), s("l_partkey").alias("b"), s("l_suppkey").alias("c"))
     # Functions over arrays take no subquery, but a column that holds its value.
     return e.withColumn("rpn", F.array("a", "b", F.lit(-2), "c", F.lit(-3))).withColumn("system", _algebra(spark, sf_dir)), F.col("system")
 
@@ -351,7 +360,8 @@ def step_verdicts(spark, sf_dir):
 
 
 def _step_texts(spark, sf_dir):
-    return spark.sql(STEP_TEXTS.replace("from lineitem", "from {lineitem}"), lineitem=_t(spark, sf_dir, "lineitem"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return spark.sql(STEP_TEXTS.replace("from lineitem", "from {lineitem}"), lineitem=_spread(rows, "l_orderkey"))
 
 
 def parse_step_lines(spark, sf_dir):
