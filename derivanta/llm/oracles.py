@@ -40,4 +40,38 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   (sum(length(role) + length(text) + 24) + case when bool_or(bad) then sum(marks) else 0 end)::bigint as formatted_chars
 from t group by conv_id"""
 
-ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10}
+_LEVELS = 6  # of 16 nodes each: up to 16,777,216 rows of a source
+
+
+def _tree(name: str, first: str, group: str) -> str:
+    """CTEs for the levels of trees: {name}0 ... hold group, place, hash, n and the siblings before and after;
+    a tree's root stays as it is from level to level."""
+    out = []
+    for k in range(_LEVELS + 1):
+        rows = first if k == 0 else f"select {group}, place // 16 as place, case when n = 1 then any_value(hash) else sha256(string_agg(hash, '' order by place)) end as hash, (n + 15) // 16 as n from {name}{k - 1} group by {group}, place // 16, n"
+        run = f"list(hash) over (partition by {group}, place // 16 order by place rows between unbounded preceding and unbounded following)"
+        out.append(f"{name}{k} as (select *, case when n = 1 then '' else array_to_string({run}[:place % 16], '') end as b, case when n = 1 then '' else array_to_string({run}[place % 16 + 2:], '') end as a from ({rows}))")
+    return ", ".join(out)
+
+
+def _fold(name: str, group: str, rows: str, key: str) -> str:
+    """rows (place, told, proof) taken up through the levels of a tree."""
+    for k in range(_LEVELS):
+        rows = f"select r.* replace (case when n = 1 then told else sha256(b || told || a) end as told, proof || b || a as proof, r.place // 16 as place) from ({rows}) r join {name}{k} t on t.{group} = r.{key} and t.place = r.place"
+    return rows
+
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: crc32 of a decimal number: each of its bytes, then eight shifts.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, x: case when x >= 0 then xor(r, x) when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end), 4294967295)"
+OP13 = f"""with d as (select doc_id, coalesce('s' || source, '-') as g, source, row_number() over (partition by source order by doc_id) - 1 as place, count(*) over (partition by source) as n,
+  {_LEAF.format(text="text")} as leaf, case when {_CRC} % 5 = 0 then {_LEAF.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")} end as tampered from documents),
+{_tree("l", "select g, place, leaf as hash, n from d", "g")},
+s as (select g, hash as subroot, row_number() over (order by source nulls first) - 1 as rank, count(*) over () as m from l{_LEVELS} join (select distinct g, source from d) using (g)),
+{_tree("t", "select 0 as z, rank as place, subroot as hash, m as n from s", "z")},
+f as ({_fold("l", "g", "select doc_id, g, place, leaf, coalesce(tampered, leaf) as told, '' as proof from d", "g")}),
+u as (select doc_id, leaf, subroot, 0 as z, rank as place, told, proof from f join s using (g)), v as ({_fold("t", "z", "select * from u", "z")})
+select doc_id, leaf, subroot, t{_LEVELS}.hash as root, sha256(proof) as proof_sha256, told as folded_root, told = t{_LEVELS}.hash as verified from v, t{_LEVELS}"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10, "op13_merkle": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, minhash, nearest, packing, quality, token_files
+from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, merkle, minhash, nearest, packing, quality, token_files
 from .common import Scratch
 from .oracles import ORACLES  # noqa: F401
 
@@ -87,7 +87,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampered copy of a text has A-Z lower-cased, where 5 divides the crc32 of the decimal doc_id."""
+    docs = _read(spark, sf_dir, "documents")
+    leaf_of = lambda text: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", leaf_of(F.col("text")).alias("leaf"), F.when(hit, leaf_of(lowered)).alias("tampered"))
+    made = merkle.manifest(leaves, "source", ["doc_id"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    out = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
+    "op13_merkle": op13_merkle,
     "op1_quality": op1_quality,
     "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
