@@ -95,15 +95,14 @@ class Forest:
         above = roots_at(len(self.levels) - 1)
         for k in range(len(self.levels) - 2, -1, -1):
             nodes = self.levels[k]
-            # Groups that end at this level have no nodes above: their root meets what lies over it.
-            above = above.unionByName(roots_at(k))
             if k == 0:
-                above = scratch.save(above, "paths")
+                above = scratch.save(above.unionByName(roots_at(0)), "paths")
             made = runs(nodes if k == 0 else nodes.where("n > 1"), self.fanout).join(above, ["group", "up"])
             path = F.when(F.col("sides").isNull(), F.col("rest")).otherwise(F.concat(F.array("sides"), "rest"))
             if k == 0:
                 return made.select(*nodes.columns, path.alias("path"), *more)
-            above = made.select("group", F.col("place").alias("up"), path.alias("rest"), *more)
+            # A root at this level is no run's node: it joins here, for the nodes under it.
+            above = made.select("group", F.col("place").alias("up"), path.alias("rest"), *more).unionByName(roots_at(k))
         # All groups have a single node.
         return self.levels[0].join(above.withColumnRenamed("rest", "path").drop("up"), "group")
 

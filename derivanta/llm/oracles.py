@@ -74,4 +74,20 @@ f as ({_fold("l", "g", "select doc_id, g, place, leaf, coalesce(tampered, leaf)
 u as (select doc_id, leaf, subroot, 0 as z, rank as place, told, proof from f join s using (g)), v as ({_fold("t", "z", "select * from u", "z")})
 select doc_id, leaf, subroot, t{_LEVELS}.hash as root, sha256(proof) as proof_sha256, told as folded_root, told = t{_LEVELS}.hash as verified from v, t{_LEVELS}"""
 
-ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10, "op13_merkle": OP13}
+def _windows(k: int) -> str:
+    """CTEs v{k}: a row (doc_id, w: words in windows of k words that the text holds twice or more)."""
+    return f"""a{k} as (select doc_id, i, hash(w[i:i + {k - 1}]) as h from (select doc_id, w, unnest(range(1, len(w) - {k - 2})) as i from w where len(w) >= {k})),
+b{k} as (select doc_id, i from a{k} qualify count(*) over (partition by doc_id, h) > 1),
+v{k} as (select doc_id, sum(least({k}, coalesce(next - i, {k})))::bigint as n{k} from (select *, lead(i) over (partition by doc_id order by i) as next from b{k}) group by doc_id)"""
+
+
+#: Of two spans of a repeat, the words are those of the windows of its least length; one of over 50 words is a window of 51 that repeats.
+OP11 = f"""with w as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+{_windows(5)}, {_windows(20)}, {_windows(51)},
+l as (select doc_id, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(n5, 0) as n_repeat_words, coalesce(n20, 0) as n20, coalesce(n51, 0) as n51 from w left join l using (doc_id) left join v5 using (doc_id) left join v20 using (doc_id) left join v51 using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * n20 <= 10 * n_words and n51 = 0 as kept from m"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10, "op11_repetition": OP11, "op13_merkle": OP13}

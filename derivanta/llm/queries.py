@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, merkle, minhash, nearest, packing, quality, token_files
+from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, merkle, minhash, nearest, packing, quality, repetition, token_files
 from .common import Scratch
 from .oracles import ORACLES  # noqa: F401
 
@@ -100,7 +100,13 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = repetition.repetition_rules(_read(spark, sf_dir, "documents"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op11_repetition": op11_repetition,
     "op13_merkle": op13_merkle,
     "op1_quality": op1_quality,
     "op3_license_scan": op3_license_scan,
