@@ -165,6 +165,68 @@ def reduce_steps(rpn: Column, a: Column) -> Column:
     return F.when(n == 0, F.array().cast(_STEPS)).when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.array().cast(_STEPS), step))
 
 
+def arity(token: Column, a: Column) -> Column:
+    """Operands of a token: none for a symbol, two for an operator, one for a transform."""
+    return F.when(token >= 0, 0).when(-1 - token < a["binary"], 2).otherwise(1)
+
+
+def first_of(rpn: Column, place: Column, a: Column) -> Column:
+    """Where the subexpression that ends at a place starts (places count from 1).
+
+    Read from its end to the left, a subexpression needs one value; each token gives one and needs as many
+    as its arity. The running sum of arity - 1 first comes to -1 at the start.
+    """
+    walk = lambda s, t: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + arity(t, a) - 1).alias("open"), (s["at"] - 1).alias("at")))
+    start = F.struct(F.lit(1).alias("open"), (place + 1).cast("int").alias("at"))
+    return F.aggregate(F.reverse(F.slice(rpn, F.lit(1), F.greatest(place, F.lit(0)))), start, walk, lambda s: F.when(s["open"] == 0, s["at"]))
+
+
+def _child(rpn: Column, place: Column, way: Column, a: Column) -> Column:
+    """The place of a node's operand: the only one of a transform; of an operator the left one for way 0, else
+    the right one. Null for a symbol."""
+    n = arity(F.get(rpn, place - 1), a)
+    return F.when((n == 2) & (way == 0), first_of(rpn, place - 1, a) - 1).when(n > 0, place - 1)
+
+
+def place_at(rpn: Column, path: Column, a: Column) -> Column:
+    """The place of the node that a path of ways leads to from the whole expression; null if it goes on
+    below a symbol. The empty path leads to the whole."""
+    down = lambda p, way: F.when(p.isNotNull(), _child(rpn, p, way, a)).cast("int")
+    return F.aggregate(path, F.nullif(F.size(rpn), F.lit(0)), down)
+
+
+def get_at(rpn: Column, path: Column, a: Column) -> Column:
+    """The subexpression at a path; null if there is none."""
+    part = lambda p: F.when(p.isNotNull(), let(first_of(rpn, p, a), lambda i: F.slice(rpn, i, p - i + 1)))
+    return let(place_at(rpn, path, a), part)
+
+
+def replace_at(rpn: Column, path: Column, new: Column, a: Column) -> Column:
+    """rpn with the subexpression at a path replaced by another; null if there is none."""
+    spliced = lambda p: F.when(p.isNotNull(), let(first_of(rpn, p, a), lambda i: F.concat(F.slice(rpn, F.lit(1), i - 1), new, F.slice(rpn, p + 1, F.size(rpn)))))
+    return let(place_at(rpn, path, a), spliced)
+
+
+def path_to(rpn: Column, place: Column, a: Column) -> Column:
+    """The path from the whole expression to the node at a place: the inverse of place_at. A transform's
+    operand is way 0. Null if there is no such place."""
+    none = F.array().cast("array<int>")
+
+    def down(s: Column, _: Column) -> Column:
+        left = first_of(rpn, s["at"] - 1, a) - 1
+        step = lambda at, way: F.struct(at.cast("int").alias("at"), F.concat(s["path"], F.array(way)).alias("path"))
+        two = let(left, lambda x: F.when(place <= x, step(x, F.lit(0))).otherwise(step(s["at"] - 1, F.lit(1))))
+        return F.when(s["at"] == place, s).when(arity(F.get(rpn, s["at"] - 1), a) == 2, two).otherwise(step(s["at"] - 1, F.lit(0)))
+
+    start = F.struct(F.size(rpn).alias("at"), none.alias("path"))
+    return F.when(place.between(1, F.size(rpn)), F.aggregate(rpn, start, down, lambda s: s["path"]))
+
+
+def redex_path(rpn: Column, a: Column) -> Column:
+    """The path to the subexpression that is reduced next, the innermost leftmost one; null for a symbol."""
+    return path_to(rpn, F.nullif(F.array_position(F.transform(rpn, lambda t: t < 0), True), F.lit(0)).cast("int"), a)
+
+
 def eligible_steps(steps: Column) -> Column:
     """Numbers of the steps that can be corrupted: all but the last with a result."""
     return F.filter(F.transform(steps, lambda s, i: F.when((i < F.size(steps) - 1) & s["result"].isNotNull(), i + 1)), lambda i: i.isNotNull())

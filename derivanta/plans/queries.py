@@ -17,6 +17,7 @@ from ..functions.scoring import score_rows as rows_of_scores
 from ..operators import algebra, generation, groups, registry, report
 from ..sources import dataset
 from ..sources.jsonl import SYSTEM
+from . import shapes
 
 #: Predictions made from events: the same SQL runs in both engines.
 PREDICTIONS = """
@@ -292,11 +293,15 @@ def corrupt_outcomes(spark, sf_dir):
 
 
 def chain_length(spark, sf_dir):
-    """Steps of expressions of one to three operators, by their shape."""
-    e, a = _expressions(spark, sf_dir)
-    rpn = F.when(F.col("l_linenumber") % 3 == 0, F.col("rpn")).when(F.col("l_linenumber") % 3 == 1, F.array("a", "b", F.lit(-1))).otherwise(F.concat("rpn", F.array("b", F.lit(-3))))
-    e = e.withColumn("rpn", rpn)
-    return e.groupBy(ex.n_steps(F.col("rpn"), a).cast("long").alias("chain_length_x"), ex.reducible_nodes(F.col("rpn")).cast("long").alias("nodes"), ex.derived_nodes(F.col("rpn"), a).cast("long").alias("derived")).agg(F.count("*").alias("n"))
+    return shapes.chain_length(_shaped(spark, sf_dir))
+
+
+def subtree_paths(spark, sf_dir):
+    return shapes.subtree_paths(_shaped(spark, sf_dir))
+
+
+def _shaped(spark, sf_dir):
+    return shapes.shaped(spark, sf_dir, _nation_systems(spark, sf_dir))
 
 
 def _reduced(spark, sf_dir):
@@ -330,9 +335,7 @@ def injected_prefills(spark, sf_dir):
 
 
 def eligible_error_steps(spark, sf_dir):
-    e, a = _reduced(spark, sf_dir)
-    eligible, liked = ex.eligible_steps(F.col("steps")), ex.preferred_steps(F.size("steps"))
-    return e.groupBy(F.concat_ws(",", eligible.cast("array<string>")).alias("eligible"), F.concat_ws(",", F.array_intersect(liked, eligible).cast("array<string>")).alias("candidates")).agg(F.count("*").alias("n"))
+    return shapes.eligible_error_steps(_shaped(spark, sf_dir))
 
 
 def _system_json() -> str:
@@ -450,7 +453,7 @@ def continuity_breaks(spark, sf_dir):
     return rows.withColumn("before", F.lag("role").over(w)).where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_shapes, response_texts, event_streams, absent_fields, rejection_counts, cell_results, output_dirs, model_order, model_lookup, dataset_counts, valid_transformations, generated_records, transform_chains, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, reduction_steps, clean_derivations, injected_prefills, eligible_error_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, continuity_breaks)} | {
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_shapes, response_texts, event_streams, absent_fields, rejection_counts, cell_results, output_dirs, model_order, model_lookup, dataset_counts, valid_transformations, generated_records, transform_chains, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, subtree_paths, reduction_steps, clean_derivations, injected_prefills, eligible_error_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, continuity_breaks)} | {
     "headline": lambda s, d: report.headline(scored(s, d)),
     "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
     "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
@@ -532,7 +535,6 @@ ORACLES = {
     "derived_table": _ALGEBRA + "select 'dop0' as op, a.x as lhs, b.x as rhs, (((a.x * b.x + 1) % 5) * a.x + 1) % 5 as result from s a, s b union all select 'dop1', a.x, b.x, (2 * ((6 * a.x + 1) % 5) + 4 * b.x + 1) % 5 from s a, s b",
     "eval_expression": _LEAVES + f"select {_IDS}, value from f",
     "corrupt_outcomes": _LEAVES + "select value, corrupted, value = corrupted as convergent, count(*) as n from f group by all",
-    "chain_length": "select case l_linenumber % 3 when 0 then 4 when 1 then 1 else 7 end::bigint as chain_length_x, case l_linenumber % 3 when 0 then 2 when 1 then 1 else 3 end::bigint as nodes, case l_linenumber % 3 when 0 then 1 when 1 then 0 else 2 end::bigint as derived, count(*) as n from lineitem group by all",
     "clean_derivations": _LEAVES
     + f"""select {_IDS}, concat('Start: ((', a, ' # ', b, ') & ', c, ')', chr(10), chr(10),
       'Step 1: ((', a, ' # ', b, ') & ', c, ') = (', v1, ' & ', c, ')    [by # table]', chr(10),
@@ -544,7 +546,6 @@ ORACLES = {
       select {_IDS}, w as injected, (((w * c + 1) % 5) * w + 1) % 5 as wrong_final, (case when w is null then 0 else 4 end)::bigint as steps,
       case when w is not null then concat('Start: ((', a, ' # ', b, ') & ', c, ')', chr(10), chr(10), 'Step 1: ((', a, ' # ', b, ') & ', c, ') = (', w, ' & ', c, ')    [by # table]', chr(10),
         'Step 2: (', w, ' & ', c, ') = ((', w, ' # ', c, ') # ', w, ')    [by definition of &]') end as prefill from w""",
-    "eligible_error_steps": "select '1,3' as eligible, '3,1' as candidates, count(*) as n from lineitem",
     "reduction_steps": _LEAVES + f"select {_IDS}, step_number, rule_type, result, \"after\" from (select {_IDS}, 1::bigint as step_number, 'base' as rule_type, v1 as result, concat_ws(' ', v1, c, 'dop0') as \"after\" from f union all select {_IDS}, 2, 'derived', null, concat_ws(' ', v1, c, 'op1', v1, 'op1') from f union all select {_IDS}, 3, 'base', (v1 * c + 1) % 5, concat_ws(' ', (v1 * c + 1) % 5, v1, 'op1') from f union all select {_IDS}, 4, 'base', value, value::varchar from f)",
     "step_verdicts": _LEAVES
     + f"""select {_IDS}, m <> 3 as parseable, m in (0, 4) or m = 1 and same as derivation_valid, m = 0 or m = 1 and same as terminal_matches_gt,
@@ -569,4 +570,5 @@ ORACLES = {
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
+ORACLES |= shapes.ORACLES
 ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])
