@@ -90,4 +90,13 @@ m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * n20 <= 10 * n_words and n51 = 0 as kept from m"""
 
-ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10, "op11_repetition": OP11, "op13_merkle": OP13}
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12 = f"""with d as (select doc_id, {_TERMS} as t from documents), n as (select doc_id, len(t)::bigint as n from d where len(t) > 0),
+g as (select count(*)::bigint as many, sum(n)::bigint as total from n), q as (select item_id, t, count(*) as q from (select item_id, unnest({_TERMS}) as t from benchmark) group by all),
+p as (select doc_id, t, count(*) as tf from (select doc_id, unnest(t) as t from d) where t in (select t from q) group by all),
+w as (select t, floor(1000 * ln((2 * any_value(many) + 2) / (2 * count(*) + 1)))::bigint as w from p, g group by t),
+s as (select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * many) // total))))::bigint as score from q join w using (t) join p using (t) join n using (doc_id), g group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op6_line_dedup": OP6, "op7_nearest": OP7, "op9_minhash": OP9, "op10_chat_format": OP10, "op11_repetition": OP11, "op12_ranking": OP12, "op13_merkle": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, merkle, minhash, nearest, packing, quality, repetition, token_files
+from . import bpe, chat_format, embedding_dedup, license_scan, line_dedup, merkle, minhash, nearest, packing, quality, ranking, repetition, token_files
 from .common import Scratch
 from .oracles import ORACLES  # noqa: F401
 
@@ -105,7 +105,13 @@ def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 QUERIES = {
+    "op12_ranking": op12_ranking,
     "op11_repetition": op11_repetition,
     "op13_merkle": op13_merkle,
     "op1_quality": op1_quality,

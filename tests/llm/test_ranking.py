@@ -1,0 +1,86 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from derivanta.llm import ranking
+from pyspark.sql import functions as F
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain(docs, queries, k):
+    own = [(d, TERM.findall((t or "").translate(LOWER))) for d, t in docs]
+    many, total = sum(1 for _, w in own if w), sum(len(w) for _, w in own)
+    df = Counter(x for _, w in own for x in set(w))
+    out = []
+    for q, text in queries:
+        scores = []
+        for d, w in own:
+            tf, m = Counter(w), 25 + 75 * len(w) * many // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[x] + 1))) * (1_000_000_000 * tf[x] // (1000 * tf[x] + 8 * m)) for x in TERM.findall((text or "").translate(LOWER)) if tf[x])
+            if score > 0:
+                scores.append((-score, d is not None, d))
+        out += [(q, i + 1, x[2], -x[0]) for i, x in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=repr)
+
+
+def found(spark, docs, queries, k):
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("n", F.lit("x")).withColumn("terms", F.lit(1)).withColumn("score", F.lit(1))
+    q = spark.createDataFrame(queries, "item_id long, text string").withColumn("q", F.lit(1)).withColumn("item", F.lit("x"))
+    return sorted([tuple(r) for r in ranking.ranked_search(d, q, k).collect()], key=repr)
+
+
+def test_equals_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PAIRS", 40)  # several blocks of queries
+    random.seed(7)
+    words = [f"w{i}" for i in range(60)] + ["É", "ж", "a", "A"]
+    text = lambda n: random.choice([" ", "-", "\n", "_"]).join(random.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=n))
+    docs = [(i, text(random.randint(0, 60))) for i in range(150)] + [(500 + i, "same words w1 w2 w3") for i in range(30)]  # ties
+    docs += [(None, "w1 w59"), (None, "w1 w59"), (7, "w5 w59"), (900, None), (901, ""), (902, "... !"), (903, "w1 " * 50_000)]
+    queries = [(i, text(random.randint(1, 25))) for i in range(12)] + [(20, "w1 w1 w2 same"), (20, "w1 w1 w2 same"), (21, None), (22, ""), (23, "nowhere"), (24, "a A")]
+    assert found(spark, docs, queries, 5) == plain(docs, sorted({*queries}, key=repr), 5)
+
+
+def test_two_queries_of_one_id(spark):
+    docs = [(i, f"x{i} y") for i in range(4)]
+    assert [r[:3] for r in found(spark, docs, [(1, "x1"), (1, "x2")], 3)] == [(1, 1, 1), (1, 1, 2)]
+
+
+@pytest.mark.parametrize("docs, queries", [([], [(1, "a")]), ([(1, "a")], []), ([(1, None)], [(1, "a")])])
+def test_nothing_to_find(spark, docs, queries):
+    assert found(spark, docs, queries, 10) == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_block_gives_the_best_whatever_it_skips(seed):
+    rng = np.random.default_rng(seed)
+    n, terms = int(rng.integers(1, 400)), int(rng.integers(1, 12))
+    held = rng.random((n, terms)) < rng.random(terms)
+    doc, term = np.nonzero(held)
+    impact = rng.integers(1, 4 if seed % 2 else 10**6, len(doc))
+    gain = {int(t): int(g) for t, g in enumerate(rng.integers(0, 9, terms + 1))}
+    block = ranking.Block(np.arange(n) * 3 % 1009, doc, term, impact)
+    score = np.zeros(n, np.int64)
+    np.add.at(score, doc, impact * np.array([gain[t] for t in range(terms)])[term])
+    want = sorted((-int(s), int(d)) for s, d in zip(score, block.ids) if s > 0)
+    for k in (1, 5, n + 1):
+        assert block.best(gain, k) == want[:k]
+        floor = want[len(want) // 3] if want else None
+        assert block.best(gain, k, floor) == [x for x in want[:k] if floor is None or x <= floor]
+
+
+def test_blocks_cover_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ranking, "POSTINGS", 10)
+    rng = random.Random(1)
+    rows = [(i, i, [1] * k, [2] * k) for i, k in enumerate(rng.choices([1, 2, 3, 9, 10, 40], k=200))]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "terms", "tfs"), r)) for r in rows[i : i + 17]], pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])) for i in range(0, 200, 17)]
+    made = list(ranking._blocks(batches))
+    assert [i for b in made for i in b[0].tolist()] == list(range(200))
+    assert all(len(b[3]) <= 10 or len(b[0]) == 1 for b in made)
+    assert sum(len(b[3]) for b in made) == sum(len(r[2]) for r in rows)
