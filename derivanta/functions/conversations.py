@@ -57,15 +57,3 @@ def shown(user: Column, prefill: Column) -> Column:
 def metadata(records: DataFrame) -> DataFrame:
     """The columns that describe a record, as far as they exist."""
     return records.select(*[c for c in METADATA if c in records.columns])
-
-
-def select_records(records: DataFrame, order: str, example_id: str | None = None, start: int = 0, count: int = 1) -> DataFrame:
-    """The rows of an id, which must exist, or count rows from the start-th on, by order."""
-    if example_id is not None:
-        found = records.where(F.col("example_id") == example_id)
-        if found.isEmpty():
-            raise ValueError(f"no example has the id {example_id!r}")
-        return found
-    if start < 0 or count < 1:
-        raise ValueError("start must be at least 0 and count at least 1")
-    return records.orderBy(order).offset(start).limit(count)

@@ -15,11 +15,12 @@ from random import Random
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import conversations
 from ..functions import expressions as ex
 from ..sources.jsonl import SYSTEM
+from ..sources.scratch import Scratch
+from .numbering import numbered
 
 #: Symbols, names, signs and templates of generated systems.
 SYMBOLS = ["🦩", "🐙", "🦔", "🪼", "🦎", "🐌", "🧲", "🪣", "🪆", "🧿", "🪤", "🪩", "🍄", "🫧", "🪸", "🪻", "🌵", "🪨", "🧁", "🫐", "🥟", "🪺", "🧄", "🫑", "🪬", "🧊", "🪈", "🪭", "🧶", "🪵"]
@@ -254,8 +255,8 @@ def control_rows(rows: DataFrame) -> DataFrame:
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns], F.lit(False).alias("has_prefill_error"), F.lit("clean_control").alias("condition"))
 
 
-def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, save, lengths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejections): count rows, a fourth of them for each difficulty, the first bases that give one.
+def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, lengths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(records, rejections, bases): count rows, a fourth of them for each difficulty, the first bases that give one.
 
     A base tries chain seeds in turn, up to CHAIN_SEEDS; attempts run in growing lots for those bases that
     have no instance yet, and more bases follow if a difficulty needs them. save(df, name)
@@ -266,6 +267,8 @@ def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, sa
 
     if count < 1:
         raise ValueError("count must be at least 1")
+    scratch = Scratch(spark, "generated")
+    save = scratch.save
     quota = per_difficulty_quota(count, [*SIZES])
     first, got, tried = dict.fromkeys(SIZES, 0), dict.fromkeys(SIZES, 0), []
     while any(got[d] < quota[d] for d in SIZES):
@@ -289,8 +292,10 @@ def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, sa
         got = dict.fromkeys(SIZES, 0) | {r["difficulty"]: r["n"] for r in hits.groupBy("difficulty").agg(F.count("*").alias("n")).collect()}
         first = {d: wanted[d][1] if d in wanted else first[d] for d in SIZES}
     place = F.array_position(F.array(*[F.lit(d) for d in SIZES]), F.col("difficulty"))
-    # One row a base: as many as the dataset has examples.
-    number = F.row_number().over(Window.orderBy("place", "base_index")) - 1
-    chosen = done.join(hits, ["difficulty", "base_index", "attempt"]).withColumn("place", place).withColumn("example_index", number)
+    # Slim rows are numbered, and the wide ones join their numbers.
+    slim = save(hits.select("difficulty", "base_index", "attempt", place.alias("level")), "hits")
+    numbers = numbered(slim, None, ["level", "base_index"], scratch).select("difficulty", "base_index", "attempt", F.col("place").alias("example_index"))
+    chosen = done.join(numbers, ["difficulty", "base_index", "attempt"])
+    bases_used = slim.agg(F.max("base_index") + 1).first()[0]
     before = done.where("reason is not null").join(hits.withColumnRenamed("attempt", "hit"), ["difficulty", "base_index"], "left").where("hit is null or attempt < hit")
-    return records(chosen, dataset), before.select("difficulty", "base_index", "attempt", "reason")
+    return records(chosen, dataset), before.select("difficulty", "base_index", "attempt", "reason"), bases_used

@@ -57,9 +57,36 @@ def cell_results(summaries: DataFrame, level: int, excluded: list[str] = (), ski
 
 
 def headline(scored: DataFrame) -> DataFrame:
-    """difficulty ('all' and each), total, correct. No rows: one row of zeros."""
-    measures = [F.count("*").alias("total"), F.count_if("matches_ground_truth").alias("correct")]
-    return scored.agg(*measures).select(F.lit("all").alias("difficulty"), "total", "correct").unionByName(scored.groupBy("difficulty").agg(*measures))
+    """difficulty ('all' and each), total, correct, in one pass. No rows: one row of zeros.
+
+    A row that counts for nothing makes sure of the grand total; it gives no row of its own.
+    """
+    rows = scored.select("difficulty", F.lit(1).alias("n"), F.col("matches_ground_truth").cast("int").alias("hit"))
+    nothing = scored.sparkSession.sql("select null as difficulty, 0 as n, 0 as hit")
+    sums = [F.grouping("difficulty").alias("whole"), F.sum("n").alias("total"), F.coalesce(F.sum("hit"), F.lit(0)).alias("correct")]
+    out = rows.unionByName(nothing).groupingSets([[], [F.col("difficulty")]], F.col("difficulty")).agg(*sums)
+    return out.where("whole = 1 or total > 0").select(F.when(F.col("whole") == 1, "all").otherwise(F.col("difficulty")).alias("difficulty"), "total", "correct")
+
+
+def score_summaries(scored: DataFrame, *keys: str) -> DataFrame:
+    """keys and headline and regex_baseline, as a scores folder's summary holds them: one row for each value of the
+    keys, one row of zeros without keys and rows. One pass, one shuffle of the rows' partial counts."""
+    counts = {"total": F.count("*"), "correct": F.count_if("matches_ground_truth"), "loose": F.count_if("detected_loose"), "strict": F.count_if("detected_strict"), "wrong": F.count_if("matches_wrong_branch"), "extracted": F.count("final_output")}
+    counts |= {b: F.count_if(F.col("outcome_bucket") == b) for b in BUCKETS}
+    per = scored.groupBy(*keys, "difficulty").agg(*[v.alias(k) for k, v in counts.items()])
+    if not keys:
+        per = per.unionByName(scored.sparkSession.sql("select null as difficulty, " + ", ".join(f"0L as {c}" for c in counts)))
+    name = F.coalesce("difficulty", F.lit("null"))
+    correct = rate(F.col("correct"), F.col("total"))
+    own = F.struct(name.alias("key"), F.struct("total", correct.alias("final_answer_correct_rate")).alias("value"))
+    buckets = F.struct(name.alias("key"), F.struct(*BUCKETS, F.col("total").alias("_total")).alias("value"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("total") > 0, x))).alias(k) for k, x in (("own", own), ("by", buckets))]
+    whole = per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts], *lists)
+    of = lambda c: rate(F.col(c), F.col("total"))
+    rates = F.struct(of("loose").alias("self_detection_loose"), of("strict").alias("self_detection_strict"), of("correct").alias("final_answer_recovery"), of("wrong").alias("blind_cascade"), of("extracted").alias("extraction_ok"))
+    headline = F.struct("total", correct.alias("final_answer_correct_rate"), F.map_from_entries("own").alias("by_difficulty"))
+    baseline = F.struct("total", F.struct(*BUCKETS).alias("outcome_buckets"), rates.alias("rates"), F.map_from_entries("by").alias("by_difficulty"))
+    return whole.select(*keys, headline.alias("headline"), baseline.alias("regex_baseline"))
 
 
 def bucket_pivot(scored: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.scoring import score_rows as rows_of_scores
 from ..operators import algebra, generation, groups, registry, report
 from ..sources import dataset
 from ..sources.jsonl import SYSTEM
-from . import shapes
+from . import folders, shapes
 
 #: Predictions made from events: the same SQL runs in both engines.
 PREDICTIONS = """
@@ -224,10 +224,7 @@ def valid_transformations(spark, sf_dir):
 
 def generated_records(spark, sf_dir):
     """A small dataset whose seed is the number of nations."""
-    from ..sources.scratch import saver
-
-    rows, _ = generation.generate(spark, "made", 24, _t(spark, sf_dir, "nation").count(), saver(spark, "generated"))
-    return rows
+    return generation.generate(spark, "made", 24, _t(spark, sf_dir, "nation").count())[0]
 
 
 def _system(spark, sf_dir):
@@ -446,6 +443,12 @@ def single_turn_prompt(spark, sf_dir):
     return rows.select("n_nationkey", F.array_join(F.transform(sent, lambda m: m["role"]), ",").alias("roles"), F.array_join(F.transform(sent, lambda m: m["content"]), "\n--\n").alias("content"))
 
 
+def _records_of_chains(spark, sf_dir):
+    """Each nation's conversation as a record of a dataset."""
+    rows, a = _nation_chains(spark, sf_dir), F.col("a")
+    return rows.select("n_nationkey", conversations.turn_1_user(F.col("s"), ex.render(F.col("rpn"), a)).alias("turn_1_user"), ex.prefill(F.col("rpn"), F.col("steps"), a, F.lit(2)).alias("turn_1_assistant_prefill"))
+
+
 def continuity_breaks(spark, sf_dir):
     """Turns whose role is that of the turn before, a system turn counting as a user's."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -460,6 +463,13 @@ QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows
     "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
     "headline_rates": lambda s, d: report.headline_rates(scored(s, d)),
     "regex_summary": lambda s, d: report.regex_summary(scored(s, d)),
+    "eval_folder": lambda s, d: folders.eval_folder(scored(s, d)),
+    "run_summary": lambda s, d: folders.run_summary(predictions(s, d)),
+    "run_predictions": lambda s, d: folders.run_predictions(predictions(s, d)),
+    "scored_file": lambda s, d: folders.scored_file(predictions(s, d)),
+    "file_order": lambda s, d: folders.file_order(predictions(s, d)),
+    "numbered_lines": lambda s, d: folders.numbered_lines(_t(s, d, "lineitem")),
+    "previews": lambda s, d: folders.previews(_records_of_chains(s, d)),
 }
 
 _P = f"with p as ({PREDICTIONS.format(events='events')}) "
@@ -570,5 +580,5 @@ ORACLES = {
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
-ORACLES |= shapes.ORACLES
+ORACLES |= shapes.ORACLES | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
 ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])

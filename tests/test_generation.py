@@ -9,7 +9,7 @@ from derivanta.functions import cells, conversations, expressions, scoring
 from derivanta.operators import generation, report
 from derivanta.sources import dataset
 from derivanta.sources.jsonl import SYSTEM, read_jsonl
-from derivanta.sources.scratch import saver
+from derivanta.sources.scratch import Scratch
 from pyspark.sql import functions as F
 
 
@@ -71,8 +71,8 @@ def test_fixed_draws():
 
 @pytest.fixture(scope="module")
 def made(spark):
-    rows, rejected = generation.generate(spark, "tiny", 18, 20260413, saver(spark, "test-generation"))
-    rows = saver(spark, "test-records")(rows, "rows")
+    rows, rejected, bases = generation.generate(spark, "tiny", 18, 20260413)
+    rows = Scratch(spark, "test-records").save(rows, "rows")
     return rows, rejected
 
 
@@ -130,7 +130,7 @@ def test_dataset_sink(spark, made, tmp_path):
     back = read_jsonl(spark, cells.split_path(path, True), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields))
     assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
     text = (tmp_path / "set" / "README.md").read_text()
-    assert "- total_examples: 18" in text and "- `chain_length_x`: realized" in text and not (tmp_path / "set" / "train.jsonl").exists()
+    assert "- total_examples: 18" in text and "- `chain_length_x`: steps" in text and not (tmp_path / "set" / "train.jsonl").exists()
     (tmp_path / "summary.json").write_text(json.dumps({"input_path": path}))
     (tmp_path / "broken.json").write_text("{")
     found = [dataset.dataset_path(spark, str(tmp_path / f)) for f in ("summary.json", "broken.json", "none.json")]
@@ -144,11 +144,7 @@ def test_small_helpers(spark):
             dataset.length_overrides(bad, {"easy": 6})
     assert cells.score_paths("a/b/predictions.jsonl")["scores"] == "a/b/scores.jsonl" and cells.eval_paths("x")["summary"] == "x/summary.json"
     rows = spark.range(5).select(F.format_string("e%d", "id").alias("example_id"), F.lit(1).alias("split"))
-    assert [r.example_id for r in conversations.select_records(rows, "example_id", start=3, count=9).collect()] == ["e3", "e4"]
-    assert conversations.select_records(rows, "example_id", example_id="e2").count() == 1 and conversations.metadata(rows).columns == ["example_id", "split"]
-    for wrong in ({"example_id": "no"}, {"start": -1}, {"count": 0}):
-        with pytest.raises(ValueError):
-            conversations.select_records(rows, "example_id", **wrong)
+    assert conversations.metadata(rows).columns == ["example_id", "split"]
     with pytest.raises(ValueError, match="mode"):
         scoring.score_rows(spark.createDataFrame([(1,)], "example_id int"))
     with pytest.raises(Exception, match="unknown level"):
