@@ -25,10 +25,11 @@ _SPACE = b" \t\n\x0b\x0c\r"
 
 
 def line_hashes(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (from 0), h1, h2: one row for each line whose key has at least min_chars code
-    points. The key is the line without ASCII white space at its ends, with A-Z lower-cased; h1, h2
-    are the halves of its 128-bit hash. Rows with a null id give none."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    """doc_id, whole (a hash of the text), line (from 0), h1, h2: one row for each line whose key has at
+    least min_chars code points. The key is the line without ASCII white space at its ends, with A-Z
+    lower-cased; h1, h2 are the halves of its 128-bit hash. Rows with a null id give none."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("whole")).where("doc_id is not null")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -42,9 +43,10 @@ def line_hashes(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_co
                         line.append(k)
                         hashes.append(digest(key))
             h = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(line, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "line", "h1", "h2"])
+            own = [b.column(c).take(pa.array(row, pa.int64())) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(line, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "whole", "line", "h1", "h2"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, line int, h1 long, h2 long")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, whole long, line int, h1 long, h2 long")
 
 
 class LineRuns:
@@ -109,8 +111,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col:
     Lines are cut at line feeds. A key (see line_hashes) that at least two documents hold keeps its
     lines only in the document of least id, there all of them; the kept lines stay in order.
     A text left without lines is empty; a null or empty text is one empty line. Rows of equal
-    id count as one document and keep or lose lines alike; rows with a null id stay
-    whole. Input columns named n_lines or n_dropped are replaced, any other name may occur. Ids
+    id count as one document, whose lines are those of all its rows: each row loses those of its own
+    lines that a smaller id holds. Rows with a null id stay whole. Input columns named n_lines or n_dropped are replaced, any other name may occur. Ids
     that are no numbers come as one batch. An empty table gives none.
 
     A key meets others as one row a task (least and largest id), so a line that a third of all
@@ -134,17 +136,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col:
             batch = lines.where(inside)
             keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
             repeated = runs.add(keys)
-            part = batch.join(repeated, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "line")
+            part = batch.join(repeated, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "whole", "line")
             dropped = part if dropped is None else dropped.unionByName(part)
-        drops = scratch.save(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "drops")
+        drops = scratch.save(dropped.groupBy("doc_id", "whole").agg(F.collect_set("line").alias("lines")), "drops")
     finally:
         runs.close()
     scratch.drop(lines)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     slim = docs.select(*[F.col(f"`{c}`") for c in names])
-    doc, drop = fresh(slim, "doc", "drop")
-    listed = drops.select(F.col("doc_id").alias(doc), F.col("lines").alias(drop)).hint("merge")
-    joined = slim.join(listed, slim[f"`{id_col}`"] == listed[doc], "left")
+    doc, whole, drop = fresh(slim, "doc", "whole", "drop")
+    listed = drops.select(F.col("doc_id").alias(doc), F.col("whole").alias(whole), F.col("lines").alias(drop)).hint("merge")
+    same = F.xxhash64(slim[f"`{text_col}`"].cast("string")) == listed[whole]
+    joined = slim.join(listed, (slim[f"`{id_col}`"] == listed[doc]) & same, "left")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     cut = F.split(text, "\n", -1)
     # Within the function the cut text is a value: it is split once, not once a line.

@@ -35,6 +35,14 @@ def test_line_dedup(spark, kind):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_line_dedup_of_one_id_with_several_texts(spark):
+    """Each row loses its own repeated lines only, place by place."""
+    rows = [(1, "alpha alpha alpha"), (2, "alpha alpha alpha"), (2, "a unique line of its own"), (2, "one more line of its own\nalpha alpha alpha\nlast line of that row"), (2, None), (3, "a unique line of its own\nx")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=repr) == lines_of(rows)
+    assert ("a unique line of its own", 0) in {(r.text, r.n_dropped) for r in got if r.doc_id == 2}
+
+
 def test_line_dedup_of_a_long_text(spark):
     text = "\n".join(f"this is line number {i // 2 if i % 2 else -i}" for i in range(100_000))
     other = "\n".join(f"this is line number {i}" for i in range(50_000))
