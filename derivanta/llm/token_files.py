@@ -53,7 +53,8 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end
             at += int(ends[-1])
 
     coded = rows.mapInArrow(run, _schema(slim.schema["doc_id"].dataType.simpleString()))
-    coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").option("orc.create.index", "true").orc(out)
+    # One file a task, whatever the session says: the running sum is the task's.
+    coded.write.option("maxRecordsPerFile", 0).option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").option("orc.create.index", "true").orc(out)
 
 
 def read_token_ids(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
@@ -66,7 +67,9 @@ def read_token_ids(spark: SparkSession, path: str, id_type: T.DataType | None =
     kind = (id_type or T.LongType()).simpleString()
     rows = spark.read.schema(_schema(kind)).orc(path).withColumn("_file", F.col("_metadata.file_path"))
     totals = rows.groupBy("_file").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # By the task's number, whose digits may be more than the five that names are padded to.
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if len(rows.inputFiles()) <= 100_000:  # of about 150 bytes each; beyond that Spark decides
         bases = F.broadcast(bases)
