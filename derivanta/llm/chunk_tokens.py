@@ -11,6 +11,7 @@ import gc
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -146,15 +147,18 @@ class TextCodec:
 class WordCodec:
     """encode(text) -> little-endian unsigned 32-bit ids, for vocabularies that mark the end of a word and
     drop white space. A text is cut at spaces, which no token of the file spans; the ids of
-    recent chunks are kept in a table of bounded size."""
+    recent chunks are kept in a table of bounded size.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, tokens: dict[str, int], normalize: Callable[[str], str] | None, lower: bool, limit: int = 250_000):
+    Chunks that hold code points without a character go to the library itself (whole): the
+    classes of such points differ from one regular expression engine to the next."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tokens: dict[str, int], normalize: Callable[[str], str] | None, lower: bool, whole: Callable[[str], list[int]], limit: int = 250_000):
         import tiktoken
 
         self.coding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.find, self.normalize, self.lower = regex.compile(pattern).findall, normalize, lower
         self.tokens, self.cut, self.mark = tokens, _cutter(tokens), os.path.commonprefix([*tokens])
-        self.words, self.known = Memo(self._word, 100_000), Memo(self._chunk, limit)
+        self.words, self.known, self.whole = Memo(self._word, 100_000), Memo(self._chunk, limit), whole
 
     def _word(self, word: str) -> bytes:
         return array("I", self.coding._encode_single_piece(word.encode() + _WORD_END)).tobytes()
@@ -169,6 +173,8 @@ class WordCodec:
         return b"".join([self.words[w] for w in self.find(part)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and any(unicodedata.category(c) in ("Cn", "Co") for c in chunk):
+            return array("I", self.whole(chunk)).tobytes()
         if self.tokens and self.mark in chunk:
             return b"".join([array("I", [self.tokens[x]]).tobytes() if i % 2 else self._pieces(x) for i, x in enumerate(self.cut(chunk))])
         return self._pieces(chunk)
@@ -210,10 +216,12 @@ def library_codec(path: str, default_pattern: str, added: bool = True) -> TextCo
         raise ValueError("the file's normaliser isn't of a known kind")
     if not ends:
         return TextCodec(ranks, default_pattern, tokens)
-    normalizer = Tokenizer.from_file(path).normalizer
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = not added
+    normalizer = library.normalizer
     kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
     # Of a chunk of letters that are all composed these three are lower case, but for white space, which is dropped.
-    return WordCodec(ranks, split[0]["pattern"]["Regex"], tokens, normalizer and normalizer.normalize_str, kinds == ["NFC", "Replace", "Lowercase"])
+    return WordCodec(ranks, split[0]["pattern"]["Regex"], tokens, normalizer and normalizer.normalize_str, kinds == ["NFC", "Replace", "Lowercase"], lambda chunk: library.encode(chunk, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=4)
