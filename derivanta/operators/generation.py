@@ -1,25 +1,23 @@
-"""Seeded systems, expressions and corrupted derivations.
+"""Seeded systems, expressions and corrupted derivations, as columns.
 
-What must follow the standard library's random sequence, so that a seed gives one system and one
-expression everywhere, is drawn by small functions in tasks: a table of symbols, a postfix array.
-Reduction, corruption, text, rejection and quotas are Spark expressions over these.
+Everything that is drawn follows from a seed and a name (functions.draws), so a row is made where it
+lies, and again if a task is lost. Reduction, corruption, text, rejection and quotas are expressions
+over the drawn tables and postfix arrays.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-from random import Random
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import conversations
 from ..functions import expressions as ex
+from ..functions.draws import draw, picked, shuffled
 from ..sources.jsonl import SYSTEM
 from ..sources.scratch import Scratch
+from .algebra import permutation_order
 from .numbering import numbered
 
 #: Symbols, names, signs and templates of generated systems.
@@ -30,166 +28,144 @@ SIGNS = ["⊕", "⊗", "⊛", "⊞"]
 MOVES = ["inv", "rot", "flip", "dual"]
 #: Difficulty -> symbols, base operators, derived operators, transforms, steps aimed at.
 SIZES = {"easy": (3, 1, 0, 0, 6), "medium": (4, 1, 1, 1, 8), "hard": (5, 2, 1, 1, 10), "expert": (6, 2, 2, 2, 14)}
-#: Tries for a system and for a permutation, chain seeds tried, least number of steps.
+#: Tries for a permutation, chain seeds tried, least number of steps.
 TRIES, CHAIN_SEEDS, LEAST_STEPS = 100, 250, 4
 RECORD = ["example_id", "base_id", "split", "difficulty", "error_type", "turn_1_user", "turn_1_assistant_prefill", "clean_derivation", "ground_truth_final_output", "wrong_branch_final_output", "chain_length_x", "prefill_error_step", "target_step_count", "system_json", "system_seed", "chain_seed", "error_seed"]
 
 
-def order_of(perm: list[int]) -> int:
-    """After how many times a permutation of 0, 1, ... gives each place back."""
-    found = 1
-    for i in range(len(perm)):
-        at, n = perm[i], 1
-        while at != i:
-            at, n = perm[at], n + 1
-        found = math.lcm(found, n)
-    return found
-
-
-def spread(table: dict[tuple[int, int], int], move: list[int]) -> bool:
-    """Whether a map distributes over an operator."""
-    return all(move[r] == table[move[x], move[y]] for (x, y), r in table.items())
-
-
-def _moved_tables(rng: Random, n: int, ops: int, moves: int) -> tuple[list[dict], list[list[int]]]:
-    """Tables over which a permutation and its powers distribute: a result drawn for one pair holds, moved
-    along, for all pairs that the permutation takes that one to."""
-    for _ in range(TRIES):
-        own = Random(rng.randint(0, 2**63))
-        for _ in range(TRIES):
-            step = list(range(n))
-            own.shuffle(step)
-            if order_of(step) > moves:
-                break
-        else:
-            continue
-        powers = [step]
-        while len(powers) < moves:
-            powers.append([step[i] for i in powers[-1]])
-        tables: list[dict] = [{} for _ in range(ops)]
-        for t in tables:
-            for cell in range(n * n):
-                x, y = divmod(cell, n)
-                if (x, y) not in t:
-                    r = own.choice(range(n))
-                    while (x, y) not in t:
-                        t[x, y] = r
-                        x, y, r = step[x], step[y], step[r]
-        if all(spread(t, p) for t in tables for p in powers):
-            return tables, powers
-    raise RuntimeError(f"no tables of {n} symbols found that {moves} transforms distribute over")
-
-
-def draw_system(seed: int, n: int, ops: int, made: int, moves: int) -> dict:
-    """A system of the schema sources.jsonl.SYSTEM: n symbols, ops tables, made derived operators, moves transforms."""
-    rng = Random(seed)
-    pool = SYMBOLS[:]
-    rng.shuffle(pool)
-    pool = pool[:n]
-    name = f"{rng.choice(FIRST_NAMES)} {rng.choice(LAST_NAMES)}"
-    if moves:
-        tables, maps = _moved_tables(rng, n, ops, moves)
-    else:
-        tables, maps = [{divmod(c, n): rng.choice(range(n)) for c in range(n * n)} for _ in range(ops)], []
-    templates = [t for t in ex.TEMPLATES if moves or t != "inv_compose"]
-    if made:
-        rng.shuffle(templates)
-    derived = [(t, rng.choice(range(ops))) for t in templates[:made]]
-    show = lambda i: pool[i]
-    return {
-        "name": name,
-        "seed": seed,
-        "symbols": pool,
-        "base_operations": [{"name": f"op{i}", "symbol_id": SIGNS[i], "table": {f"{show(x)},{show(y)}": show(r) for (x, y), r in t.items()}} for i, t in enumerate(tables)],
-        "derived_operations": [{"name": f"dop{i}", "symbol_id": SIGNS[ops + i], "template_id": t, "base_ops": [f"op{b}"], "transform_name": MOVES[0] if t == "inv_compose" else None} for i, (t, b) in enumerate(derived)],
-        "transformations": [{"name": MOVES[i], "mapping": {show(x): show(y) for x, y in enumerate(m)}, "distributes_over": [f"op{j}" for j in range(ops)]} for i, m in enumerate(maps)],
-    }
-
-
-def draw_expression(rng: Random, depth: int, n: int, ops: int, made: int, moves: int) -> list[int]:
-    """Postfix tokens (see functions.expressions) of a random expression of at most this depth."""
-    binary = ops + made
-    kind = rng.choice(range(binary + (moves > 0) + 1)) if depth > 0 else binary + 1
-    if kind < binary:
-        op = rng.choice(range(binary))
-        left = draw_expression(rng, depth - 1, n, ops, made, moves)
-        return [*left, *draw_expression(rng, depth - 1, n, ops, made, moves), -1 - op]
-    if moves and kind == binary and depth > 0:
-        move = rng.choice(range(moves))
-        return [*draw_expression(rng, depth - 1, n, ops, made, moves), -1 - binary - move]
-    return [rng.choice(range(n))]
-
-
-def draw_chain(seed: int, length: int, n: int, ops: int, made: int, moves: int) -> list[int]:
-    """Tokens of the first expression whose reduction takes about length steps (at least 1), or the nearest of 50."""
-    rng, best = Random(seed), None
-    size = lambda e: (sum(t < 0 for t in e), sum(ops <= -1 - t < ops + made for t in e))
-
-    def sized() -> list[int]:
-        for depth in range(1, 10):
-            for _ in range(20):
-                e = draw_expression(rng, depth, n, ops, made, moves)
-                nodes, derived = size(e)
-                if nodes and abs(nodes + derived - length) <= 2:
-                    return e
-                if nodes and nodes + derived > length + 3:
-                    break
-        for _ in range(TRIES):
-            e = draw_expression(rng, max(1, length // 2), n, ops, made, moves)
-            if size(e)[0]:
-                return e
-        raise RuntimeError("no expression with an operator was drawn")
-
-    for _ in range(50):
-        e = sized()
-        nodes, derived = size(e)
-        off = abs(nodes + 2 * derived - length)
-        if best is None or off < best[0]:
-            best = off, e
-        if off <= 2:
-            break
-    return best[1]
+_INTS = "array<int>"
 
 
-def bases(spark: SparkSession, master_seed: int, wanted: dict[str, tuple[int, int]], lengths: dict[str, int] | None = None) -> DataFrame:
-    """difficulty -> (first, end) of its base numbers: a row a base, with its seeds and sizes."""
-    sizes = [(d, i, *SIZES[d][:4], (lengths or {}).get(d, SIZES[d][4]), *wanted[d]) for i, d in enumerate(SIZES) if d in wanted]
-    rows = spark.createDataFrame(sizes, "difficulty string, place long, n int, ops int, made int, moves int, target_step_count int, first long, end long").where("first < end")
-    rows = rows.withColumn("base_index", F.explode(F.sequence(F.col("first"), F.col("end") - 1))).drop("first", "end")
-    root = F.lit(master_seed).cast("long") * 1_000_000 + F.col("place") * 10_000 + F.col("base_index") * 100
-    return rows.withColumn("root", root).withColumn("system_seed", root + 11).withColumn("error_seed", root + 101)
+def _after(move: Column, other: Column) -> Column:
+    """Two permutations, one after the other."""
+    return F.transform(other, lambda i: F.get(move, i))
+
+
+def drawn_move(seed: Column, n: Column, moves: Column) -> Column:
+    """A permutation of n symbols that none of its first powers, moves of them, takes back to where all
+    were: the first of up to TRIES drawn. Without transforms, the identity; null if none is found."""
+    same = F.sequence(F.lit(0), n - 1).cast(_INTS)
+
+    def fits(p: Column) -> Column:
+        powers = F.aggregate(F.sequence(F.lit(1), moves), F.struct(same.alias("now"), F.lit(True).alias("ok")), lambda s, _: ex.let(_after(p, s["now"]), lambda now: F.struct(now.alias("now"), (s["ok"] & (now != same)).alias("ok"))))
+        return powers["ok"]
+
+    tried = lambda found, t: F.when(found.isNotNull(), found).otherwise(ex.let(shuffled(seed, n, "move", t), lambda p: F.when(fits(p), p)))
+    return F.when(moves == 0, same).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast(_INTS), tried))
+
+
+def powers(move: Column) -> Column:
+    """The identity, the permutation, its square and so on, as many as its order."""
+    same = F.sequence(F.lit(0), F.size(move) - 1).cast(_INTS)
+    on = lambda done, _: F.concat(done, F.array(_after(move, F.element_at(done, -1))))
+    return ex.let(permutation_order(move), lambda n: F.when(n == 1, F.array(same)).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), F.array(same), on)))
+
+
+def drawn_table(seed: Column, name, n: Column, powers_: Column) -> Column:
+    """n * n results, by left, then right operand, over which the permutation distributes.
+
+    The permutation takes a pair of operands around an orbit. The result of the orbit's least pair is
+    drawn among the symbols that the permutation has taken back to where they were when the pair comes back
+    to itself; the others' results are this one, moved along.
+    """
+    order = F.size(powers_)
+
+    def result(cell: Column) -> Column:
+        orbit = F.transform(powers_, lambda p: F.get(p, (cell / n).cast("int")) * n + F.get(p, cell % n))
+
+        def of(way: Column) -> Column:
+            back = F.coalesce(F.nullif(F.array_position(F.slice(way, F.lit(2), order), cell), F.lit(0)).cast("int"), order)  # steps until the pair is itself
+            least = F.array_min(way)
+            ahead = F.array_position(way, least).cast("int") - 1  # steps to the least pair
+            fixed = F.filter(F.sequence(F.lit(0), n - 1).cast(_INTS), lambda r: F.get(F.get(powers_, back % order), r) == r)
+            first = ex.let(fixed, lambda rs: F.get(rs, draw(seed, F.size(rs), "cell", name, least)))
+            return ex.let(first, lambda r: F.get(F.get(powers_, (order - ahead) % order), r))
+
+        return ex.let(orbit, of)
+
+    return F.transform(F.sequence(F.lit(0), n * n - 1).cast(_INTS), result)
 
 
 def with_systems(rows: DataFrame) -> DataFrame:
-    """rows (with system_seed, n, ops, made, moves) and system_json."""
+    """rows (with system_seed, n, ops, made, moves: symbols, operators, derived ones, transforms) and system, of the
+    schema sources.jsonl.SYSTEM, and system_json."""
+    seed, n = F.col("system_seed"), F.col("n")
+    upto = lambda end, f: F.when(end > 0, F.transform(F.sequence(F.lit(0), end - 1).cast(_INTS), f))
+    drawn = rows.withColumn("_pool", F.transform(F.slice(shuffled(seed, len(SYMBOLS), "symbol"), F.lit(1), n), lambda i: picked(SYMBOLS, i)))
+    drawn = drawn.withColumn("_powers", powers(drawn_move(seed, n, F.col("moves"))))
+    drawn = drawn.withColumn("_tables", upto(F.col("ops"), lambda o: drawn_table(seed, o, n, F.col("_powers"))))
+    pool = lambda i: F.get("_pool", i)
+    pair = lambda c: F.concat_ws(",", pool((c / n).cast("int")), pool(c % n))
+    table = lambda t: F.map_from_entries(F.transform(t, lambda r, c: F.struct(pair(c), pool(r))))
+    op_name = lambda o: F.concat(F.lit("op"), o.cast("string"))
+    base = F.transform("_tables", lambda t, o: F.struct(op_name(o).alias("name"), picked(SIGNS, o).alias("symbol_id"), table(t).alias("table")))
+    # Without a transform there is no operator by one.
+    templates = F.filter(shuffled(seed, len(ex.TEMPLATES), "template"), lambda i: (F.col("moves") > 0) | (i != ex.TEMPLATES.index("inv_compose")))
+    templates = F.slice(templates, F.lit(1), F.col("made"))
+    moved = lambda t: F.when(t == ex.TEMPLATES.index("inv_compose"), MOVES[0])
+    derived = F.transform(templates, lambda t, i: F.struct(F.concat(F.lit("dop"), i.cast("string")).alias("name"), picked(SIGNS, F.col("ops") + i).alias("symbol_id"), picked([*ex.TEMPLATES], t).alias("template_id"), F.array(op_name(draw(seed, F.col("ops"), "base", i))).alias("base_ops"), moved(t).alias("transform_name")))
+    mapping = lambda k: F.map_from_entries(F.transform(F.get("_powers", k + 1), lambda y, x: F.struct(pool(x), pool(y))))
+    maps = upto(F.col("moves"), lambda k: F.struct(picked(MOVES, k).alias("name"), mapping(k).alias("mapping"), F.transform("_tables", lambda _, o: op_name(o)).alias("distributes_over")))
+    name = F.concat_ws(" ", picked(FIRST_NAMES, draw(seed, len(FIRST_NAMES), "first")), picked(LAST_NAMES, draw(seed, len(LAST_NAMES), "last")))
+    fields = {"name": name, "seed": seed, "symbols": F.col("_pool"), "base_operations": base, "derived_operations": derived, "transformations": F.coalesce(maps, F.array())}
+    system = F.struct(*[v.alias(k) for k, v in fields.items()]).cast(_struct(SYSTEM))
+    return drawn.withColumn("system", system).withColumn("system_json", system_to_json(F.col("system"))).drop("_pool", "_powers", "_tables")
+
+
+def _struct(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).simpleString()
+
+
+def system_to_json(system: Column) -> Column:
+    """A system as JSON: an object with the schema's fields in order, nulls too; from_json with SYSTEM gives it back."""
+    return F.to_json(system, {"ignoreNullFields": "false"})
+
+
+def drawn_expression(seed: Column, length: Column, n: Column, ops: Column, made: Column, moves: Column) -> Column:
+    """Postfix tokens (see functions.expressions) of an expression whose reduction takes exactly length steps.
+
+    It starts as a symbol. While steps are left, a drawn symbol of it becomes the operand of a drawn operator or
+    transform, beside a new symbol, to the left or the right: an operator or a transform takes one
+    step, a derived operator three, so that it is drawn only while three are left.
+    """
+    binary = ops + made
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            drawn = [json.dumps(draw_system(*r), ensure_ascii=False, indent=2) for r in zip(*(b[c].to_pylist() for c in ("system_seed", "n", "ops", "made", "moves")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(drawn, pa.string())], names=[*b.schema.names, "system_json"])
+    def grow(s: Column, i: Column) -> Column:
+        some = F.when(s["left"] >= 3, made).otherwise(0)
+        kind = draw(seed, ops + some + moves, "kind", i)
+        token = F.when(kind < ops + some, -1 - kind).otherwise(-1 - binary - (kind - ops - some))
+        places = F.filter(F.transform(s["rpn"], lambda t, p: F.when(t >= 0, p + 1)), lambda p: p.isNotNull())
+        at = ex.let(places, lambda ps: F.get(ps, draw(seed, F.size(ps), "place", i)))
 
-    return rows.mapInArrow(run, f"{_ddl(rows)}, system_json string")
+        def put(p: Column) -> Column:
+            old, new = F.get(s["rpn"], p - 1), draw(seed, n, "symbol", i)
+            operands = F.when(kind >= ops + some, F.array(old)).when(draw(seed, 2, "side", i) == 0, F.array(old, new)).otherwise(F.array(new, old))
+            rpn = F.concat(F.slice(s["rpn"], F.lit(1), p - 1), operands, F.array(token.cast("int")), F.slice(s["rpn"], p + 1, F.size(s["rpn"])))
+            cost = F.when((kind >= ops) & (kind < ops + some), 3).otherwise(1)
+            return F.struct(rpn.alias("rpn"), (s["left"] - cost).alias("left"))
 
+        return F.when(s["left"] <= 0, s).otherwise(ex.let(at, put))
 
-def with_chains(rows: DataFrame) -> DataFrame:
-    """rows (with chain_seed, error_seed, sizes) and rpn, and tries: in which order wrong symbols are tried."""
+    start = F.struct(F.array(draw(seed, n, "symbol", 0)).alias("rpn"), length.cast("int").alias("left"))
+    return F.when(length < 1, start["rpn"]).otherwise(F.aggregate(F.sequence(F.lit(1), length), start, grow, lambda s: s["rpn"]))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = {c: b[c].to_pylist() for c in ("chain_seed", "target_step_count", "n", "ops", "made", "moves", "error_seed")}
-            rpn = [draw_chain(*r) for r in zip(*(at[c] for c in ("chain_seed", "target_step_count", "n", "ops", "made", "moves")), strict=True)]
-            tries = []
-            for seed, n in zip(at["error_seed"], at["n"], strict=True):
-                order = list(range(n - 1))
-                Random(seed).shuffle(order)
-                tries.append(order)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rpn, pa.list_(pa.int32())), pa.array(tries, pa.list_(pa.int32()))], names=[*b.schema.names, "rpn", "tries"])
 
-    return rows.mapInArrow(run, f"{_ddl(rows)}, rpn array<int>, tries array<int>")
+def with_chains(rows: DataFrame) -> DataFrame:
+    """rows (with chain_seed, error_seed, target_step_count, sizes) and rpn, and tries: in which order wrong symbols
+    are tried."""
+    rpn = drawn_expression(F.col("chain_seed"), F.col("target_step_count"), *[F.col(c) for c in ("n", "ops", "made", "moves")])
+    return rows.withColumn("rpn", rpn).withColumn("tries", shuffled(F.col("error_seed"), F.col("n") - 1, "try"))
 
 
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+def bases(spark: SparkSession, master_seed: int, wanted: dict[str, tuple[int, int]], lengths: dict[str, int] | None = None) -> DataFrame:
+    """difficulty -> (first, end) of its base numbers: a row a base, with its seeds and sizes."""
+    sizes = [(d, i, *SIZES[d][:4], (lengths or {}).get(d, SIZES[d][4]), *wanted[d]) for i, d in enumerate(SIZES) if d in wanted]
+    rows = spark.createDataFrame(sizes, "difficulty string, place long, n int, ops int, made int, moves int, target_step_count int, first long, end long").where("first < end")
+    rows = rows.withColumn("base_index", F.explode(F.sequence(F.col("first"), F.col("end") - 1))).drop("first", "end")
+    root = F.lit(master_seed).cast("long") * 1_000_000 + F.col("place") * 10_000 + F.col("base_index") * 100
+    return rows.withColumn("root", root).withColumn("system_seed", root + 11).withColumn("error_seed", root + 101)
 
 
 def with_instances(rows: DataFrame) -> DataFrame:
@@ -255,47 +231,58 @@ def control_rows(rows: DataFrame) -> DataFrame:
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns], F.lit(False).alias("has_prefill_error"), F.lit("clean_control").alias("condition"))
 
 
-def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, lengths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(records, rejections, bases): count rows, a fourth of them for each difficulty, the first bases that give one.
+def search(bases_: DataFrame, scratch: Scratch) -> DataFrame:
+    """Attempts at an instance for each base: with_instances of chain seeds in turn, with attempt and chain_seed, up
+    to the base's first success or CHAIN_SEEDS of them.
 
-    A base tries chain seeds in turn, up to CHAIN_SEEDS; attempts run in growing lots for those bases that
-    have no instance yet, and more bases follow if a difficulty needs them. save(df, name)
-    writes a table in a shared folder and reads it back; rejections are (difficulty, base_index,
-    attempt, reason) of attempts before a base's success. Lots are a few jobs each, whatever count is.
+    Attempts run in growing lots, for the bases without an instance yet; a few jobs, whatever their number. A lot
+    may hold attempts after a base's first success.
     """
+    left = scratch.save(with_systems(bases_), "bases")
+    low, lots = 0, []
+    for high in (1, 4, 16, 64, CHAIN_SEEDS):
+        seeds = left.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))).withColumn("chain_seed", F.col("root") + 29 + F.col("attempt"))
+        lot = scratch.save(with_instances(with_chains(seeds)), "attempts")
+        lots.append(lot)
+        left = left.join(lot.where("reason is null").select("difficulty", "base_index").distinct(), ["difficulty", "base_index"], "left_anti")
+        low = high
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, lots)
+
+
+def choose(attempts: DataFrame, dataset: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, rejections, hits) of attempts of search: hits are (difficulty, base_index, attempt) of each base's
+    first success, rejections (difficulty, base_index, attempt, reason) of the attempts before. Records
+    are numbered by difficulty, then base."""
+    place = F.array_position(F.array(*[F.lit(d) for d in SIZES]), F.col("difficulty"))
+    first = attempts.where("reason is null").groupBy("difficulty", "base_index").agg(F.min("attempt").alias("attempt"))
+    # Slim rows are numbered, and the wide ones join their numbers.
+    hits = scratch.save(first.withColumn("level", place), "hits")
+    numbers = numbered(hits, None, ["level", "base_index"], scratch).select("difficulty", "base_index", "attempt", F.col("place").alias("example_index"))
+    chosen = attempts.join(numbers, ["difficulty", "base_index", "attempt"])
+    before = attempts.where("reason is not null").join(hits.select("difficulty", "base_index", F.col("attempt").alias("hit")), ["difficulty", "base_index"], "left").where("hit is null or attempt < hit")
+    return records(chosen, dataset), before.select("difficulty", "base_index", "attempt", "reason"), hits
+
+
+def generate(spark: SparkSession, dataset: str, count: int, master_seed: int, lengths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(records, rejections, bases): count rows, a fourth of them for each difficulty, of the first bases that give
+    one; bases is the largest number of bases that a difficulty used. More bases follow if a difficulty needs them."""
     from .report import per_difficulty_quota
 
     if count < 1:
         raise ValueError("count must be at least 1")
     scratch = Scratch(spark, "generated")
-    save = scratch.save
     quota = per_difficulty_quota(count, [*SIZES])
     first, got, tried = dict.fromkeys(SIZES, 0), dict.fromkeys(SIZES, 0), []
     while any(got[d] < quota[d] for d in SIZES):
         if max(first.values()) >= 20_000:
             raise RuntimeError("too few bases give an instance")
         wanted = {d: (first[d], first[d] + quota[d] - got[d]) for d in SIZES if got[d] < quota[d]}
-        left = save(with_systems(bases(spark, master_seed, wanted, lengths)), "bases")
-        low = 0
-        for high in (3, 12, 48, CHAIN_SEEDS):
-            seeds = left.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))).withColumn("chain_seed", F.col("root") + 29 + F.col("attempt"))
-            lot = save(with_instances(with_chains(seeds)), "attempts")
-            tried.append(lot)
-            left = left.join(lot.where("reason is null").select("difficulty", "base_index").distinct(), ["difficulty", "base_index"], "left_anti")
-            low = high
-            if left.isEmpty():
-                break
-        done = tried[0]
-        for lot in tried[1:]:
-            done = done.unionByName(lot)
-        hits = done.where("reason is null").groupBy("difficulty", "base_index").agg(F.min("attempt").alias("attempt"))
-        got = dict.fromkeys(SIZES, 0) | {r["difficulty"]: r["n"] for r in hits.groupBy("difficulty").agg(F.count("*").alias("n")).collect()}
-        first = {d: wanted[d][1] if d in wanted else first[d] for d in SIZES}
-    place = F.array_position(F.array(*[F.lit(d) for d in SIZES]), F.col("difficulty"))
-    # Slim rows are numbered, and the wide ones join their numbers.
-    slim = save(hits.select("difficulty", "base_index", "attempt", place.alias("level")), "hits")
-    numbers = numbered(slim, None, ["level", "base_index"], scratch).select("difficulty", "base_index", "attempt", F.col("place").alias("example_index"))
-    chosen = done.join(numbers, ["difficulty", "base_index", "attempt"])
-    bases_used = slim.agg(F.max("base_index") + 1).first()[0]
-    before = done.where("reason is not null").join(hits.withColumnRenamed("attempt", "hit"), ["difficulty", "base_index"], "left").where("hit is null or attempt < hit")
-    return records(chosen, dataset), before.select("difficulty", "base_index", "attempt", "reason"), bases_used
+        tried.append(search(bases(spark, master_seed, wanted, lengths), scratch))
+        hit = tried[-1].where("reason is null").select("difficulty", "base_index").distinct()
+        for r in hit.groupBy("difficulty").agg(F.count("*").alias("n")).collect():  # four rows
+            got[r["difficulty"]] += r["n"]
+        first |= {d: end for d, (_, end) in wanted.items()}
+    rows, rejected, hits = choose(reduce(DataFrame.unionByName, tried), dataset, scratch)
+    return rows, rejected, hits.agg(F.max("base_index") + 1).first()[0]

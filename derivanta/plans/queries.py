@@ -17,7 +17,7 @@ from ..functions.scoring import score_rows as rows_of_scores
 from ..operators import algebra, generation, groups, registry, report
 from ..sources import dataset
 from ..sources.jsonl import SYSTEM
-from . import folders, shapes
+from . import drawn, folders, shapes
 
 #: Predictions made from events: the same SQL runs in both engines.
 PREDICTIONS = """
@@ -121,8 +121,8 @@ def preferred_error_step(spark, sf_dir):
 def reject_reasons(spark, sf_dir):
     """Reasons in order: too short, too little runway after the error step; zero where none."""
     p = predictions(spark, sf_dir)
-    x = F.col("chain_length_x")
-    short, late = x < 6, x - F.col("prefill_error_step") < F.ceil(x / 2)
+    x = F.col("chain_length_x") - 2
+    short, late = x < generation.LEAST_STEPS, x - F.col("prefill_error_step") < F.ceil(x / 2)
     return p.groupBy("difficulty").agg(F.count_if(short).alias("short"), F.count_if(~short & late).alias("insufficient_runway"), F.count_if(~short & ~late).alias("accepted"))
 
 
@@ -179,8 +179,10 @@ def absent_fields(spark, sf_dir):
 
 
 def rejection_counts(spark, sf_dir):
-    p, x = predictions(spark, sf_dir), F.col("chain_length_x")
-    reason = F.when(x < 6, "chain_too_short").when(x - F.col("prefill_error_step") < F.ceil(x / 2), "insufficient_runway").when(F.col("model") == 5, "cascade_convergent")
+    p, x = predictions(spark, sf_dir), F.col("chain_length_x") - 2
+    kinds = ["no_eligible_in_chain", "no_eligible_in_window", "cascade_convergent", "other_injector_error"]
+    found = F.get(F.array(*[F.lit(k) for k in kinds]), F.col("model").cast("int") - 3)
+    reason = F.when(x < generation.LEAST_STEPS, "chain_too_short").when(x - F.col("prefill_error_step") < F.ceil(x / 2), "insufficient_runway").otherwise(found)
     return report.rejection_counts(p.select("difficulty", reason.alias("reason")), _NAMES)
 
 
@@ -222,11 +224,6 @@ def valid_transformations(spark, sf_dir):
     return found.withColumn("mapping", F.array_join("mapping", ","))
 
 
-def generated_records(spark, sf_dir):
-    """A small dataset whose seed is the number of nations."""
-    return generation.generate(spark, "made", 24, _t(spark, sf_dir, "nation").count())[0]
-
-
 def _system(spark, sf_dir):
     s = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("x"))
     pairs = s.select(F.col("x").alias("lhs"), F.expr("explode(sequence(0L, 4L))").alias("rhs"))
@@ -456,13 +453,16 @@ def continuity_breaks(spark, sf_dir):
     return rows.withColumn("before", F.lag("role").over(w)).where("before = role").groupBy("conv_id").agg(F.min("turn").alias("first_break"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_shapes, response_texts, event_streams, absent_fields, rejection_counts, cell_results, output_dirs, model_order, model_lookup, dataset_counts, valid_transformations, generated_records, transform_chains, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, subtree_paths, reduction_steps, clean_derivations, injected_prefills, eligible_error_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, continuity_breaks)} | {
+QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows, resume_pending, preview_slice, matrix_cells, error_type_counts, preferred_error_step, reject_reasons, quota_take, seed_arithmetic, usage_shapes, response_texts, event_streams, absent_fields, rejection_counts, cell_results, output_dirs, model_order, model_lookup, dataset_counts, valid_transformations, transform_chains, op_table_complete, distribution_counterexamples, derived_table, eval_expression, corrupt_outcomes, chain_length, subtree_paths, reduction_steps, clean_derivations, injected_prefills, eligible_error_steps, step_verdicts, parse_step_lines, final_output_rows, system_json_explode, group_table, group_automorphisms, system_prompts, single_turn_prompt, continuity_breaks)} | {
     "headline": lambda s, d: report.headline(scored(s, d)),
     "bucket_pivot": lambda s, d: report.bucket_pivot(scored(s, d)),
     "diagnostic_rates": lambda s, d: report.diagnostic_counts(scored(s, d)),
     "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
     "headline_rates": lambda s, d: report.headline_rates(scored(s, d)),
     "regex_summary": lambda s, d: report.regex_summary(scored(s, d)),
+    "drawn_systems": lambda s, d: drawn.drawn_systems(drawn.bases(s, d)),
+    "undistributed": lambda s, d: drawn.undistributed(drawn.bases(s, d)),
+    "generated_records": lambda s, d: drawn.generated_records(drawn.bases(s, d)),
     "eval_folder": lambda s, d: folders.eval_folder(scored(s, d)),
     "run_summary": lambda s, d: folders.run_summary(predictions(s, d)),
     "run_predictions": lambda s, d: folders.run_predictions(predictions(s, d)),
@@ -501,7 +501,7 @@ ORACLES = {
     "matrix_cells": _SCORED + "select 'model-' || model || '-B-L' || (example_id % 2) as cell, count(*) filter (matches_ground_truth) as correct, count(*) as total from scored group by 1",
     "error_type_counts": "select case when event_type in ('view', 'signup') or event_type is null then 'clean' else event_type end as error_type, count(*) as n from events group by 1",
     "preferred_error_step": _P + "select chain_length_x, count(*) as n, concat_ws(',', chain_length_x // 2, case when chain_length_x // 2 + 1 < chain_length_x then chain_length_x // 2 + 1 end, case when chain_length_x // 2 > 1 then chain_length_x // 2 - 1 end) as steps from p group by chain_length_x",
-    "reject_reasons": _P + "select difficulty, count(*) filter (chain_length_x < 6) as short, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step < (chain_length_x + 1) // 2) as insufficient_runway, count(*) filter (chain_length_x >= 6 and chain_length_x - prefill_error_step >= (chain_length_x + 1) // 2) as accepted from p group by 1",
+    "reject_reasons": _P + "select difficulty, count(*) filter (x < 4) as short, count(*) filter (x >= 4 and x - prefill_error_step < (x + 1) // 2) as insufficient_runway, count(*) filter (x >= 4 and x - prefill_error_step >= (x + 1) // 2) as accepted from (select *, chain_length_x - 2 as x from p) group by 1",
     "quota_take": _P + "select * from (select example_id, difficulty, row_number() over (partition by difficulty order by example_id) as rank from p) where rank <= case when difficulty = 'expert' then 25 else 26 end",
     "seed_arithmetic": _P + "select example_id, 20260413000000 + case difficulty when 'easy' then 0 when 'medium' then 10000 when 'hard' then 20000 else 30000 end + example_id * 100 as seed from p",
     "headline_rates": _SCORED + "select coalesce(difficulty, 'all') as difficulty, count(*) as total, round(count(*) filter (matches_ground_truth) / count(*), 4) as final_answer_correct_rate from scored group by grouping sets ((), (difficulty))",
@@ -521,7 +521,8 @@ ORACLES = {
       case when count(*) filter (good) = 0 then 'no events' when count(*) filter (good and event_id % 4 = 0) = 0 then 'no finish reason' end as error from e group by user_id""",
     "absent_fields": """select case when event_id % 3 = 0 then 'example_id,' else '' end || 'prefill_error_step,ground_truth_final_output,wrong_branch_final_output,raw_continuation_text,model,provider'
       || case when user_id % 13 % 2 = 0 then ',mode' else '' end as missing, count(*) as n from events group by 1""",
-    "rejection_counts": _P + """, r as (select difficulty, case when chain_length_x < 6 then 'chain_too_short' when chain_length_x - prefill_error_step < (chain_length_x + 1) // 2 then 'insufficient_runway' when model = 5 then 'cascade_convergent' end as reason from p),
+    "rejection_counts": _P + """, r as (select difficulty, case when x < 4 then 'chain_too_short' when x - prefill_error_step < (x + 1) // 2 then 'insufficient_runway'
+      when model between 3 and 6 then ['no_eligible_in_chain', 'no_eligible_in_window', 'cascade_convergent', 'other_injector_error'][model - 2] end as reason from (select *, chain_length_x - 2 as x from p)),
       d as (select unnest(['easy', 'medium', 'hard', 'expert']) as difficulty), w as (select unnest(['chain_too_short', 'insufficient_runway', 'no_eligible_in_chain', 'no_eligible_in_window', 'cascade_convergent', 'other_injector_error']) as reason)
       select d.difficulty, w.reason, count(r.reason) as n from d cross join w left join r on r.difficulty = d.difficulty and r.reason = w.reason group by all""",
     "cell_results": _SCORED + "select 'm' || model as model, round(count(*) filter (matches_ground_truth) / count(*), 4) as rate from scored where example_id % 2 = 0 and model not in (4, 7) group by 1",
@@ -580,5 +581,5 @@ ORACLES = {
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
-ORACLES |= shapes.ORACLES | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
+ORACLES |= shapes.ORACLES | drawn.ORACLES | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
 ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])

@@ -1,8 +1,8 @@
 """Seeded systems and datasets: what must hold for every row, and the sink around them."""
 
+import hashlib
 import itertools
 import json
-from random import Random
 
 import pytest
 from derivanta.functions import cells, conversations, expressions, scoring
@@ -36,12 +36,97 @@ def plain_value(tokens, symbols, table, moves, made, ops):
     return stack[0]
 
 
-@pytest.mark.parametrize("name", [*generation.SIZES])
-def test_systems(name):
-    n, ops, made, moves, _ = generation.SIZES[name]
-    for seed in range(40):
-        s = generation.draw_system(seed, n, ops, made, moves)
-        assert s == generation.draw_system(seed, n, ops, made, moves)
+def digest(*names):
+    return hashlib.md5(":".join(map(str, names)).encode()).hexdigest()[:8]
+
+
+def draw(below, *names):
+    return int(digest(*names), 16) % below
+
+
+def shuffled(n, *names):
+    return sorted(range(n), key=lambda i: (digest(*names, i), i))
+
+
+def plain_system(seed, n, ops, made, moves):
+    """A system as with_systems draws it, with tables and orbits walked one by one."""
+    pool = [generation.SYMBOLS[i] for i in shuffled(len(generation.SYMBOLS), seed, "symbol")[:n]]
+    step = list(range(n))
+    for t in itertools.count() if moves else ():
+        step = now = shuffled(n, seed, "move", t)
+        fine = True
+        for _ in range(moves):
+            fine, now = fine and now != list(range(n)), [step[i] for i in now]
+        if fine:
+            break
+    tables = []
+    for o in range(ops):
+        t = {}
+        for x, y in itertools.product(range(n), repeat=2):
+            orbit, at = [], (x, y)
+            while at not in orbit:
+                orbit.append(at)
+                at = step[at[0]], step[at[1]]
+            if (x, y) != min(orbit):
+                continue
+
+            def moved(r, k):
+                for _ in range(k):
+                    r = step[r]
+                return r
+
+            fixed = [r for r in range(n) if moved(r, len(orbit)) == r]
+            r = fixed[draw(len(fixed), seed, "cell", o, x * n + y)]
+            for k, at in enumerate(orbit):
+                t[at] = moved(r, k)
+        tables.append(t)
+    maps, now = [], step
+    for _ in range(moves):
+        maps.append(now)
+        now = [step[i] for i in now]
+    templates = [expressions.TEMPLATES[i] for i in shuffled(3, seed, "template") if moves or i != 1][:made]
+    show = lambda i: pool[i]
+    return {
+        "name": f"{generation.FIRST_NAMES[draw(16, seed, 'first')]} {generation.LAST_NAMES[draw(6, seed, 'last')]}",
+        "seed": seed,
+        "symbols": pool,
+        "base_operations": [{"name": f"op{o}", "symbol_id": generation.SIGNS[o], "table": {f"{show(x)},{show(y)}": show(t[x, y]) for x, y in itertools.product(range(n), repeat=2)}} for o, t in enumerate(tables)],
+        "derived_operations": [{"name": f"dop{i}", "symbol_id": generation.SIGNS[ops + i], "template_id": t, "base_ops": [f"op{draw(ops, seed, 'base', i)}"], "transform_name": generation.MOVES[0] if t == "inv_compose" else None} for i, t in enumerate(templates)],
+        "transformations": [{"name": generation.MOVES[k], "mapping": {show(x): show(y) for x, y in enumerate(m)}, "distributes_over": [f"op{o}" for o in range(ops)]} for k, m in enumerate(maps)],
+    }
+
+
+def plain_expression(seed, length, n, ops, made, moves):
+    rpn, left, i = [draw(n, seed, "symbol", 0)], length, 0
+    while left > 0:
+        i += 1
+        some = made if left >= 3 else 0
+        kind = draw(ops + some + moves, seed, "kind", i)
+        places = [p for p, t in enumerate(rpn) if t >= 0]
+        at = places[draw(len(places), seed, "place", i)]
+        if kind >= ops + some:
+            new = [rpn[at], -1 - (ops + made) - (kind - ops - some)]
+        else:
+            two = [rpn[at], draw(n, seed, "symbol", i)]
+            new = [*(two if draw(2, seed, "side", i) == 0 else two[::-1]), -1 - kind]
+        rpn = rpn[:at] + new + rpn[at + 1 :]
+        left -= 3 if ops <= kind < ops + some else 1
+    return rpn
+
+
+SIZE = "n int, ops int, made int, moves int"
+
+
+@pytest.fixture(scope="module")
+def systems(spark):
+    """60 seeds of each size, with the system that is drawn."""
+    rows = spark.createDataFrame([(seed, *s[:4]) for s in generation.SIZES.values() for seed in range(60)] + [(7, 3, 1, 1, 0), (8, 4, 2, 2, 3), (9, 8, 1, 0, 1)], f"system_seed long, {SIZE}")
+    return [(tuple(r)[:5], json.loads(r.system_json)) for r in generation.with_systems(rows).drop("system").collect()]
+
+
+def test_systems(systems):
+    for (seed, n, ops, made, moves), s in systems:
+        assert s == plain_system(seed, n, ops, made, moves)
         assert len(set(s["symbols"])) == n and set(s["symbols"]) <= set(generation.SYMBOLS)
         assert [len(s[k]) for k in ("base_operations", "derived_operations", "transformations")] == [ops, made, moves]
         signs = [o["symbol_id"] for o in s["base_operations"] + s["derived_operations"]]
@@ -54,40 +139,48 @@ def test_systems(name):
                 assert all(m[r] == o["table"][f"{m[k.split(',')[0]]},{m[k.split(',')[1]]}"] for k, r in o["table"].items())
 
 
-def test_order_of():
-    assert [generation.order_of(p) for p in ([0, 1], [1, 0], [1, 2, 0, 4, 3], [1, 2, 3, 4, 5, 0])] == [1, 2, 6, 6]
+def test_draws_are_spread(systems):
+    """No symbol, result, sign of the first name or template is left out; tables without a transform are any magma."""
+    easy = [s for (_, n, _, _, moves), s in systems if n == 3 and not moves]
+    assert len({x for s in easy for x in s["symbols"]}) == len(generation.SYMBOLS)
+    results = [s["symbols"].index(r) for s in easy for r in s["base_operations"][0]["table"].values()]
+    assert all(150 < results.count(i) < 240 for i in range(3))
+    assert len({s["name"].split()[0] for _, s in systems}) >= 12
+    assert {d["template_id"] for _, s in systems for d in s["derived_operations"]} == set(expressions.TEMPLATES)
 
 
-def test_fixed_draws():
-    """The draws follow the standard library's sequence: the first ones, by hand."""
-    r = Random(11)
-    pool = generation.SYMBOLS[:]
-    r.shuffle(pool)
-    name = f"{r.choice(generation.FIRST_NAMES)} {r.choice(generation.LAST_NAMES)}"
-    s = generation.draw_system(11, 3, 1, 0, 0)
-    assert s["symbols"] == pool[:3] and s["name"] == name
-    assert list(s["base_operations"][0]["table"].values()) == [pool[:3][r.choice(range(3))] for _ in range(9)]
+def test_expressions_take_the_length_asked_for(spark):
+    sizes = [s[:4] for s in generation.SIZES.values()]
+    rows = [(seed, length, *s) for s in sizes for seed in range(12) for length in (1, 2, 3, 6, 14, 40)] + [(1, 0, *sizes[3])]
+    df = spark.createDataFrame(rows, f"seed long, length int, {SIZE}")
+    got = df.select("seed", "length", "n", "ops", "made", "moves", generation.drawn_expression(F.col("seed"), F.col("length"), *[F.col(c) for c in ("n", "ops", "made", "moves")]).alias("rpn")).collect()
+    for r in got:
+        assert r.rpn == plain_expression(*r[:6])
+        derived = sum(r.ops <= -1 - t < r.ops + r.made for t in r.rpn)
+        assert sum(t < 0 for t in r.rpn) + 2 * derived == r.length
+    assert len({tuple(r.rpn) for r in got}) > 0.8 * len(got)
 
 
 @pytest.fixture(scope="module")
 def made(spark):
     rows, rejected, bases = generation.generate(spark, "tiny", 18, 20260413)
     rows = Scratch(spark, "test-records").save(rows, "rows")
-    return rows, rejected
+    return rows, rejected, bases
 
 
 def test_records(made):
     rows = sorted((r.asDict() for r in made[0].collect()), key=lambda r: r["example_id"])
     assert [r["example_id"] for r in rows] == [f"tiny-{i:06d}" for i in range(18)] and list(rows[0]) == generation.RECORD
     assert [r["difficulty"] for r in rows] == ["easy"] * 5 + ["medium"] * 5 + ["hard"] * 4 + ["expert"] * 4
+    assert made[2] == 1 + max(int(r["base_id"].split("-")[1]) for r in rows)
     for r in rows:
         place, base = [*generation.SIZES].index(r["difficulty"]), int(r["base_id"].split("-")[1])
         root = 20260413 * 1_000_000 + place * 10_000 + base * 100
         assert (r["system_seed"], r["error_seed"]) == (root + 11, root + 101) and root + 29 <= r["chain_seed"] < root + 29 + 250
         n, ops, made_, moves, length = generation.SIZES[r["difficulty"]]
-        assert json.loads(r["system_json"]) == generation.draw_system(r["system_seed"], n, ops, made_, moves) and r["target_step_count"] == length
+        assert json.loads(r["system_json"]) == plain_system(r["system_seed"], n, ops, made_, moves) and r["target_step_count"] == r["chain_length_x"] == length
         s = json.loads(r["system_json"])
-        tokens = generation.draw_chain(r["chain_seed"], length, n, ops, made_, moves)
+        tokens = plain_expression(r["chain_seed"], length, n, ops, made_, moves)
         tables = {o["name"]: o["table"] for o in s["base_operations"]}
         assert r["ground_truth_final_output"] == plain_value(tokens, s["symbols"], tables, s["transformations"], s["derived_operations"], s["base_operations"])
         x, y = r["chain_length_x"], r["prefill_error_step"]
@@ -149,7 +242,7 @@ def test_small_helpers(spark):
         scoring.score_rows(spark.createDataFrame([(1,)], "example_id int"))
     with pytest.raises(Exception, match="unknown level"):
         spark.range(1).select(conversations.turn_2(F.lit(2))).collect()
-    a = expressions.compile_system(F.from_json(F.lit(json.dumps(generation.draw_system(1, 3, 1, 0, 0))), SYSTEM))
+    a = expressions.compile_system(F.from_json(F.lit(json.dumps(plain_system(1, 3, 1, 0, 0))), SYSTEM))
     for cutoff in (0, 2):
         with pytest.raises(Exception, match="cutoff"):
             r = F.array(F.lit(0), F.lit(1), F.lit(-1))
@@ -165,10 +258,10 @@ def test_rate_rounds_by_the_double(spark):
 
 def test_deep_expressions(spark):
     """Too many symbols for one number: the stack of arrays gives the same."""
-    s = generation.draw_system(5, 6, 2, 2, 2)
+    s = plain_system(5, 6, 2, 2, 2)
     a = expressions.compile_system(F.from_json(F.lit(json.dumps(s)), SYSTEM))
     tables = {o["name"]: o["table"] for o in s["base_operations"]}
-    trees = [generation.draw_expression(Random(i), 6, 6, 2, 2, 2) for i in range(60)]
+    trees = [plain_expression(i, 30, 6, 2, 2, 2) for i in range(60)]
     rows = spark.createDataFrame([(t,) for t in trees], "t array<int>").withColumn("a", a)
     got = rows.select(expressions.evaluate(F.col("t"), F.col("a")), expressions._evaluate_stack(F.col("t"), F.col("a"))).collect()
     want = [s["symbols"].index(plain_value(t, s["symbols"], tables, s["transformations"], s["derived_operations"], s["base_operations"])) for t in trees]
