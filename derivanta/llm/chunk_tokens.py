@@ -16,8 +16,13 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .arrow_text import raw_bytes
+
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
 _STOPS = (",", ".", ";", ":", "!", "?")
@@ -96,6 +101,11 @@ def _byte_letters() -> dict[int, str]:
 
 #: Stands for the end of a word in the byte strings of tokens; no UTF-8 text holds this byte.
 _WORD_END = b"\xff"
+#: Ends a word within a row of words.
+_MARK = "\x01"
+#: Words of composed Latin letters, whose lower case is one letter each, and a stop or none.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[,.;:!?]?$"
+_STOPPED = "[,.;:!?]$"
 
 
 def _ranks(model: dict) -> dict[bytes, int]:
@@ -130,6 +140,9 @@ class TextCodec:
         self.coding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=tokens)
         self.find, self.tokens, self.cut = regex.compile(pattern).findall, tokens, _cutter(tokens)
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        return [self.encode(t or "") for t in column.to_pylist()]
+
     def encode(self, text: str) -> bytes:
         try:
             return self.coding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
@@ -147,7 +160,8 @@ class TextCodec:
 class WordCodec:
     """encode(text) -> little-endian unsigned 32-bit ids, for vocabularies that mark the end of a word and
     drop white space. A text is cut at spaces, which no token of the file spans; the ids of
-    recent chunks are kept in a table of bounded size.
+    recent chunks are kept in a table of bounded size. encode_column does the same for many texts:
+    each distinct chunk of theirs is encoded once, those of plain letters all in one call.
 
     Chunks that hold code points without a character go to the library itself (whole): the
     classes of such points differ from one regular expression engine to the next."""
@@ -159,6 +173,11 @@ class WordCodec:
         self.find, self.normalize, self.lower = regex.compile(pattern).findall, normalize, lower
         self.tokens, self.cut, self.mark = tokens, _cutter(tokens), os.path.commonprefix([*tokens])
         self.words, self.known, self.whole = Memo(self._word, 100_000), Memo(self._chunk, limit), whole
+        # With another mark for the end of a word, one that a text may hold but a plain word doesn't.
+        marked = {k[: -len(_WORD_END)] + _MARK.encode() if k.endswith(_WORD_END) else k: v for k, v in ranks.items() if k != _MARK.encode()}
+        self.row = tiktoken.Encoding("row", pat_str=rf"[^{_MARK}]+{_MARK}", mergeable_ranks=marked, special_tokens={})
+        self.ends = np.zeros(max(marked.values()) + 1, bool)
+        self.ends[[v for k, v in marked.items() if k.endswith(_MARK.encode())]] = True
 
     def _word(self, word: str) -> bytes:
         return array("I", self.coding._encode_single_piece(word.encode() + _WORD_END)).tobytes()
@@ -182,6 +201,45 @@ class WordCodec:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, text.split(" ")))
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """encode of each text; null is empty."""
+        if not len(column):
+            return []
+        split = pc.split_pattern(pc.fill_null(column, ""), " ")
+        chunks = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
+        coded = self._distinct(chunks.dictionary)
+        # As many bytes as 2^31 at most: a task gets a few MB of text at a time, or one longer text.
+        data, at = raw_bytes(coded.take(chunks.indices))
+        bounds = at[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _distinct(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each of some distinct chunks, as bytes."""
+        plain = pc.match_substring_regex(chunks, _PLAIN) if self.lower or self.normalize is None else pa.array(np.zeros(len(chunks), bool))
+        if self.tokens:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(chunks, self.mark)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        letters = chunks.filter(pa.array(plain))
+        ids, cuts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(letters):
+            stops = pc.match_substring_regex(letters, _STOPPED).to_numpy(zero_copy_only=False)
+            if self.lower:
+                letters = pc.utf8_lower(letters)
+            pieces = pc.replace_substring_regex(letters, "^(.*[^,.;:!?])([,.;:!?]?)$", f"\\1{_MARK}\\2")
+            pieces = pc.binary_join_element_wise(pieces, pc.if_else(pa.array(stops), _MARK, ""), "")
+            text = raw_bytes(pieces)[0].decode()
+            ids = self.row.encode_to_numpy(text).astype(np.uint32, copy=False)
+            # The last piece of each chunk ends it.
+            cuts = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(1 + stops) - 1]
+        get = self.known.__getitem__
+        rest = [get(c) for c in chunks.filter(pa.array(~plain)).to_pylist()]
+        made = pa.Array.from_buffers(pa.large_binary(), int(plain.sum()), [None, pa.py_buffer(np.append(0, 4 * cuts).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+        both = pa.concat_arrays([made, pa.array(rest, pa.large_binary())])
+        order = np.empty(len(chunks), np.int64)
+        order[np.flatnonzero(plain)] = np.arange(plain.sum())
+        order[np.flatnonzero(~plain)] = np.arange(plain.sum(), len(chunks))
+        return both.take(pa.array(order))
+
 
 def _cutter(tokens: dict[str, int]) -> Callable[[str], list[str]]:
     """Cuts a text at the strings of added tokens: every second part is one. At one place the longest counts."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .arrow_text import slices, texts
+from .arrow_text import slices
 from .chunk_tokens import cached_library_codec
 
 
@@ -44,7 +44,7 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec, at = cached_library_codec(tokenizer, pattern, added), 0
         for b in slices(batches, 1):
-            ids = [codec.encode(t) + last for t in texts(b, 1)]
+            ids = [x + last for x in codec.encode_column(b.column(1))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             offsets = np.concatenate([[0], ends]).astype(np.int32)

@@ -22,3 +22,16 @@ def test_ids_on_code_points_without_a_character(name):
     texts = ["".join(rng.choice(draw)() for _ in range(rng.randint(1, 12))) for _ in range(20_000)] + ["\U00012561'", "\U0003f0cca", "\U0003e90d's"]
     wrong = [t for t in texts if np.frombuffer(codec.encode(t), "<u4").tolist() != library.encode(t, add_special_tokens=False).ids]
     assert wrong == []
+
+
+def test_a_column_at_once_gives_the_same(spark):
+    """Distinct chunks of many texts against one text at a time: odd letters, marks, tokens in texts, nulls, slices."""
+    import pyarrow as pa
+
+    codec = library_codec(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    words = ["plain", "Plain,", "Été", "İstanbul", "ſ", "\x01", "a\x01b", "x" * 300, "don't", "end.", "..", ",", "", "\n", "a\nb", "ŉa", "ǅ", "<|endoftext|>", "<end_of_text>", "½", "１", "e\u0301", "A\u030a.", "12,"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(500)] + ["", " ", "  a  ", None]
+    column = pa.array(texts)
+    for part in (column, column.slice(100, 50), column.slice(503), pa.array([], pa.string())):
+        assert codec.encode_column(part) == [codec.encode(t or "") for t in part.to_pylist()]
