@@ -6,6 +6,9 @@ not over a blank line or a full stop; it begins and ends at a break of any kind.
 appear in the text in that order, with nothing but unknown sentences between them. Rules are
 tried from the longest to the shortest, so that a full licence text counts as such and not as
 its first line.
+
+Sentences may have slots for a name of so many words; what a work "is licensed under" may be any of the
+licences' names, and an SPDX tag any expression of their identifiers, which gives one identifier each.
 """
 
 from __future__ import annotations
@@ -55,7 +58,14 @@ SENTENCES = {
     "bsd.redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd.source": "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "bsd.names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.names": [
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of {12} nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the names of {12} nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of {12} may not be used to endorse or promote products derived from this software without specific prior written permission",
+        "the names of {12} may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
     "bsd.license": "licensed under the bsd license",
     "isc.grant": [
         "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
@@ -72,12 +82,87 @@ SENTENCES = {
     "lgpl.warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "agpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "asis.mit": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "lgpl21.free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "gpl2.only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3.only": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3",
+    ],
+    "epl.terms": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which {12}",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v. 2.0 which {12}",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which {12}",
+    ],
+    "epl1.terms": "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which {12}",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost.grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "wtfpl.title": "do what the fuck you want to public license",
     "rights.reserved": "all rights reserved",
-    "spdx.mit": "spdx license identifier mit",
-    "spdx.apache2": "spdx license identifier apache 2 0",
-    "spdx.gpl3": "spdx license identifier gpl 3 0 only",
 }
 
+#: Identifiers of the SPDX list, and of exceptions to licences.
+SPDX = [
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0",
+    "CC0-1.0", "CC-BY-2.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-2.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-ND-3.0", "CC-BY-ND-4.0", "CC-BY-NC-3.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0",
+    "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1",
+    "OpenSSL", "OSL-3.0", "PDDL-1.0", "PHP-3.01", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "Unicode-DFS-2016", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+]
+EXCEPTIONS = ["Autoconf-exception-3.0", "Bison-exception-2.2", "Classpath-exception-2.0", "Font-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "OpenSSL-exception"]
+#: Names by which a work is said to be licensed, beside the SPDX identifiers.
+NAMES = {
+    "MIT": ["mit license", "mit licence", "expat license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 license", "apache license v2 0", "apache license 2"],
+    "BSD-2-Clause": ["2 clause bsd license", "simplified bsd license", "two clause bsd license", "freebsd license"],
+    "BSD-3-Clause": ["3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "three clause bsd license"],
+    "0BSD": ["zero clause bsd license", "bsd zero clause license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mozilla public license v2 0", "mpl v2 0"],
+    "EPL-1.0": ["eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v1 0", "eclipse public license v 1 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license v 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "boost software license"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "OFL-1.1": ["sil open font license version 1 1", "sil open font license 1 1", "open font license 1 1"],
+    "PSF-2.0": ["python software foundation license", "psf license"],
+    "EUPL-1.2": ["european union public licence version 1 2", "european union public license version 1 2", "eupl 1 2"],
+    "CDDL-1.0": ["common development and distribution license version 1 0", "common development and distribution license 1 0"],
+    "ODbL-1.0": ["open database license", "open data commons open database license"],
+    "CC0-1.0": ["cc0", "cc0 1 0 universal", "creative commons zero", "creative commons cc0 1 0", "creative commons zero v1 0 universal", "cc0 1 0 universal public domain dedication"],
+    "WTFPL": ["do what the fuck you want to public license"],
+}
+#: The parts of Creative Commons names, and what may follow the version.
+CREATIVE = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-ND": "attribution noderivatives", "BY-NC": "attribution noncommercial", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+GNU = {"GPL": ("general public license", "2", "3"), "LGPL": ("lesser general public license", "2.1", "3"), "AGPL": ("affero general public license", "3")}
+_TAILS = {"2.0": ["", " generic"], "3.0": ["", " unported"], "4.0": ["", " international"]}
+
+
+def _spoken() -> dict[str, str]:
+    """Each name, in normalised words, and the SPDX identifier that it stands for."""
+    plain = lambda x: regex.sub(r"[^\p{L}\p{Nd}]+", " ", x.lower()).strip()
+    out = {plain(i): i for i in SPDX}
+    for i, names in NAMES.items():
+        out |= dict.fromkeys(map(plain, names), i)
+    for short, (long, *versions) in GNU.items():
+        for v in versions:
+            number = plain(v)
+            forms = {f"{mark}{n}" for mark in ("version ", "v", "v ", "") for n in {number, number if "." in v else f"{number} 0"}}
+            for name in (long, f"gnu {long}", short.lower(), f"gnu {short.lower()}"):
+                out |= dict.fromkeys((f"{name} {form}" for form in forms), f"{short}-{v if '.' in v else v + '.0'}-only")
+            out |= {f"{gnu}{short.lower()}v{number}": f"{short}-{v if '.' in v else v + '.0'}-only" for gnu in ("", "gnu ")}
+    for code, words in CREATIVE.items():
+        apart = words.replace("sharealike", "share alike").replace("noncommercial", "non commercial").replace("noderivatives", "no derivatives")
+        for version, tails in _TAILS.items():
+            if f"CC-{code}-{version}" in SPDX:
+                for w in {words, apart}:
+                    for tail in tails:
+                        out[f"creative commons {w} {plain(version)}{tail}"] = f"CC-{code}-{version}"
+                out[f"cc {plain(code)} {plain(version)} international"] = f"CC-{code}-{version}"
+    return out
+
+
+SPOKEN = _spoken()
+#: Identifiers as words, without the names.
+TAGS = {regex.sub(r"[^\p{L}\p{Nd}]+", " ", i.lower()): i for i in [*SPDX, *EXCEPTIONS]}
+
 #: Fixed values: (rule, licence, identifiers in order).
 RULES = [
     ("mit-whole", "MIT", ["mit.title", "mit.grant", "mit.notice", "asis.mit"]),
@@ -112,12 +197,27 @@ RULES = [
     ("gpl2-free", "GPL-2.0", ["gpl2.free"]),
     ("lgpl3-free", "LGPL-3.0", ["lgpl3.free"]),
     ("agpl3-free", "AGPL-3.0", ["agpl3.free"]),
+    ("lgpl21-free", "LGPL-2.1", ["lgpl21.free"]),
+    ("gpl2-only", "GPL-2.0", ["gpl2.only"]),
+    ("gpl3-only", "GPL-3.0", ["gpl3.only"]),
+    ("epl2-terms", "EPL-2.0", ["epl.terms"]),
+    ("epl1-terms", "EPL-1.0", ["epl1.terms"]),
+    ("zlib-grant", "Zlib", ["zlib.grant"]),
+    ("boost-grant", "BSL-1.0", ["boost.grant"]),
+    ("wtfpl-title", "WTFPL", ["wtfpl.title"]),
     ("rights-reserved", "all-rights-reserved", ["rights.reserved"]),
-    ("spdx-mit", "MIT", ["spdx.mit"]),
-    ("spdx-apache2", "Apache-2.0", ["spdx.apache2"]),
-    ("spdx-gpl3", "GPL-3.0", ["spdx.gpl3"]),
 ]
 
+
+def _family(spdx: str) -> str:
+    """Later versions allowed or not: one licence."""
+    return spdx.removesuffix("-only").removesuffix("-or-later")
+
+
+RULES += [(f"{kind}-{i}", _family(i), [f"{kind}.{i}"]) for kind in ("under", "spdx") for i in SPDX]
+#: A third clause, in whatever words, which a rule of two clauses has not: (rule in question, pattern, the rule that holds in its place).
+UNLESS = ("bsd2-whole", r"[ ;.]neither[ ;]the[ ;]names?[ ;]of[ ;.]|[ ;]not[ ;]be[ ;]used[ ;]to[ ;]endorse[ ;]", ("bsd3-other", "BSD-3-Clause"))
+
 #: In order: what makes one break mark of each gap between words. ; . ! ? count before white space
 #: only; a line without letters and digits is blank. A mark . is a full stop or a blank line, a
 #: mark ; a line feed or a semicolon. Each pattern takes time linear in the text.
@@ -129,7 +229,22 @@ STEPS = [
     (r" ?[\n;][ \n;]*", ";"),
 ]
 #: Where every known sentence holds one of the trigger words, a text without them needs no search.
-TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved|unencumbered|\bmpl\b"
+TRIGGER = r"(?i)licen|copyright|permission|redistribut|warranty|reserved|unencumbered|\bmpl\b|(?:released|distributed|available)\s+under"
+
+_GAP, _WORD = "[ ;]", r"[\p{L}\p{Nd}]+"
+
+
+def _any_of(words) -> str:
+    """A pattern for the longest of some word sequences; a v before a version may have a full stop."""
+    gaps = lambda w: regex.sub(" ", lambda m: "[ ;.]" if w[: m.start()].endswith(" v") else _GAP, w)
+    return "(?:" + "|".join(gaps(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+#: "(a work is) licensed under the terms of the (name)", its part before the name, in which nothing is denied, and what may follow.
+_LEAD = f"(?:(?!(?:not|never|nor|t|without){_GAP}){_WORD}{_GAP}){{0,8}}(?:licensed|licenced|released|distributed|(?:made{_GAP})?available){_GAP}under{_GAP}(?:(?:the|a|an){_GAP})?(?:terms{_GAP}of{_GAP}(?:the{_GAP})?)?"
+_UNDER = f"{_LEAD}{_any_of(SPOKEN)}(?:{_GAP}(?:license|licence))?(?:{_GAP}see(?:{_GAP}{_WORD}){{1,8}})?"
+_TAG = f"spdx{_GAP}license{_GAP}identifier{_GAP}"
+_EXPRESSION = f"{_TAG}{_any_of(TAGS)}(?:{_GAP}(?:and|or|with){_GAP}{_any_of(TAGS)})*"
 
 
 def marked(text: Column) -> Column:
@@ -142,12 +257,15 @@ def marked(text: Column) -> Column:
 
 
 def known_words(sentence: str) -> tuple[str, str]:
-    """A known sentence as words with spaces between, and as a pattern for marked texts."""
-    out = f"\n\n{sentence.lower()}\n\n"
+    """A known sentence as words with spaces between, and as a pattern for marked texts. A slot {n} stands for one
+    to n words, with any breaks between them."""
+    out = "\n\n" + regex.sub(r"\{(\d+)\}", r"slot\1slot", sentence.lower()) + "\n\n"
     for pattern, to in STEPS:
         out = regex.sub(pattern, to, out)
     out = out.strip(".;")
-    return regex.sub("[;.]", " ", out), regex.sub("[ ;.]", lambda m: "[ ;.]" if m[0] == "." else "[ ;]", out)
+    gaps = regex.sub("[ ;.]", lambda m: "[ ;.]" if m[0] == "." else _GAP, out)
+    slot = lambda m: f"{_WORD}(?:[ ;.]{_WORD}){{0,{int(m[1]) - 1}}}"
+    return regex.sub("[;.]", " ", out), regex.sub(r"slot(\d+)slot", slot, gaps)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=None, rules=None) -> DataFrame:
@@ -155,8 +273,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     licenses (both in order of rule length, then of the rule list), n_known and license
     (the first, or null).
 
-    known: a sentence, or a list of wordings, for each identifier. Of several that begin at one
-    place the longest counts, and the next begins where it ends.
+    known: a sentence, or a list of wordings, for each identifier, which may have slots (known_words). Of several
+    that begin at one place the longest counts, one with slots after those without, and the next begins
+    where it ends. Without known, sentences by which a work is licensed under a name of SPOKEN give
+    under.(SPDX identifier), and SPDX tags spdx.(identifier) for each one of their expression, in order.
+    A rule of two BSD clauses gives way where the text has a third (UNLESS).
 
     Where a rule's sequence matches, its sentences are used up: shorter rules match only
     in what is left, so one sentence never counts twice. Repeated sentences repeat in
@@ -167,18 +288,41 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All steps are expressions over one row, so nothing is shuffled and a hot source or a long
     text costs only its own task. Known sentences and rules are plan constants.
     """
+    general = known is None
     known, rules = dict(SENTENCES if known is None else known), list(RULES if rules is None else rules)
     spelled = {known_words(v): k for k, vs in known.items() for v in ([vs] if isinstance(vs, str) else vs)}
-    by_text = {words: k for (words, _), k in spelled.items()}
-    ids = F.create_map(*[F.lit(x) for k, v in by_text.items() for x in (k, v)])
+    slotted = {x: k for x, k in spelled.items() if "slot" in x[0]}
+    by_text = {words: k for (words, _), k in spelled.items() if (words, _) not in slotted}
+    constant = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])
     # Longest first, and of one length that with most breaks.
-    choice = "|".join(p for _, p in sorted(spelled, key=lambda x: (-len(x[0]), -len(x[1]))))
+    choice = "|".join([p for _, p in sorted(spelled, key=lambda x: (x in slotted, -len(x[0]), -len(x[1])))] + ([_EXPRESSION, _UNDER] if general else []))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    cut = F.regexp_extract_all(marked(text), F.lit(f"[.;]({choice})(?=[.;])"), F.lit(1))
-    likely = text.rlike(TRIGGER) if all(regex.search(TRIGGER, x) for x in by_text) else F.lit(True)
-    found = F.transform(cut, lambda s: F.element_at(ids, F.translate(s, ";.", "  ")))
+    # Worked out once for each text that may hold a sentence.
+    likely = text.rlike(TRIGGER) if all(regex.search(TRIGGER, x) for x, _ in spelled) else F.lit(True)
+    plain = lambda s: F.translate(s, ";.", "  ")
+
+    def named(s: Column) -> Column:
+        """The identifiers of one found sentence."""
+        of = [F.try_element_at(constant(by_text), plain(s))] if by_text else []
+        of += [F.when(s.rlike(f"^{p}$"), k) for (_, p), k in slotted.items()]
+        if general:
+            whole = F.regexp_replace(plain(F.regexp_replace(s, f"^{_LEAD}", "")), " see .*$", "")
+            spoken = F.regexp_replace(whole, " (?:license|licence)$", "")  # a name may end in the word itself
+            of.append(F.concat(F.lit("under."), F.coalesce(F.try_element_at(constant(SPOKEN), whole), F.try_element_at(constant(SPOKEN), spoken))))
+            tags = F.regexp_extract_all(plain(F.regexp_replace(s, f"^{_TAG}", "")), F.lit(f"({_any_of(TAGS).replace(_GAP, ' ')})(?= (?:and|or|with) |$)"), F.lit(1))
+            listed = F.transform(tags, lambda t: F.concat(F.lit("spdx."), F.element_at(constant(TAGS), t)))
+            return F.when(s.rlike(f"^{_TAG}"), listed).otherwise(F.array(F.coalesce(*of)))
+        return F.array(F.coalesce(*of))
+
+    def scanned(m: Column) -> Column:
+        cut = F.regexp_extract_all(m, F.lit(f"[.;]({choice})(?=[.;])"), F.lit(1))
+        return F.struct(F.flatten(F.transform(cut, named)).alias("ids"), m.rlike(UNLESS[1]).alias("third"))
+
     empty = F.array().cast("array<string>")
-    out = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(likely, found).otherwise(empty).alias("sentence_ids"))
+    nothing = F.struct(empty.alias("ids"), F.lit(False).alias("third"))
+    once = F.get(F.transform(F.array(marked(text)), scanned), F.lit(0))
+    out = docs.select(F.col(f"`{id_col}`").alias(id_col), F.when(likely, once).otherwise(nothing).alias("_found"))
+    out = out.select(id_col, F.col("_found.ids").alias("sentence_ids"), F.col("_found.third").alias("_third"))
     # The identifiers as one string, each between bars; a matched sequence becomes one bar.
     left = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     out = out.withColumn("_left", left).withColumn("_rules", empty).withColumn("_names", empty)
@@ -188,10 +332,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def match(acc, spec):
         hit = F.contains(acc["left"], spec["seq"])
+        instead = F.col("_third") & (spec["rule"] == UNLESS[0])
+        one = lambda c, i: F.array(F.when(instead, UNLESS[2][i]).otherwise(spec[c]))
         return F.struct(
             F.when(hit, F.replace(acc["left"], spec["seq"], F.lit("|"))).otherwise(acc["left"]).alias("left"),
-            F.when(hit, F.concat(acc["rules"], F.array(spec["rule"]))).otherwise(acc["rules"]).alias("rules"),
-            F.when(hit, F.concat(acc["names"], F.array(spec["name"]))).otherwise(acc["names"]).alias("names"),
+            F.when(hit, F.concat(acc["rules"], one("rule", 0))).otherwise(acc["rules"]).alias("rules"),
+            F.when(hit, F.concat(acc["names"], one("name", 1))).otherwise(acc["names"]).alias("names"),
         )
 
     matched = F.when(F.size("sentence_ids") > 0, F.aggregate(specs, step, match))

@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 import pytest
 import regex
-from derivanta.llm.license_scan import RULES, SENTENCES, scan_licenses
+from derivanta.llm.license_scan import RULES, SENTENCES, SPOKEN, TAGS, scan_licenses
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
@@ -26,23 +26,102 @@ def gaps(text):
     return [m[0] for m in found], out
 
 
-KNOWN = sorted(((*gaps(v), k) for k, vs in SENTENCES.items() for v in ([vs] if isinstance(vs, str) else vs)), key=lambda x: (-len(" ".join(x[0])), x[2]))
+def spelled(v):
+    return gaps(regex.sub(r"\{(\d+)\}", r"slot\1slot", v))
+
+
+KNOWN = sorted(((*spelled(v), k) for k, vs in SENTENCES.items() for v in ([vs] if isinstance(vs, str) else vs)), key=lambda x: ("slot" in " ".join(x[0]), -len(" ".join(x[0])), x[2]))
+SLOT = regex.compile(r"slot(\d+)slot")
+VERBS = [["licensed"], ["licenced"], ["released"], ["distributed"], ["available"], ["made", "available"]]
+
+
+def sentence_end(words, gap, at, known, breaks):
+    """Where a known sentence that starts at a word ends; a slot takes as many words as it can."""
+
+    def go(i, j):
+        if j == len(known):
+            return i if gap[i] in ".;" else None
+        if j and i < len(words) and gap[i] == "." and breaks[j] != ".":
+            return None
+        if slot := SLOT.fullmatch(known[j]):
+            for n in range(min(int(slot[1]), len(words) - i), 0, -1):
+                if (end := go(i + n, j + 1)) is not None:
+                    return end
+            return None
+        return go(i + 1, j + 1) if i < len(words) and words[i] == known[j] else None
+
+    return go(at, 0)
+
+
+def joined(gap, a, b):
+    """No full stop between two words."""
+    return all(g != "." for g in gap[a + 1 : b])
+
+
+def under_end(words, gap, at):
+    """(identifier, end) of "(a work is) licensed under (the terms of the) name (license) (see the file)"."""
+    best = []
+    for i in range(at, min(at + 9, len(words))):
+        if any(w in ("not", "never", "nor", "t", "without") for w in words[at:i]):
+            break
+        for verb in VERBS:
+            j = i + len(verb)
+            if words[i:j] == verb and words[j : j + 1] == ["under"]:
+                starts = {j + 1}
+                starts |= {k + 1 for k in starts if words[k : k + 1] in (["the"], ["a"], ["an"])}
+                starts |= {k + 2 for k in starts if words[k : k + 2] == ["terms", "of"]}
+                starts |= {k + 1 for k in starts if words[k - 2 : k + 1] == ["terms", "of", "the"]}
+                for k in starts:
+                    for name, spdx in SPOKEN.items():
+                        n = k + len(name.split())
+                        if words[k:n] == name.split():
+                            ends = {n, n + (words[n : n + 1] in (["license"], ["licence"]))}
+                            ends |= {e + 1 + m for e in ends if words[e : e + 1] == ["see"] for m in range(1, 9) if e + 1 + m <= len(words)}
+                            for end in ends:
+                                stops = [x for x in range(at + 1, end) if gap[x] == "." and not (k < x < n and words[x - 1] == "v")]
+                                if gap[end] in ".;" and not stops:
+                                    best.append((i == at, end, len(name), spdx))
+    if best:
+        _, end, _, spdx = max(best)
+        return f"under.{spdx}", end
+    return None
+
+
+def tag_end(words, gap, at):
+    """(identifiers, end) of an SPDX tag."""
+    if words[at : at + 3] != ["spdx", "license", "identifier"]:
+        return None
+
+    def go(i):
+        for name in sorted(TAGS, key=len, reverse=True):
+            n = i + len(name.split())
+            if words[i:n] == name.split():
+                if words[n : n + 1] and words[n] in ("and", "or", "with") and (more := go(n + 1)):
+                    return [f"spdx.{TAGS[name]}", *more[0]], more[1]
+                if gap[n] in ".;":
+                    return [f"spdx.{TAGS[name]}"], n
+        return None
+
+    found = go(at + 3)
+    return found if found and joined(gap, at, found[1]) else None
 
 
 def plain_scan(text):
     words, gap = gaps(text or "")
     ids, at = [], 0
+    third = regex.search(r"(^|[ .;])neither[ ;]the[ ;]names?[ ;]of[ .;]|[ ;]not[ ;]be[ ;]used[ ;]to[ ;]endorse[ ;]", "".join(g + w for g, w in zip(gap, words, strict=False)) + gap[-1]) is not None
     while at < len(words):
         hit = None
         if gap[at] in ".;":
             for known, breaks, name in KNOWN:
-                end = at + len(known)
-                inside = zip(gap[at + 1 : end], breaks[1:-1], strict=False)
-                if words[at:end] == known and gap[end] in ".;" and all(g != "." or b == "." for g, b in inside):
-                    hit = name, end
+                if (end := sentence_end(words, gap, at, known, breaks)) is not None:
+                    hit = [name], end
                     break
+            hit = hit or tag_end(words, gap, at)
+            if not hit and (one := under_end(words, gap, at)):
+                hit = [one[0]], one[1]
         if hit:
-            ids.append(hit[0])
+            ids += hit[0]
         at = hit[1] if hit else at + 1
     left, rules, names = [[x] for x in ids], [], []
     for rule, name, seq in sorted(RULES, key=lambda r: -len(r[2])):
@@ -53,8 +132,9 @@ def plain_scan(text):
                 used = True
             i += 1
         if used:
-            rules.append(rule)
-            names.append(name)
+            instead = third and rule == "bsd2-whole"
+            rules.append("bsd3-other" if instead else rule)
+            names.append("BSD-3-Clause" if instead else name)
     return ids, rules, [*dict.fromkeys(names)]
 
 
