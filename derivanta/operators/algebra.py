@@ -17,23 +17,25 @@ def missing_entries(symbols: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def permutations(symbols: DataFrame, most: int = 8) -> DataFrame:
-    """mapping: an array of images, by the order of the symbols, for each permutation but the identity. There
-    are as many as the factorial of their number, which may be most at most."""
-    items = symbols.agg(F.array_sort(F.collect_set("symbol")).alias("items"))
-    n = items.select(F.size("items")).first()[0]
-    if n > most:
-        raise ValueError(f"{n} symbols have too many permutations")
+    """items and mapping: an array of images, by the order of the symbols, for each permutation but the identity.
+    There are as many as the factorial of their number, which may be most at most; more fail the job."""
+    n = F.size("items")
+    many = F.raise_error(F.concat(n.cast("string"), F.lit(" symbols have too many permutations"))).cast("int")
+    items = symbols.agg(F.array_sort(F.collect_set("symbol")).alias("items")).where(F.when(n > most, many).otherwise(n) >= 0)
     out = items.withColumn("mapping", F.slice("items", 1, 0))
-    for _ in range(n):
-        out = out.select("items", "mapping", F.explode(F.array_except("items", "mapping")).alias("next")).select("items", F.concat("mapping", F.array("next")).alias("mapping"))
+    for _ in range(most):
+        # A whole permutation stays as it is.
+        following = F.when(F.size("mapping") < n, F.transform(F.array_except("items", "mapping"), lambda x: F.concat("mapping", F.array(x)))).otherwise(F.array("mapping"))
+        out = out.select("items", F.explode(following).alias("mapping"))
     return out.where("mapping <> items")
 
 
 def valid_transformations(symbols: DataFrame, table: DataFrame) -> DataFrame:
-    """(op, mapping) of the permutations but the identity that distribute over each operator."""
+    """(op, mapping) of the permutations but the identity that distribute over each operator. The operators' tables are
+    one value, which the permutations read: no join."""
     entry = F.struct(F.struct("lhs", "rhs").alias("k"), F.col("result").alias("v"))
-    ops = table.groupBy("op").agg(F.map_from_entries(F.collect_list(entry)).alias("of"))
-    both = permutations(symbols).select("items", "mapping", F.lit(0).alias("one")).join(F.broadcast(ops.withColumn("one", F.lit(0))), "one")  # a few operators
+    ops = table.groupBy("op").agg(F.map_from_entries(F.collect_list(entry)).alias("of")).agg(F.collect_list(F.struct("op", "of"))).scalar()
+    both = permutations(symbols).withColumn("all", ops).select("items", "mapping", F.explode("all").alias("o")).select("items", "mapping", "o.*")
     at = lambda x: F.get("mapping", (F.array_position("items", x) - 1).cast("int"))
     fits = F.forall(F.map_entries("of"), lambda e: at(e["value"]) == F.try_element_at("of", F.struct(at(e["key"]["lhs"]).alias("lhs"), at(e["key"]["rhs"]).alias("rhs"))))
     return both.where(fits).select("op", "mapping")

@@ -17,7 +17,7 @@ from ..functions.scoring import score_rows as rows_of_scores
 from ..operators import algebra, generation, groups, registry, report
 from ..sources import dataset
 from ..sources.jsonl import SYSTEM
-from . import drawn, folders, shapes
+from . import drawn, folders, logs, shapes
 
 #: Predictions made from events: the same SQL runs in both engines.
 PREDICTIONS = """
@@ -81,6 +81,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(predictions(spark, sf_dir))
 
 
+def _timed(spark, sf_dir):
+    """Scored predictions with the time of their event."""
+    when = _t(spark, sf_dir, "events").select(F.col("event_id").alias("example_id"), "ts")
+    return scored(spark, sf_dir).join(when, "example_id")
+
+
 def outcome_buckets(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("difficulty", "outcome_bucket").agg(F.count("*").alias("n"))
 
@@ -460,6 +466,16 @@ QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows
     "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
     "headline_rates": lambda s, d: report.headline_rates(scored(s, d)),
     "regex_summary": lambda s, d: report.regex_summary(scored(s, d)),
+    "effort_rules": lambda s, d: logs.effort_rules(_t(s, d, "customer")),
+    "registry_json": lambda s, d: logs.registry_json(_t(s, d, "customer")),
+    "model_choices": lambda s, d: logs.model_choices(_models(s, d)),
+    "latency_figures": lambda s, d: logs.latency_figures(predictions(s, d)),
+    "score_windows": lambda s, d: logs.score_windows(_timed(s, d)),
+    "score_sessions": lambda s, d: logs.score_sessions(_timed(s, d)),
+    "attempt_log": lambda s, d: logs.attempt_log(_t(s, d, "events").select("event_id", "user_id", "event_type")),
+    "absent_record_fields": lambda s, d: logs.absent_record_fields(predictions(s, d)),
+    "dataset_folder": lambda s, d: logs.dataset_folder(predictions(s, d)),
+    "streamed_scores": lambda s, d: logs.streamed_scores(predictions(s, d)),
     "drawn_systems": lambda s, d: drawn.drawn_systems(drawn.bases(s, d)),
     "undistributed": lambda s, d: drawn.undistributed(drawn.bases(s, d)),
     "generated_records": lambda s, d: drawn.generated_records(drawn.bases(s, d)),
@@ -581,5 +597,5 @@ ORACLES = {
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
-ORACLES |= shapes.ORACLES | drawn.ORACLES | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
+ORACLES |= shapes.ORACLES | drawn.ORACLES | logs.oracles(_SCORED, _P) | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
 ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])
