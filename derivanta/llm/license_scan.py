@@ -274,8 +274,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (the first, or null).
 
     known: a sentence, or a list of wordings, for each identifier, which may have slots (known_words). Of several
-    that begin at one place the longest counts, one with slots after those without, and the next begins
-    where it ends. Without known, sentences by which a work is licensed under a name of SPOKEN give
+    that begin at one place the longest wording counts, and the next begins where it ends. Without known, sentences by which a work is licensed under a name of SPOKEN give
     under.(SPDX identifier), and SPDX tags spdx.(identifier) for each one of their expression, in order.
     A rule of two BSD clauses gives way where the text has a third (UNLESS).
 
@@ -295,7 +294,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_text = {words: k for (words, _), k in spelled.items() if (words, _) not in slotted}
     constant = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])
     # Longest first, and of one length that with most breaks.
-    choice = "|".join([p for _, p in sorted(spelled, key=lambda x: (x in slotted, -len(x[0]), -len(x[1])))] + ([_EXPRESSION, _UNDER] if general else []))
+    choice = "|".join([p for _, p in sorted(spelled, key=lambda x: (-len(x[0]), -len(x[1])))] + ([_EXPRESSION, _UNDER] if general else []))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Worked out once for each text that may hold a sentence.
     likely = text.rlike(TRIGGER) if all(regex.search(TRIGGER, x) for x, _ in spelled) else F.lit(True)

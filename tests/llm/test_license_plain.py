@@ -30,7 +30,7 @@ def spelled(v):
     return gaps(regex.sub(r"\{(\d+)\}", r"slot\1slot", v))
 
 
-KNOWN = sorted(((*spelled(v), k) for k, vs in SENTENCES.items() for v in ([vs] if isinstance(vs, str) else vs)), key=lambda x: ("slot" in " ".join(x[0]), -len(" ".join(x[0])), x[2]))
+KNOWN = sorted(((*spelled(v), k) for k, vs in SENTENCES.items() for v in ([vs] if isinstance(vs, str) else vs)), key=lambda x: (-len(" ".join(x[0])), x[2]))
 SLOT = regex.compile(r"slot(\d+)slot")
 VERBS = [["licensed"], ["licenced"], ["released"], ["distributed"], ["available"], ["made", "available"]]
 
