@@ -74,7 +74,7 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return spark.sql(PREDICTIONS, events=_spread(events, "event_id"))
+    return spark.sql(PREDICTIONS, events=events)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
