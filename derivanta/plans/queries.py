@@ -87,6 +87,16 @@ def _timed(spark, sf_dir):
     return scored(spark, sf_dir).join(when, "example_id")
 
 
+def sql_ranked(spark, sf_dir):
+    """One SQL text that scores and ranks, over the views and functions of a session."""
+    from .. import sql
+
+    own = spark.newSession()
+    sql.register(predictions(own, sf_dir))
+    one = "select '{0}' as difficulty, model, correct, total, round(share, 6) as share, cast(place as bigint) as place from ranked('{0}')"
+    return own.sql(f"{one.format('easy')} union all {one.format('hard')}")
+
+
 def outcome_buckets(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("difficulty", "outcome_bucket").agg(F.count("*").alias("n"))
 
@@ -466,6 +476,7 @@ QUERIES = {f.__name__: f for f in (outcome_buckets, strict_detection, score_rows
     "leaderboard": lambda s, d: report.leaderboard(scored(s, d)),
     "headline_rates": lambda s, d: report.headline_rates(scored(s, d)),
     "regex_summary": lambda s, d: report.regex_summary(scored(s, d)),
+    "sql_ranked": sql_ranked,
     "effort_rules": lambda s, d: logs.effort_rules(_t(s, d, "customer")),
     "registry_json": lambda s, d: logs.registry_json(_t(s, d, "customer")),
     "model_choices": lambda s, d: logs.model_choices(_models(s, d)),
@@ -597,5 +608,7 @@ ORACLES = {
         || string_agg(move, chr(10) order by x) || chr(10) || '  Distribution property: t(x # y) = t(x) # t(y)' as prompt from r group by n_nationkey""",
     "continuity_breaks": "select conv_id, min(turn) as first_break, count(*) as n from (select conv_id, turn, case when role = 'system' then 'user' else role end as r, lag(case when role = 'system' then 'user' else role end) over (partition by conv_id order by turn) as b from conversations) where b = r group by conv_id",
 }
+ORACLES["sql_ranked"] = _SCORED + """, g as (select difficulty, model::varchar as model, count(*) filter (matches_ground_truth) as correct, count(*) as total from scored where difficulty in ('easy', 'hard') group by 1, 2)
+  select *, round(correct / total, 6) as share, row_number() over (partition by difficulty order by correct / total desc, model) as place from g"""
 ORACLES |= shapes.ORACLES | drawn.ORACLES | logs.oracles(_SCORED, _P) | folders.oracles(_SCORED, _P, _NATION_CHAINS, ORACLES["system_prompts"])
 ORACLES["single_turn_prompt"] = ORACLES["single_turn_prompt"].replace("{system_prompts}", ORACLES["system_prompts"])
