@@ -261,7 +261,7 @@ def test_deep_expressions(spark):
     s = plain_system(5, 6, 2, 2, 2)
     a = expressions.compile_system(F.from_json(F.lit(json.dumps(s)), SYSTEM))
     tables = {o["name"]: o["table"] for o in s["base_operations"]}
-    trees = [plain_expression(i, 30, 6, 2, 2, 2) for i in range(60)]
+    trees = [plain_expression(i, 60, 6, 2, 2, 2) for i in range(60)]
     rows = spark.createDataFrame([(t,) for t in trees], "t array<int>").withColumn("a", a)
     got = rows.select(expressions.evaluate(F.col("t"), F.col("a")), expressions._evaluate_stack(F.col("t"), F.col("a"))).collect()
     want = [s["symbols"].index(plain_value(t, s["symbols"], tables, s["transformations"], s["derived_operations"], s["base_operations"])) for t in trees]
