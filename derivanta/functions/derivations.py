@@ -96,7 +96,13 @@ def postfix_value(rpn: Column, table: Column, signs: Column) -> Column:
     return F.aggregate(rpn, _strings(), step, lambda stack: F.get(stack, F.lit(0)))
 
 
-def validate(rows: DataFrame, system: Column, text: str = "raw_continuation_text", truth: str = "ground_truth_final_output") -> DataFrame:
+def compiled(system: Column) -> Column:
+    """What validate needs of a system: table, signs, cut (the pattern that cuts expressions) and symbols. Where all
+    rows have one system, it need not be worked out in each: see validate."""
+    return F.struct(system_table(system).alias("table"), operators(system).alias("signs"), token_pattern(system).alias("cut"), system["symbols"].alias("symbols"))
+
+
+def validate(rows: DataFrame, system: Column | None, text: str = "raw_continuation_text", truth: str = "ground_truth_final_output", ready: Column | None = None) -> DataFrame:
     """The rows with a struct verdict: parseable, derivation_valid, terminal_matches_gt, first_invalid_step,
     first_discontinuity_step, parsed_step_count, reason (null if the derivation ends in a symbol).
 
@@ -104,15 +110,19 @@ def validate(rows: DataFrame, system: Column, text: str = "raw_continuation_text
     check that fails decides: all step lines parse (and there is one); both sides of each step
     have one value; each step begins as the one before ended; the last ends in the true
     symbol. A null text or system is unparseable, a null truth matches nothing; step numbers
-    over 19 digits give null. Columns of any name may occur; one named verdict is replaced.
+    over 19 digits give null. Columns of any name may occur; one named verdict is replaced. ready: compiled(system)
+    in place of the system, as a scalar subquery where all rows have the same.
     """
     own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rows.columns))  # begins no column's name
     part = lambda s, k: F.regexp_extract(s, STEP, k)
-    d = rows.withColumn(f"{own}s", system)
-    d = d.withColumns({f"{own}table": system_table(F.col(f"{own}s")), f"{own}signs": operators(F.col(f"{own}s")), f"{own}cut": token_pattern(F.col(f"{own}s")), f"{own}lines": F.filter(F.split(text, LINE, -1), lambda s: s.rlike(STEP))})
-    read = lambda s: to_postfix(s, F.col(f"{own}cut"), F.col(f"{own}signs"), F.col(f"{own}s.symbols"))
+    if ready is None:
+        d = rows.withColumn(f"{own}s", system).withColumn(f"{own}s", compiled(F.col(f"{own}s")))
+    else:
+        d = rows.withColumn(f"{own}s", ready)
+    d = d.withColumn(f"{own}lines", F.filter(F.split(text, LINE, -1), lambda s: s.rlike(STEP)))
+    read = lambda s: to_postfix(s, F.col(f"{own}s.cut"), F.col(f"{own}s.signs"), F.col(f"{own}s.symbols"))
     d = d.withColumn(f"{own}steps", F.transform(f"{own}lines", lambda s: F.struct(part(s, 1).try_cast("bigint").alias("n"), read(part(s, 2)).alias("before"), read(part(s, 3)).alias("after"))))
-    value = lambda e: postfix_value(e, F.col(f"{own}table"), F.col(f"{own}signs"))
+    value = lambda e: postfix_value(e, F.col(f"{own}s.table"), F.col(f"{own}s.signs"))
     d = d.withColumn(f"{own}bad", F.get(F.filter(f"{own}steps", lambda s: ~F.coalesce(value(s["before"]) == value(s["after"]), F.lit(False))), F.lit(0)))
     breaks = F.transform(f"{own}steps", lambda s, i: F.struct(s["n"].alias("n"), ((i > 0) & (F.get(F.col(f"{own}steps"), i - 1)["after"] != s["before"])).alias("cut")))
     d = d.withColumn(f"{own}break", F.get(F.filter(breaks, lambda s: s["cut"]), F.lit(0)))
@@ -130,4 +140,4 @@ def validate(rows: DataFrame, system: Column, text: str = "raw_continuation_text
         F.when(readable, count).otherwise(0).cast("long").alias("parsed_step_count"),
         F.when(~readable, "unparseable").when(~right, "wrong step").when(~joined, "discontinuity").when(~symbol, "terminal is not a single symbol").alias("reason"),
     )
-    return d.withColumn("verdict", verdict).drop(f"{own}s", f"{own}table", f"{own}signs", f"{own}cut", f"{own}lines", f"{own}steps", f"{own}bad", f"{own}break")
+    return d.withColumn("verdict", verdict).drop(f"{own}s", f"{own}lines", f"{own}steps", f"{own}bad", f"{own}break")
