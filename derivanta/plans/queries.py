@@ -316,34 +316,47 @@ def _shaped(spark, sf_dir):
     return shapes.shaped(spark, sf_dir, _nation_systems(spark, sf_dir))
 
 
-def _reduced(spark, sf_dir):
-    e, a = _expressions(spark, sf_dir)
-    return e.withColumn("steps", ex.reduce_steps(F.col("rpn"), a)), a
+def _reduced(spark, sf_dir, made):
+    """The keys of lineitem with rpn and what made(rows of rpn, system and steps) gives besides, worked out once for each
+    distinct expression."""
+    e, _ = _expressions(spark, sf_dir)
+
+    def work(distinct):
+        steps = distinct.withColumn("system", _algebra(spark, sf_dir)).withColumn("steps", ex.reduce_steps(F.col("rpn"), F.col("system")))
+        return made(steps, F.col("system"))
+
+    return once_each(e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rpn"), ["rpn"], work, Scratch(spark, "reduced"))
 
 
 def reduction_steps(spark, sf_dir):
-    e, a = _reduced(spark, sf_dir)
-    kind = lambda s: F.when(ex.rule_type(s["rule"], a) == "derived_op", "derived").otherwise("base")
-    row = lambda s: F.struct(kind(s).alias("rule_type"), s["result"].cast("long").alias("result"), F.array_join(ex.names(s["after"], a), " ").alias("after"))
-    out = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(F.transform("steps", row)))
+    def rows(e, a):
+        kind = lambda s: F.when(ex.rule_type(s["rule"], a) == "derived_op", "derived").otherwise("base")
+        row = lambda s: F.struct(kind(s).alias("rule_type"), s["result"].cast("long").alias("result"), F.array_join(ex.names(s["after"], a), " ").alias("after"))
+        return e.select("rpn", F.transform("steps", row).alias("rows"))
+
+    out = _reduced(spark, sf_dir, rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode("rows"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).cast("long").alias("step_number"), "col.*")
 
 
 def clean_derivations(spark, sf_dir):
-    e, a = _reduced(spark, sf_dir)
+    e, a = _expressions(spark, sf_dir)
+    e = e.withColumn("steps", ex.reduce_steps(F.col("rpn"), a))
     return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ex.clean_derivation(F.col("rpn"), F.col("steps"), a).alias("derivation"))
 
 
 def injected_prefills(spark, sf_dir):
     """The first step's result replaced by the first of the next symbols that changes the final one; rows
     without such a symbol have nulls."""
-    e, a = _reduced(spark, sf_dir)
-    first = F.get("steps", F.lit(0))["result"]
-    wrong = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: ((first + j) % 5).cast("int"))
-    e = e.withColumn("wrong", wrong).withColumn("mutated", ex.inject(F.col("steps"), a, F.lit(1), F.col("wrong")))
-    last = F.get(F.try_element_at("mutated", F.lit(-1))["after"], F.lit(0))
-    text = F.when(F.col("mutated").isNotNull(), ex.prefill(F.col("rpn"), F.col("mutated"), a, F.lit(2)))
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.get("mutated", F.lit(0))["result"].cast("long").alias("injected"), last.cast("long").alias("wrong_final"), F.size(F.coalesce("mutated", F.array())).cast("long").alias("steps"), text.alias("prefill"))
+
+    def injected(e, a):
+        first = F.get("steps", F.lit(0))["result"]
+        wrong = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: ((first + j) % 5).cast("int"))
+        e = e.withColumn("wrong", wrong).withColumn("mutated", ex.inject(F.col("steps"), a, F.lit(1), F.col("wrong")))
+        last = F.get(F.try_element_at("mutated", F.lit(-1))["after"], F.lit(0))
+        text = F.when(F.col("mutated").isNotNull(), ex.prefill(F.col("rpn"), F.col("mutated"), a, F.lit(2)))
+        return e.select("rpn", F.get("mutated", F.lit(0))["result"].cast("long").alias("injected"), last.cast("long").alias("wrong_final"), F.size(F.coalesce("mutated", F.array())).cast("long").alias("steps"), text.alias("prefill"))
+
+    return _reduced(spark, sf_dir, injected).drop("rpn")
 
 
 def eligible_error_steps(spark, sf_dir):
