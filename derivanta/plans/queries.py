@@ -339,9 +339,8 @@ def reduction_steps(spark, sf_dir):
 
 
 def clean_derivations(spark, sf_dir):
-    e, a = _expressions(spark, sf_dir)
-    e = e.withColumn("steps", ex.reduce_steps(F.col("rpn"), a))
-    return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ex.clean_derivation(F.col("rpn"), F.col("steps"), a).alias("derivation"))
+    text = lambda e, a: e.select("rpn", ex.clean_derivation(F.col("rpn"), F.col("steps"), a).alias("derivation"))
+    return _reduced(spark, sf_dir, text).drop("rpn")
 
 
 def injected_prefills(spark, sf_dir):

@@ -35,7 +35,7 @@ def repeated(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["step_verdicts", "injected_prefills", "reduction_steps"])
+@pytest.mark.parametrize("name", ["step_verdicts", "injected_prefills", "clean_derivations", "reduction_steps"])
 def test_rows_that_share_a_value(spark, tmp_path, monkeypatch, name):
     given = []
 
