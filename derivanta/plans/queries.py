@@ -305,15 +305,16 @@ def corrupt_outcomes(spark, sf_dir):
 
 
 def chain_length(spark, sf_dir):
-    return shapes.chain_length(_shaped(spark, sf_dir))
+    return shapes.chain_length(*_shaped(spark, sf_dir))
 
 
 def subtree_paths(spark, sf_dir):
-    return shapes.subtree_paths(_shaped(spark, sf_dir))
+    return shapes.subtree_paths(*_shaped(spark, sf_dir))
 
 
 def _shaped(spark, sf_dir):
-    return shapes.shaped(spark, sf_dir, _nation_systems(spark, sf_dir))
+    """Expressions of many shapes, and their system."""
+    return shapes.shaped(spark, sf_dir), shapes.one_system(_nation_systems(spark, sf_dir))
 
 
 def _reduced(spark, sf_dir, made):
@@ -359,7 +360,7 @@ def injected_prefills(spark, sf_dir):
 
 
 def eligible_error_steps(spark, sf_dir):
-    return shapes.eligible_error_steps(_shaped(spark, sf_dir))
+    return shapes.eligible_error_steps(*_shaped(spark, sf_dir))
 
 
 def _system_json() -> str:

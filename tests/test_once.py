@@ -35,7 +35,7 @@ def repeated(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["step_verdicts", "injected_prefills", "clean_derivations", "reduction_steps"])
+@pytest.mark.parametrize("name", ["step_verdicts", "injected_prefills", "clean_derivations", "reduction_steps", "subtree_paths"])
 def test_rows_that_share_a_value(spark, tmp_path, monkeypatch, name):
     given = []
 
@@ -48,3 +48,14 @@ def test_rows_that_share_a_value(spark, tmp_path, monkeypatch, name):
     got = queries.QUERIES[name](spark, repeated(spark, tmp_path))
     assert got.count() % 1200 == 0 and got.count() > 0
     assert given == [3]
+
+
+def test_shapes_stand_for_their_rows(spark):
+    """Trees and paths made of remainders are those of the keys, below 0 and null ones too."""
+    keys = [0, 1, 4, 13, 19999, -1, -7, -12, None]
+    rows = spark.createDataFrame([(o, n, p, s) for o in keys for p in keys for s in keys for n in (1, 4, 7)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    own = rows.select(F.struct(*shapes.IDS).alias("shape"))
+    made = []
+    for d in (own, shapes.shape_of(rows).select("shape")):
+        made.append(sorted(map(repr, shapes._trees(d).select("rpn", "path").collect())))
+    assert made[0] == made[1] and len(made[0]) == 27 * 81
